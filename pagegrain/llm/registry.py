@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, rules
+from . import html, quality, rules, urls
 from .session import table
 from .sql import RULES_SQL
 
@@ -23,5 +23,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes().alias("kept"), "failures")
 
 
-QUERIES: dict[str, Query] = {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules}
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.filter_urls(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op10_html_extraction": op10_html_extraction}
 ORACLES: dict[str, str] = {"op4_quality_rules": RULES_SQL}
