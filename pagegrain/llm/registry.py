@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, quality, rules, urls
+from . import html, ngramjoin, quality, rules, urls
 from .session import table
-from .sql import RULES_SQL
+from .sql import NGRAM_JOIN_SQL, RULES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes().alias("kept"), "failures")
@@ -32,5 +36,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op10_html_extraction": op10_html_extraction}
-ORACLES: dict[str, str] = {"op4_quality_rules": RULES_SQL}
+QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op10_html_extraction": op10_html_extraction}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL}

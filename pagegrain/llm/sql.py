@@ -18,3 +18,14 @@ f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
   + 16 * (word_chars < 2 * n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT + 64 * (100 * n_upper > 60 * n_words)::INT)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """
+
+NGRAM_JOIN_SQL = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid JOIN n p ON p.rid = a.rid JOIN n q ON q.rid = b.rid
+  GROUP BY a.rid, b.rid, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reach(x, y) AS (SELECT rid, rid FROM w UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach r ON r.x = w.rid JOIN w o ON o.rid = r.y LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
+"""
