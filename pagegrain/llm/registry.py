@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, ngramjoin, packing, quality, rules, urls
-from .session import table
+from . import html, materialise, ngramjoin, packing, quality, rules, urls
+from .session import shared_path, table
 from .sql import NGRAM_JOIN_SQL, RULES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(table(spark, sf_dir, "documents"), shared_path(spark, "sequences"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
+QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_token_binary": op7_token_binary, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
 ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL}
