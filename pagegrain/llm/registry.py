@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, materialise, ngramjoin, packing, quality, rules, urls
+from . import html, materialise, ngramjoin, packing, quality, rules, sharding, urls
 from .session import shared_path, table
-from .sql import NGRAM_JOIN_SQL, RULES_SQL
+from .sql import NGRAM_JOIN_SQL, RULES_SQL, SHARDING_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(table(spark, sf_dir, "documents"), shared_path(spark, "sequences"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_token_binary": op7_token_binary, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL}
+QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_token_binary": op7_token_binary, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL, "op8_sharding": SHARDING_SQL}

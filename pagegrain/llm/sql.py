@@ -29,3 +29,11 @@ reach(x, y) AS (SELECT rid, rid FROM w UNION SELECT r.x, p.y FROM reach r JOIN p
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM w JOIN reach r ON r.x = w.rid JOIN w o ON o.rid = r.y LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
 """
+
+SHARDING_SQL = """
+WITH k AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS bytes, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+lv AS (SELECT k.*, d, h >> (60 - d) AS p FROM k, (SELECT unnest(range(0, 61)) AS d)),
+fits AS (SELECT d, p FROM lv GROUP BY d, p HAVING sum(bytes) <= 1048576 OR count(*) = 1),
+leaf AS (SELECT doc_id, bytes::BIGINT AS bytes, h, min(d)::INT AS depth FROM lv JOIN fits USING (d, p) GROUP BY doc_id, bytes, h)
+SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard FROM leaf
+"""
