@@ -37,3 +37,16 @@ fits AS (SELECT d, p FROM lv GROUP BY d, p HAVING sum(bytes) <= 1048576 OR count
 leaf AS (SELECT doc_id, bytes::BIGINT AS bytes, h, min(d)::INT AS depth FROM lv JOIN fits USING (d, p) GROUP BY doc_id, bytes, h)
 SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard FROM leaf
 """
+
+DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM benchmark),
+ds AS (SELECT rid, p, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS p FROM d WHERE len(ws) >= 5)),
+bs AS (SELECT item_id, g, count(*) AS c FROM (SELECT item_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM b WHERE len(ws) >= 5)) GROUP BY ALL),
+pairs AS (SELECT DISTINCT rid, item_id FROM ds JOIN bs USING (g)),
+win AS (SELECT rid, doc_id, item_id, len(b.ws) - 4 AS k, unnest(range(1, len(d.ws) - len(b.ws) + 2)) AS s FROM pairs JOIN d USING (rid) JOIN b USING (item_id) WHERE len(d.ws) >= len(b.ws)),
+held AS (SELECT win.rid, doc_id, item_id, k, s, g, count(*) AS c FROM win JOIN ds ON ds.rid = win.rid AND ds.p BETWEEN s AND s + k - 1 GROUP BY ALL),
+sim AS (SELECT rid, doc_id, item_id, s, k, sum(least(held.c, bs.c)) AS i FROM held JOIN bs USING (item_id, g) GROUP BY ALL),
+ok AS (SELECT DISTINCT doc_id, item_id, s - 1 AS start, i / (2 * k - i) AS similarity, rid FROM sim WHERE 100 * i >= 75 * (2 * k - i))
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, arg_min(start, (-similarity, start))::INT AS start, count(*) AS n_windows FROM ok GROUP BY doc_id, item_id
+"""
