@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, materialise, ngramjoin, packing, quality, rules, sharding, urls
+from . import decontaminate, html, lm, materialise, ngramjoin, packing, quality, rules, sharding, urls
 from .session import shared_path, table
 from .sql import DECONTAMINATION_SQL, NGRAM_JOIN_SQL, RULES_SQL, SHARDING_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -52,5 +56,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_token_binary": op7_token_binary, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
+QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_token_binary": op7_token_binary, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
 ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL, "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op8_sharding": SHARDING_SQL}
