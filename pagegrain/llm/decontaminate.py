@@ -128,5 +128,5 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """The documents that hold no item."""
-    bad = find(docs, benchmark, id_col, item_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(find(docs, benchmark, id_col, item_col).select(F.col(id_col).alias("_bad")).distinct())
+    return docs.join(_small(bad, bad.count()), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
