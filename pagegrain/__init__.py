@@ -1,0 +1 @@
+"""Visual-document retrieval, region relevance and evaluation as DataFrame plans."""
