@@ -12,10 +12,10 @@ the order, so how it is estimated can't change the result. Shingles in one text
 
 1. one row a document: set size and set key; equal keys are one class, represented once (copies never multiply);
 2. prefix shingles shared by two or more classes, and the classes with enough of them;
-3. classes that share some are dealt to shards (the smallest class key within two steps of sharing) and shards to
-   blocks of bounded size, with one class of the shard in all its blocks; in each block an R-tree join links classes,
-   passing over what is connected already;
-4. classes of different blocks and components that share a prefix shingle are joined the same way, in blocks of
+3. each class follows the first class of most of its shared shingles to a shard, and shards are dealt to blocks of bounded
+   size, with one class of the shard in all its blocks; in each block an R-tree join links classes, passing over what
+   is connected already;
+4. classes of different blocks, not yet connected, with enough shingles in common are joined the same way, in blocks of
    bounded size, and survivors verified; the links' components are the result.
 
 Edge cases: null, empty or blank text: no shingle, its own component. Fewer words than the width: the whole sequence is
@@ -40,7 +40,7 @@ GROUPS = 128
 #: Shingles ordered last: those found in the most texts within a task's chunk. A matter of speed alone.
 MAX_HOT, HOT_IN_CHUNK, CHUNK = 1 << 16, 4, 1 << 20
 #: Shingles in a block's R-tree, about; texts of a shingle compared in one task.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 21, 1 << 13
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 22, 1 << 13
 #: Rows (16 bytes) of a broadcast at most; beyond, the join shuffles.
 MAX_BROADCAST = 1 << 19
 
@@ -270,7 +270,7 @@ def _join_shards(table: pa.Table) -> pa.Table:
 def _cross(table: pa.Table) -> pa.Table:
     """Pairs of classes, of different components and blocks, that the bound lets through, for each shingle of the bin."""
     h, left, right, side, key, root, unit, n = (table.column(c).to_numpy() for c in ("h", "left", "right", "side", "key", "root", "unit", "n"))
-    blobs, out = table.column("point"), ([], [])
+    blobs, out = table.column("point"), ([], [], [])
     order = np.lexsort((right, left, h))
     cuts = np.flatnonzero((np.diff(h[order]) != 0) | (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)) + 1
     for part in np.split(order, cuts):
@@ -287,8 +287,9 @@ def _cross(table: pa.Table) -> pa.Table:
             found = found[(root[found] != root[i]) & (unit[found] != unit[i]) & ((key[found] > key[i]) if alone else (side[found] != side[i]))]
             out[0].append(np.full(len(found), key[i]))
             out[1].append(key[found])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            out[2].append(np.maximum(1, np.minimum(n[found], n[i]) // 8))  # common() of the lesser
+    a, b, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "k": k})
 
 
 def _verify(batches):
@@ -338,9 +339,11 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     shared = cut(shared.join(several, "h"))
 
     low = shared.groupBy("h").agg(F.min("key").alias("s"))
-    near = shared.join(low, "h").groupBy("key").agg(F.min("s").alias("s"))
-    low = shared.join(near, "key").groupBy("h").agg(F.min("s").alias("s"))
-    shard = shared.join(low, "h").groupBy("key").agg(F.min("s").alias("shard"))
+    votes = shared.join(low, "h").groupBy("key", "s").agg(F.count("*").alias("n"))
+    lead = cut(votes.groupBy("key").agg(F.max_by("s", F.struct("n", F.bitwise_not("s"))).alias("shard")))
+    for _ in range(2):  # the leader's leader's
+        lead = lead.join(lead.toDF("shard", "next"), "shard").select("key", F.col("next").alias("shard"))
+    shard = lead
     live = enough.join(shard, "key")
     weight = live.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("key").alias("pivot"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x.cast("long"))
@@ -359,21 +362,35 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     roots = components(links)
     unit = sets.dropDuplicates(["key"]).select("key", "n", "point", F.xxhash64("shard", "block").alias("unit"))
     at = shared.join(unit.select("key", "unit"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    split = at.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("unit").alias("u0"), F.max("unit").alias("u1"), F.count("*").alias("m")).where("r0 <> r1 and u0 <> u1")
-    split = cut(split.select("h", F.ceil(F.col("m") / BLOCK_TEXTS).alias("parts")))
+    at = at.join(unit.select("key", "n"), "key")
+    for _ in range(2):  # shingles across components and blocks, then classes with enough of them
+        across = at.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("r0 <> r1 and u0 <> u1")
+        at = at.join(across.select("h"), "h")
+        full = at.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.greatest(F.lit(1), least)).select("key")
+        at = cut(at.join(full, "key"))
+    split = cut(at.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h", "parts"))
     if split.isEmpty():
         return rows, links
     side = F.pmod(F.xxhash64("key"), F.col("parts"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x.cast("long"))
-    wide = at.join(split, "h").withColumn("side", side).withColumn("other", F.explode(others)).join(unit.select("key", "n", "point"), "key")
+    wide = at.join(split, "h").withColumn("side", side).withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
     wide = wide.select("h", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "key", "root", "unit", "n", "point")
     wide = wide.withColumn("bin", F.pmod(F.xxhash64("h", "left", "right"), F.lit(bins)))
-    pairs = cut(wide.groupBy("bin").applyInArrow(_cross, "a long, b long").distinct())
+    pairs = wide.groupBy("bin").applyInArrow(_cross, "a long, b long, k long").groupBy("a", "b", "k").agg(F.count("*").alias("c"))
+    pairs = cut(pairs.where("c >= k").select("a", "b"))  # as many shingles in common as linked texts have
     blobs = sets.dropDuplicates(["key"]).select("key", "shingles")
     proof = pairs.join(blobs.toDF("a", "x"), "a").join(blobs.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return rows, links.union(cut(proof.mapInArrow(_verify, "a long, b long")))
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row a document: id, th (its text's hash), n and root, the key of its component; root is null without shingles."""
+    rows, links = classes_and_links(docs, id_col)
+    roots = components(links).withColumnRenamed("node", "key")
+    named = rows.where("n > 0").join(roots, "key", "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
+    return named.union(rows.where("n = 0").select("id", "th", "n", F.lit(None).cast("long")))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: its id, n_shingles and component_id, the smallest id that links reach from it."""
     rows, links = classes_and_links(docs, id_col)
@@ -383,3 +400,23 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = classes.join(least, "root").select("key", "component_id")
     full = rows.where("n > 0").join(classes, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("id", "n", "id"))
+
+
+def thin(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents without all but one of each component, the one of smallest id, then text hash; a row equal to it in both goes as well.
+
+    Texts aren't shuffled where those that go are few enough to broadcast.
+    """
+    rows = cut(grouped(docs, id_col))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("rep"))
+    goes = rows.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th")))).select("id", "th").distinct()
+    goes = cut(goes.toDF("_id", "_th"))
+    twice = cut(rows.where("root is not null").groupBy("id", "th").count().where("count > 1").select("id", "th").toDF("_id", "_th"))
+    th = F.xxhash64("text")
+    match = docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th"))
+    kept = docs.join(_by(goes, goes.count()), match, "left_anti")
+    if twice.isEmpty():
+        return kept
+    small = _by(twice, twice.count())
+    again = kept.join(small, match, "left_semi").withColumn("_h", th).dropDuplicates([id_col, "_h"]).drop("_h")
+    return kept.join(small, match, "left_anti").unionByName(again)
