@@ -133,7 +133,7 @@ def parse_bool(v: Column) -> Column:
 
 
 def parse_list(v: Column) -> Column:
-    return F.filter(F.transform(F.split(v, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(v, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def valid_version(v: Column) -> Column:

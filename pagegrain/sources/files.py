@@ -85,7 +85,7 @@ def runs(spark: SparkSession, paths: dict[str, str]) -> DataFrame | None:
 def report(spark: SparkSession, path: str) -> DataFrame:
     """Data rows of a markdown report's tables: (line, cells)."""
     lines = spark.read.text(path).where(F.trim("value").startswith("|") & ~F.col("value").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return lines.select(F.col("value").alias("line"), cells.alias("cells"))
 
 
