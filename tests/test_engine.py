@@ -1,5 +1,7 @@
 """The engine end to end with stand-in models, joins, settings, keyed state."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +72,9 @@ def test_keyed_state(spark, tmp_path):
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         q = state.complete(I.landing(spark, src, schema), 3).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
+        until = time.monotonic() + 90
+        while sum(p["numInputRows"] for p in q.recentProgress) < len(rows) and time.monotonic() < until:
+            time.sleep(0.3)  # a timer-driven query never runs out of batches
         q.stop()
         return {(r.batch_key, r.n_stages, r.n_pages) for r in spark.read.schema(state.OUT).parquet(out).collect()}
 
