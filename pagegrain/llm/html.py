@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
+from .session import bounded, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|</[^>]*>",
@@ -389,7 +390,7 @@ def _extracted(held: int, forest):
 
 def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, text and n_chars (its code points) of every page."""
-    rows = pages.select(*keep, F.col("html").alias("_html"))
+    rows = bounded(pages).select(*keep, F.col("html").alias("_html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     forest = pages.sparkSession.sparkContext.broadcast(model())  # some 60 trees of 63 nodes
-    return rows.mapInArrow(_extracted(len(keep), forest), f"{schema}, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.mapInArrow(tidy(_extracted(len(keep), forest)), f"{schema}, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import bounded, cut, tidy
 from .textkernel import mix
 from .tokens import coder, default_path, with_end
 
@@ -156,9 +156,9 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     """Writes the shards and ``manifest.json`` under ``path`` (a folder that all executors share); returns one row for each piece
     of a document: id, start and length in its ids, sequence, slot, shard, place in the slot and the record's checksum."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), "text")
     rows = rows if stable else cut(rows)
-    counted = rows.select("text").mapInArrow(_count(tokenizer), "part long, ids long, check long").collect()  # one row an input partition
+    counted = rows.select("text").mapInArrow(tidy(_count(tokenizer)), "part long, ids long, check long").collect()  # one row an input partition
     firsts, total = {}, 0
     for r in sorted(counted, key=lambda r: r["part"]):
         firsts[r["part"]] = (total, r["ids"], r["check"])
@@ -173,9 +173,9 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     if not total:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     sent = spark.sparkContext.broadcast(firsts)
-    dealt = rows.mapInArrow(_deal(tokenizer, sent, length, per_shard, total, key, end), "shard long, slot long, sequence long, ids binary, docs array<long>, starts array<long>, sizes array<long>")
+    dealt = rows.mapInArrow(tidy(_deal(tokenizer, sent, length, per_shard, total, key, end)), "shard long, slot long, sequence long, ids binary, docs array<long>, starts array<long>, sizes array<long>")
     dealt = dealt.withColumn("bytes", F.lit(2 * length)).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return cut(dealt.mapInArrow(_write(path, pa.int64()), schema)).withColumnRenamed("id", id_col)
+    return cut(dealt.mapInArrow(tidy(_write(path, pa.int64())), schema)).withColumnRenamed("id", id_col)
 
 
 def read(path: str, first: int = 0, count: int | None = None):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .session import cut, partitions
+from .session import bounded, cut, partitions, tidy
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -318,8 +318,8 @@ def _by(small: DataFrame, n: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, n) of every document, and links (a, b) between set keys that span the components."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
-    got = cut(texts.mapInArrow(_profile, "kind long, id long, th long, key long, n long"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    got = cut(texts.mapInArrow(tidy(_profile), "kind long, id long, th long, key long, n long"))
     rows = got.where("kind = 0").drop("kind")
     hot = got.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()  # at most MAX_HOT
     values, rank = np.array([r["key"] for r in hot], np.int64).view(np.uint64), np.array([r["n"] for r in hot], np.int64)
@@ -327,8 +327,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     sent = spark.sparkContext.broadcast((values[order], rank[order]))
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(4 * partitions(spark), total / 4 / (1 << 20))))))
-    dealt = docs.select("text").mapInArrow(_prefixes(sent, bits), "bucket long, blob binary")
-    shared = cut(dealt.groupBy("bucket").applyInArrow(_shared, "h long, key long"))
+    dealt = docs.select("text").mapInArrow(tidy(_prefixes(sent, bits)), "bucket long, blob binary")
+    shared = cut(dealt.groupBy("bucket").applyInArrow(tidy(_shared), "h long, key long"))
 
     one = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "th")).alias("rep"))
     least = F.floor(F.ceil(F.lit(NUM) * F.col("n") / DEN) / 8)  # common() of the smallest partner
@@ -353,11 +353,11 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     if not n_live:
         return rows, spark.createDataFrame([], "a long, b long")
     found = texts.join(_by(live, n_live), texts["id"].eqNullSafe(live["id"]) & (texts["th"] == live["th"])).select("text", "key", "shard", "block", "n")
-    sets = cut(found.mapInArrow(_sets, "key long, shard long, block long, n long, point binary, shingles binary"))
+    sets = cut(found.mapInArrow(tidy(_sets), "key long, shard long, block long, n long, point binary, shingles binary"))
     weight = sets.agg(F.sum("n")).first()[0] or 0
     bins = int(max(4 * partitions(spark), weight // BLOCK_SHINGLES))
     local = sets.select("key", "shard", "block", "shingles", F.pmod(F.xxhash64("shard", "block"), F.lit(bins)).alias("bin"))
-    links = cut(local.groupBy("bin").applyInArrow(_join_shards, "a long, b long"))
+    links = cut(local.groupBy("bin").applyInArrow(tidy(_join_shards), "a long, b long"))
 
     roots = components(links)
     unit = sets.dropDuplicates(["key"]).select("key", "n", "point", F.xxhash64("shard", "block").alias("unit"))
@@ -376,11 +376,11 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     wide = at.join(split, "h").withColumn("side", side).withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
     wide = wide.select("h", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "key", "root", "unit", "n", "point")
     wide = wide.withColumn("bin", F.pmod(F.xxhash64("h", "left", "right"), F.lit(bins)))
-    pairs = wide.groupBy("bin").applyInArrow(_cross, "a long, b long, k long").groupBy("a", "b", "k").agg(F.count("*").alias("c"))
+    pairs = wide.groupBy("bin").applyInArrow(tidy(_cross), "a long, b long, k long").groupBy("a", "b", "k").agg(F.count("*").alias("c"))
     pairs = cut(pairs.where("c >= k").select("a", "b"))  # as many shingles in common as linked texts have
     blobs = sets.dropDuplicates(["key"]).select("key", "shingles")
     proof = pairs.join(blobs.toDF("a", "x"), "a").join(blobs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return rows, links.union(cut(proof.mapInArrow(_verify, "a long, b long")))
+    return rows, links.union(cut(proof.mapInArrow(tidy(_verify), "a long, b long")))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

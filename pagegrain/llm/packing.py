@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import cut, partitions
+from .session import bounded, cut, partitions, tidy
 from .tokens import coder, default_path, with_end
 
 WINDOW = 1024
@@ -186,10 +186,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path, spark = path or default_path(), docs.sparkSession
     salts = min(MAX_SALTS, max(16, partitions(spark)))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(salts)))
-    held = cut(rows.mapInArrow(_tokenised(path, end), f"id {kind}, ids binary, n long, salt long"))
+    held = cut(rows.mapInArrow(tidy(_tokenised(path, end)), f"id {kind}, ids binary, n long, salt long"))
     held = held.withColumns({"rest": F.col("n") % window, "full": F.floor(F.col("n") / window)})
     counts = held.groupBy("rest", "salt").agg(F.count("*").alias("docs"), F.sum("full").alias("full")).collect()  # window * salts rows at most
     docs_of, full_of = np.zeros((window, salts), np.int64), np.zeros((window, salts), np.int64)
@@ -204,6 +204,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     group = Window.partitionBy("rest", "salt").orderBy("id", "n", F.crc32("ids"))
     before = F.sum("full").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("full")
     held = held.withColumns({"rank": F.row_number().over(group) - 1, "before": before})
-    out = held.select("id", "ids", "n", "salt", "rank", "before").mapInArrow(_placed(sent, window), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = held.select("id", "ids", "n", "salt", "rank", "before").mapInArrow(tidy(_placed(sent, window)), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 

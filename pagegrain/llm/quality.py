@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .session import bounded, tidy
 
 BITS = 18
 #: At most so many labelled documents are learnt from, those with the smallest hash of doc_id.
@@ -96,9 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", "y", "text")  # max_labelled rows of 24 bytes at most
-    rows = rows.mapInArrow(_gather, "order long, y double, features binary")
-    got = rows.repartition(1).mapInArrow(_learn(bits), "w binary, bias double").collect()
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", "y", "text")  # max_labelled rows of 24 bytes at most
+    rows = rows.mapInArrow(tidy(_gather), "order long, y double, features binary")
+    got = rows.repartition(1).mapInArrow(tidy(_learn(bits)), "w binary, bias double").collect()
     return (np.frombuffer(got[0]["w"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << bits, np.float32), 0.0)
 
 
@@ -128,7 +129,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     if with_text:
         rows = rows.select(*keep, "_text", F.col("_text").alias("_again"))
-        out = rows.mapInArrow(_scored(model, bits, len(keep) + 1), f"{schema}, _text string, score double").withColumnRenamed("_text", "text")
+        out = rows.mapInArrow(tidy(_scored(model, bits, len(keep) + 1)), f"{schema}, _text string, score double").withColumnRenamed("_text", "text")
     else:
-        out = rows.mapInArrow(_scored(model, bits, len(keep)), f"{schema}, score double")
+        out = rows.mapInArrow(tidy(_scored(model, bits, len(keep))), f"{schema}, score double")
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .session import bounded, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_symbol_words")
 _SYMBOL = np.zeros(256, bool)
@@ -121,10 +122,10 @@ def _measured(fields: int):
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """``keep`` columns, every measurement and the mask ``failures`` for each row of ``docs``."""
-    rows = docs.select(*keep, *([F.col("text").alias("_kept")] if with_text else []), F.col("text").alias("_text"))
+    rows = bounded(docs).select(*keep, *([F.col("text").alias("_kept")] if with_text else []), F.col("text").alias("_text"))
     held = rows.schema.fields[:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held), *(f"{m} long" for m in MEASURES)])
-    out = rows.mapInArrow(_measured(len(held)), schema)
+    out = rows.mapInArrow(tidy(_measured(len(held))), schema)
     bits = [F.when(rule(), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)]
     return out.withColumn("failures", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from . import textkernel as K
 
 BLOCK = 1 << 21
-MAX_CACHED = 1_500_000
+MAX_CACHED = 1_000_000
 _tokenizers: dict[str, Coder] = {}
 
 
@@ -27,15 +28,21 @@ class Coder:
     """Encodes with the tokenizer file at ``path``; ids must be below 65,536."""
 
     def __init__(self, path: str):
+        self.path = path
+        self._piece = self._core(path)
+        if self._piece is None and self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids need more than 16 bits")
+        self.clear()
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself; it is loaded where a text needs it, to spare the worker's memory."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids need more than 16 bits")
-        self._piece = self._core(path)
-        self.clear()
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
 
     def _core(self, path: str):
         """A faster engine with the same ids, where merges stand in the order of their ids and the engine is installed."""
@@ -48,7 +55,7 @@ class Coder:
         kind, vocab = file.get("pre_tokenizer") or {}, file["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"].get("merges", [])]
         order = [vocab[a + b] for a, b in merges]
-        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or file.get("normalizer") or order != sorted(order) or len(vocab) < 256 + len(order):
+        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or file.get("normalizer") or order != sorted(order) or len(vocab) < 256 + len(order) or max(vocab.values()) >= 1 << 16:
             return None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
