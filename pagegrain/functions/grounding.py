@@ -77,7 +77,7 @@ def prompt(task: Column, custom: Column) -> Column:
     """The prompt of a task; an unknown task, or a custom text that is missing where needed, is an error."""
     out = None
     for name, template in PROMPTS.items():
-        value = F.replace(F.lit(template), F.lit("{}"), custom) if "{}" in template else F.lit(template)
+        value = F.replace(F.lit(template), F.lit("{}"), F.trim(custom)) if "{}" in template else F.lit(template)
         if "{}" in template:
             value = F.when(F.trim(custom) != "", value).otherwise(F.raise_error(F.lit("custom text is required")).cast("string"))
         out = F.when(task == name, value) if out is None else out.when(task == name, value)

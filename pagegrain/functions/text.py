@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 IMAGE_LABELS = ("image", "figure", "chart", "diagram")
 CONTEXT_IMAGE_LABELS = ("figure", "diagram", "image", "chart", "graph")
 #: Content types by extension.
-CONTENT_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif", ".pdf": "application/pdf", ".json": "application/json"}
-#: Keys whose values logs don't show.
-SENSITIVE = ("password", "secret", "token", "api_key", "apikey", "authorization", "auth", "credential")
+CONTENT_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".json": "application/json", ".gif": "image/gif", ".svg": "image/svg+xml", ".pdf": "application/pdf"}
+#: Parts of keys whose values logs don't show, what they show instead, and parts of lines that an OCR log leaves out.
+SENSITIVE = ("password", "secret", "token", "key", "api_key", "access_key", "secret_key", "authorization", "cookie", "session")
+REDACTED = "***REDACTED***"
+NOISE = ("image:", "other:", "PATCHES", "====", "BASE:", "%|", "torch.Size")
 
 
 def page_label(filename: Column, page: Column, total: Column) -> Column:
@@ -106,22 +108,22 @@ def allowed_file(name: Column, mime: Column, extensions: tuple[str, ...], mimes:
     return F.coalesce(ext.isin(*extensions), F.lit(False)) | F.coalesce(F.lower(mime).isin(*mimes), F.lit(False))
 
 
-def redact(values: Column, mark: str = "***") -> Column:
+def redact(values: Column, mark: str = REDACTED) -> Column:
     """A map whose values under sensitive keys are hidden."""
     pattern = "|".join(SENSITIVE)
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit(mark)).otherwise(v))
 
 
-def redact_json(text: Column, mark: str = "***") -> Column:
+def redact_json(text: Column, mark: str = REDACTED) -> Column:
     """JSON text whose string, number and literal values under sensitive keys are hidden at every depth."""
     pattern = "|".join(SENSITIVE)
     return F.regexp_replace(text, rf'(?i)("[^"]*(?:{pattern})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[-0-9.eE+]+|true|false|null)', f'$1"{mark}"')
 
 
-def clean_log(text: Column, markers: tuple[str, ...]) -> Column:
+def clean_log(text: Column, markers: tuple[str, ...] = NOISE) -> Column:
     """The lines that hold none of the markers."""
     bad = lambda line: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(line, m))
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n")
+    return F.trim(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n"))
 
 
 def percent_text(v: Column) -> Column:

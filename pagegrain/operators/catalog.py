@@ -49,9 +49,8 @@ def batch_outcomes(results: DataFrame, key: str) -> DataFrame:
 
 
 def rolled_up(status: Column) -> Column:
-    """success if all are success-like, partial if some are, else error; an aggregate."""
-    good = status.isin("success", "skipped")
-    return F.when(F.bool_and(good), "success").when(F.bool_or(good), "partial").otherwise("error")
+    """success if all succeeded or were skipped, partial if some succeeded, else error; an aggregate."""
+    return F.when(F.bool_and(status.isin("success", "skipped")), "success").when(F.bool_or(status == "success"), "partial").otherwise("error")
 
 
 def complete_batches(events: DataFrame, keys: tuple[str, ...], stages: int) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions.text import CONTEXT_IMAGE_LABELS
 
+#: The texts around a context's labels and pages.
+OPENING = 'Based on the search results for "{}", here are the relevant document contents:\n\n**Available Documents:**\n'
+ADVICE = "\n\n**Important:** When citing information, use the EXACT document labels shown above.\n\n---\n\n"
+BETWEEN_PAGES = "\n\n---\n\n"
+
 
 def joined(value: Column, order: Column, sep: str) -> Column:
     """Texts of a group in order, as one; the group is one answer's results, a few rows."""
@@ -34,13 +39,11 @@ def build(results: DataFrame, query: Column, key: str = "query_id") -> DataFrame
     out = results.groupBy(key).agg(
         F.first(query).alias("_q"),
         joined(F.format_string("%d. %s", F.col("rank"), label), F.col("rank"), "\n").alias("_labels"),
-        joined(F.when(has, F.concat(F.lit("## "), label, F.lit("\n\n"), F.trim("text"))), F.col("rank"), "\n\n---\n\n").alias("_pages"),
+        joined(F.when(has, F.concat(F.lit("## "), label, F.lit("\n\n"), F.trim("text"))), F.col("rank"), BETWEEN_PAGES).alias("_pages"),
         F.count_if(has).alias("_n"),
     )
-    text = F.concat(
-        F.lit('Based on the search results for "'), "_q", F.lit('", here are the relevant document contents:\n\n**Available Documents:**\n'), "_labels",
-        F.lit("\n\n**Important:** When citing information, use the EXACT document labels shown above.\n\n---\n\n"), "_pages",
-    )
+    before, after = OPENING.split("{}")
+    text = F.concat(F.lit(before), "_q", F.lit(after), "_labels", F.lit(ADVICE), "_pages")
     return out.where("_n > 0").select(key, text.alias("context"))
 
 

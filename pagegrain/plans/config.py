@@ -11,7 +11,7 @@ SETTINGS: dict[str, tuple] = {
     "top_k": (10, 1, 50), "region_retrieval": (False, None, None), "region_threshold": (0.3, 0.0, 1.0), "region_top_k": (0, 0, 50), "region_aggregation": ("iou_weighted", None, None), "batch_size": (4, 1, 16), "batches_in_flight": (1, 1, 8), "upload_max_mb": (10, 1, 200), "upload_max_files": (5, 1, 20),
 }
 #: File kinds an upload may have.
-KINDS = {"pdf": ((".pdf",), ("application/pdf", "application/x-pdf"))}
+KINDS = {"pdf": ((".pdf",), ("application/pdf",))}
 
 
 def coerce(name: str, value: object) -> object:

@@ -291,7 +291,7 @@ def content_types(spark, d):
     return D.read(spark, d, "pages").select("page_id", T.content_type(name).alias("kind"))
 
 
-@query("redact_keys", "SELECT event_id, '***' AS token, value AS amount FROM events WHERE event_id < 500")
+@query("redact_keys", "SELECT event_id, '***REDACTED***' AS token, value AS amount FROM events WHERE event_id < 500")
 def redact_keys(spark, d):
     m = T.redact(F.create_map(F.lit("API_token"), F.lit("x"), F.lit("amount"), F.col("value").cast("string")))
     return D.read(spark, d, "events").where("event_id < 500").select("event_id", F.element_at(m, "API_token").alias("token"), F.element_at(m, "amount").cast("double").alias("amount"))

@@ -142,7 +142,7 @@ def test_texts(spark):
     assert one(T.ensure_figures(t, figures), t="see ![Figure 1](old) and ![Figure 3](x)") == "see ![Figure 1](u1) and ![Figure 3](x)\n\n![Figure 2](u2)"
     assert one(T.ensure_figures(t, figures), t="bare ![Figure 2] ok ![Figure 1]") == "bare ![Figure 2](u2) ok ![Figure 1](u1)" and one(T.ensure_figures(t, figures), t="") == "![Figure 1](u1)\n![Figure 2](u2)"
     hidden = json.loads(one(T.redact_json(t), t='{"a":{"api_key":"x","n":1},"Token":5,"b":[{"secret":null}]}'))
-    assert hidden == {"a": {"api_key": "***", "n": 1}, "Token": "***", "b": [{"secret": "***"}]}
+    assert hidden == {"a": {"api_key": T.REDACTED, "n": 1}, "Token": T.REDACTED, "b": [{"secret": T.REDACTED}]}
     assert one(T.clean_log(t, ("BASE", "==")), t="ok\n== x\nBASE 1\nfine") == "ok\nfine" and one(T.progress_entry(F.lit("OCR"), F.lit(2), F.lit(5))) == "OCR 2/5" and one(T.parse_list(t), t="a, b,,c") == ["a", "b", "c"]
     assert one(T.valid_version(t), t="1.2.3-rc.1") and not one(T.valid_version(t), t="1.2") and one(T.token_display(t), t="Ġa▁b") == " a b" and one(T.local_images(t), t="![a](http://localhost/x.png) ![b](http://e.com/y)") == ["http://localhost/x.png"]
 
