@@ -60,7 +60,7 @@ def token_display(token: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words and other marks, one each: a stand-in for a tokenizer's count, never claimed equal to it."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_\s])"), 1))
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r])"), 1))
 
 
 def content_type(name: Column) -> Column:

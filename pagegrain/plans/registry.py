@@ -38,7 +38,7 @@ met AS (SELECT *, greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, le
 ious AS (SELECT *, shared::DOUBLE / ((x2 - x1) * (y2 - y1) + 10000 - shared) AS iou FROM met)"""
 PATCH = "patch AS (SELECT query_id, page, px, py, max(sim) AS s FROM sims GROUP BY ALL)"
 TRUTH = "truth AS (SELECT item_id, (item_id * 37) % 400 + 15 AS x1, (item_id * 53) % 300 + 15 AS y1, (item_id * 37) % 400 + 35 + (item_id * 11) % 120 AS x2, (item_id * 53) % 300 + 35 + (item_id * 7) % 90 AS y2 FROM benchmark)"
-IOU = """shares AS (SELECT item_id, category, greatest(0, least(t.x2, b.x2) - greatest(t.x1, b.x1)) * greatest(0, least(t.y2, b.y2) - greatest(t.y1, b.y1)) AS i, (t.x2 - t.x1) * (t.y2 - t.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM truth t LEFT JOIN boxes b ON b.page = t.item_id % 25 AND b.doc_id < 400),
+IOU = """shares AS (SELECT item_id, category, greatest(0, least(t.x2, b.x2) - greatest(t.x1, b.x1)) * greatest(0, least(t.y2, b.y2) - greatest(t.y1, b.y1)) AS i, (t.x2 - t.x1) * (t.y2 - t.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM truth t LEFT JOIN boxes b ON b.page = t.item_id % 25),
 metric AS (SELECT item_id, coalesce(max(i::DOUBLE / (u - i)), 0) AS mean_iou FROM shares GROUP BY item_id)"""
 
 
@@ -131,9 +131,9 @@ def l2_normalised(spark, d):
 # geometry
 
 
-@query("iou_pairs", f"WITH {REGIONS} SELECT a.doc_id AS a, b.doc_id AS b, round(coalesce(s::DOUBLE / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - s), 0), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS s FROM boxes a JOIN boxes b ON a.page = b.page AND a.doc_id < b.doc_id AND b.doc_id < 200) t")
+@query("iou_pairs", f"WITH {REGIONS} SELECT a.doc_id AS a, b.doc_id AS b, round(coalesce(s::DOUBLE / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - s), 0), 6) AS iou FROM (SELECT a, b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS s FROM boxes a JOIN boxes b ON a.page = b.page AND a.doc_id < b.doc_id) t")
 def iou_pairs(spark, d):
-    r = D.regions(spark, d).where("region_id < 200").select("page", "region_id", "x1", "y1", "x2", "y2")
+    r = D.regions(spark, d).select("page", "region_id", "x1", "y1", "x2", "y2")
     o = r.select("page", *(F.col(c).alias(f"b_{c}") for c in ("region_id", "x1", "y1", "x2", "y2")))
     pairs = r.join(o, "page").where("region_id < b_region_id")
     return pairs.select(F.col("region_id").alias("a"), F.col("b_region_id").alias("b"), F.round(G.iou(G.box(), G.box("b_")), 6).alias("iou"))
@@ -224,13 +224,12 @@ def heat_normalised(spark, d):
 
 # grounded text: made from documents, three references each
 
-_GROUNDED_SQL = """g AS (SELECT doc_id, concat('<|ref|>title<|/ref|><|det|>[[', doc_id % 900, ', 20, 500, 60]]<|/det|>\n', left(text, 20), '\n<|ref|>text<|/ref|><|det|>[[10, 80, 500, ', 100 + doc_id % 800, '], [1, 2, 3, 4]]<|/det|>\n ', substring(text, 21, 30), ' <|x|>\n<|ref|>image<|/ref|><|det|>[[1, 1, 9, bad]]<|/det|>') AS raw FROM documents WHERE strpos(left(text, 50), '<') = 0)"""
+_GROUNDED_SQL = """g AS (SELECT doc_id, concat('<|ref|>title<|/ref|><|det|>[[', doc_id % 900, ', 20, 500, 60]]<|/det|>\n', source, '\n<|ref|>text<|/ref|><|det|>[[10, 80, 500, ', 100 + doc_id % 800, '], [1, 2, 3, 4]]<|/det|>\n ', lang, ' ', source, ' <|x|>\n<|ref|>image<|/ref|><|det|>[[1, 1, 9, bad]]<|/det|>') AS raw FROM documents)"""
 
 
 def _grounded(spark, d):
-    t = F.col("text")
-    raw = F.concat(F.lit("<|ref|>title<|/ref|><|det|>[["), (F.col("doc_id") % 900).cast("string"), F.lit(", 20, 500, 60]]<|/det|>\n"), F.substring(t, 1, 20), F.lit("\n<|ref|>text<|/ref|><|det|>[[10, 80, 500, "), (100 + F.col("doc_id") % 800).cast("string"), F.lit("], [1, 2, 3, 4]]<|/det|>\n "), F.substring(t, 21, 30), F.lit(" <|x|>\n<|ref|>image<|/ref|><|det|>[[1, 1, 9, bad]]<|/det|>"))
-    return D.read(spark, d, "documents").where(~F.contains(F.substring(t, 1, 50), F.lit("<"))).select("doc_id", raw.alias("raw"))
+    raw = F.concat(F.lit("<|ref|>title<|/ref|><|det|>[["), (F.col("doc_id") % 900).cast("string"), F.lit(", 20, 500, 60]]<|/det|>\n"), "source", F.lit("\n<|ref|>text<|/ref|><|det|>[[10, 80, 500, "), (100 + F.col("doc_id") % 800).cast("string"), F.lit("], [1, 2, 3, 4]]<|/det|>\n "), "lang", F.lit(" "), "source", F.lit(" <|x|>\n<|ref|>image<|/ref|><|det|>[[1, 1, 9, bad]]<|/det|>"))
+    return D.read(spark, d, "documents").select("doc_id", raw.alias("raw"))
 
 
 @query("grounding_extract", f"""WITH {_GROUNDED_SQL}, r AS (SELECT doc_id, unnest(list_zip(range(0, 3), regexp_extract_all(raw, '<\\|ref\\|>([^<]*)<', 1), regexp_extract_all(raw, '<\\|det\\|>([^<]*)<', 1))) AS z FROM g), b AS (SELECT doc_id, z[1] AS ref_ord, z[2] AS label, unnest(list_zip(range(0, 9), regexp_extract_all(z[3], '\\[(\\d+, \\d+, \\d+, \\d+)\\]', 1))) AS y FROM r) SELECT doc_id, ref_ord::INT AS ref_ord, y[1]::INT AS box_ord, label, trunc(split_part(y[2], ', ', 1)::INT / 999 * 1000)::INT AS x1, trunc(split_part(y[2], ', ', 4)::INT / 999 * 1400)::INT AS y2 FROM b WHERE y[2] IS NOT NULL""")
@@ -252,10 +251,13 @@ def clean_output(spark, d):
 # strings
 
 
-@query("text_segments", "SELECT doc_id, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\n\\x0b\\f\\r')), lambda x: x <> '')) AS n_segments, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\n\\x0b\\f\\r')), lambda x: x <> '')[1] AS first_segment FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\f\\x{85}\\x{2028}\\x{2029}]')")
+_LINES = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]'), lambda x: trim(x, E' \t\n\x0b\f\r')), lambda x: x <> '')"
+
+
+@query("text_segments", f"SELECT doc_id, len({_LINES}) AS n_segments, {_LINES}[1] AS first_segment FROM documents")
 def text_segments(spark, d):
     s = T.segments(F.col("text"))
-    return D.read(spark, d, "documents").where(~F.col("text").rlike("[\r\x0b\x0c\x85  ]")).select("doc_id", F.size(s).cast("long").alias("n_segments"), F.get(s, F.lit(0)).alias("first_segment"))
+    return D.read(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n_segments"), F.get(s, F.lit(0)).alias("first_segment"))
 
 
 @query("page_label", "SELECT doc_id, concat(source, ' - Page ', doc_id % 25, ' of ', n_chars) AS label FROM documents")
@@ -275,14 +277,14 @@ def url_parse(spark, d):
     return D.read(spark, d, "pages").withColumn("u", u).select("page_id", p["bucket"].alias("bucket"), p["path"].alias("path"), T.object_name(F.col("u"), "documents").alias("object"))
 
 
-@query("slugify", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documents') AS slug FROM documents")
+@query("slugify", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'documents') AS slug FROM documents")
 def slugify(spark, d):
-    return D.read(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return D.read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query("token_counts", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'))::INT AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x0b\\x1c-\\x1f]')")
+@query("token_counts", r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]'))::INT AS tokens FROM documents")
 def token_counts(spark, d):
-    return D.read(spark, d, "documents").where(~F.col("text").rlike("[\x0b\x1c-\x1f]")).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    return D.read(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
 @query("content_types", "SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'application/octet-stream' ELSE 'image/png' END AS kind FROM pages")
@@ -291,10 +293,10 @@ def content_types(spark, d):
     return D.read(spark, d, "pages").select("page_id", T.content_type(name).alias("kind"))
 
 
-@query("redact_keys", "SELECT event_id, '***REDACTED***' AS token, value AS amount FROM events WHERE event_id < 500")
+@query("redact_keys", "SELECT event_id, '***REDACTED***' AS token, value AS amount FROM events")
 def redact_keys(spark, d):
     m = T.redact(F.create_map(F.lit("API_token"), F.lit("x"), F.lit("amount"), F.col("value").cast("string")))
-    return D.read(spark, d, "events").where("event_id < 500").select("event_id", F.element_at(m, "API_token").alias("token"), F.element_at(m, "amount").cast("double").alias("amount"))
+    return D.read(spark, d, "events").select("event_id", F.element_at(m, "API_token").alias("token"), F.element_at(m, "amount").cast("double").alias("amount"))
 
 
 @query("allowed_files", "SELECT page_id, url LIKE '%.html' OR page_id % 3 = 0 AS allowed FROM pages")
@@ -307,7 +309,7 @@ def allowed_files(spark, d):
 
 
 def _detected(spark, d):
-    p = D.regions(spark, d).where("region_id < 400")
+    p = D.regions(spark, d)
     samples = D.truth(spark, d)
     predicted = samples.select("sample_id").join(p, p["page"] == samples["sample_id"] % D.PAGES).select("sample_id", "x1", "y1", "x2", "y2")
     return E.sample_metrics(E.localise(samples, predicted))
@@ -334,7 +336,7 @@ def category_rollup(spark, d):
     return E.by_category(m, m).withColumns(_r("mean_iou", "at_0_25", "at_0_5", "at_0_7", "det_iou")).drop("det_at_0_5")
 
 
-_TOKENS = f"{REGIONS}, tk AS (SELECT *, CASE WHEN label IN ('image', 'figure') THEN greatest(1, (x2 - x1) * (y2 - y1) // 750) ELSE len(regexp_extract_all(coalesce(content, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) END AS t, doc_id % 3 = 0 AS sel FROM boxes), per AS (SELECT page AS sample_id, coalesce(sum(t) FILTER (sel), 0)::BIGINT AS tokens_selected, sum(t)::BIGINT AS tokens_all_ocr, 266 AS tokens_full_image, count_if(sel AND label IN ('image', 'figure')) AS image_regions_selected, count_if(label IN ('image', 'figure')) AS image_regions_all FROM tk GROUP BY page)"
+_TOKENS = f"{REGIONS}, tk AS (SELECT *, CASE WHEN label IN ('image', 'figure') THEN greatest(1, (x2 - x1) * (y2 - y1) // 750) ELSE len(regexp_extract_all(coalesce(content, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\x0b\\f\\r]')) END AS t, doc_id % 3 = 0 AS sel FROM boxes), per AS (SELECT page AS sample_id, coalesce(sum(t) FILTER (sel), 0)::BIGINT AS tokens_selected, sum(t)::BIGINT AS tokens_all_ocr, 266 AS tokens_full_image, count_if(sel AND label IN ('image', 'figure')) AS image_regions_selected, count_if(label IN ('image', 'figure')) AS image_regions_all FROM tk GROUP BY page)"
 
 
 def _token_stats(spark, d):
