@@ -77,7 +77,7 @@ def ftrl(examples, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta:
 
 def _example(ids: np.ndarray, y: float, size: int):
     unique, count = np.unique(ids, return_counts=True)
-    return np.append(unique, size).astype(np.int64), np.append(count * (SCALE / max(1, len(ids))), 1.0), y
+    return np.append(unique, size).astype(np.int32), np.append(count * (SCALE / max(1, len(ids))), 1.0).astype(np.float32), y
 
 
 def _learn(bits: int):
@@ -86,7 +86,9 @@ def _learn(bits: int):
         got.sort()
         if got:
             size = 1 << bits
-            w, bias = ftrl([_example(np.frombuffer(f, np.int32), y, size) for _, y, f in got], size)
+            for i, (_, y, f) in enumerate(got):  # in place, so texts' features and examples aren't both held
+                got[i] = _example(np.frombuffer(f, np.int32), y, size)
+            w, bias = ftrl(got, size)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
     return run
