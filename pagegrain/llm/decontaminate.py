@@ -2,14 +2,14 @@
 
 A benchmark item of m words is compared with the windows of m consecutive words of a document (lower-cased A-Z, split at
 ASCII white space) that have a shingle of five words in common with it; windows without one have
-similarity 0. Windows and items get a 64-bit SimHash of their shingles, weighted by how often they occur. Fingerprints are
+similarity 0. A document of fewer words than the item is one window as a whole. Windows and items get a 64-bit SimHash of their shingles, weighted by how often they occur. Fingerprints are
 cut into RADIUS + 1 blocks, so two of them within RADIUS bits agree in some block, and a join on (size, block, bits)
 finds all of those. Pairs within the radius are then verified by exact weighted Jaccard similarity of the
 shingles: a document is contaminated by an item from 0.75 on. At a similarity of 0.75 the expected distance is 11 bits with a
 deviation of 3; the radius is 23.
 
 Edge cases: items of fewer than five words have their whole sequence as one shingle; null, empty or blank items
-and texts match nothing, nor does a document of fewer words than the item; repeated rows report once; ties in
+and texts match nothing; repeated rows report once; ties in
 similarity give the first window; items have at most 16,383 words; an empty table on either side gives no row. Only the id
 and text columns are read, and clashing names can't reach the result. Items are broadcast up to ``MAX_BROADCAST`` rows; beyond, the joins shuffle.
 """
@@ -42,8 +42,8 @@ def _shingle(ws: str, at: str, width: int) -> str:
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """Adds to rows with ``ws`` and ``m`` the array ``hs`` of their shingles' hashes."""
-    by = [f"WHEN least(m, {WIDTH}) = {w} THEN transform(sequence(0, m - {w}), i -> {_shingle('ws', 'i', w)})" for w in range(1, WIDTH + 1)]
+    """Adds to rows with ``ws`` and ``m`` the array ``hs`` of their shingles' hashes; of the width of an item of ``m`` words."""
+    by = [f"WHEN least(m, {WIDTH}) = {w} THEN transform(sequence(0, size(ws) - {w}), i -> {_shingle('ws', 'i', w)})" for w in range(1, WIDTH + 1)]
     return rows.withColumn("hs", F.expr(f"CASE {' '.join(by[::-1])} END"))
 
 
@@ -76,7 +76,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, widths: list[int]) -> DataFrame:
-    """(id, row, item, m, start, ws): the item-sized windows that hold a shingle of the item."""
+    """(id, row, item, m, start, ws): the item-sized windows that hold a shingle of the item; of shorter texts, the whole where it has shingles enough to reach the threshold."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, "text").alias("row"), words(F.col("text")).alias("words"))
     found = None
     for w in widths:
@@ -84,13 +84,14 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, wid
         spots = spots.select("item", "m", "h", F.expr("CASE WHEN q > 0 THEN get(hs, q - 1) END").alias("before"))
         one = texts.select("id", "row", "words", F.posexplode("words").alias("p", "_")).where(F.col("p") <= F.size("words") - w)
         one = one.withColumn("h", F.expr(_shingle("words", "p", w)))
-        hits = one.join(_small(spots, n_shingles), "h")
+        hits = one.join(_small(spots, n_shingles), "h").withColumn("n", F.least("m", F.size("words")))
+        hits = hits.where(f"n = m OR {DEN} * (n - {w - 1}) >= {NUM} * (m - {w - 1})")  # it can't have more in common than it has
         # a hit that goes on from the one before it adds the window that begins at it
         goes_on = F.expr(f"p > 0 AND before IS NOT NULL AND before = {_shingle('words', '(p - 1)', w)}")
-        low = F.when(goes_on, F.col("p")).otherwise(F.greatest(F.lit(0), F.col("p") - F.col("m") + w))
-        hits = hits.withColumns({"low": low, "high": F.least(F.col("p"), F.size("words") - F.col("m"))}).where("low <= high")
-        hits = hits.select("id", "row", "item", "m", "words", F.explode(F.sequence("low", "high")).alias("start"))
-        hits = hits.select("id", "row", "item", "m", "start", F.expr("slice(words, start + 1, m)").alias("ws"))
+        low = F.when(goes_on, F.col("p")).otherwise(F.greatest(F.lit(0), F.col("p") - F.col("n") + w))
+        hits = hits.withColumns({"low": low, "high": F.least(F.col("p"), F.size("words") - F.col("n"))}).where("low <= high")
+        hits = hits.select("id", "row", "item", "m", "n", "words", F.explode(F.sequence("low", "high")).alias("start"))
+        hits = hits.select("id", "row", "item", "m", "start", F.expr("slice(words, start + 1, n)").alias("ws"))
         found = hits if found is None else found.union(hits)
     return found.groupBy("id", "row", "item", "m", "start").agg(F.first("ws").alias("ws"))
 
@@ -119,9 +120,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     whole = _small(items.select(F.col("item").alias("of"), "m", _numbered("hs").alias("its")), facts[1])
     same = [near[k].eqNullSafe(pairs[k]) for k in keys]
     proof = near.join(pairs, same[0] & same[1] & same[2] & same[3]).select(near["id"], near["row"], near["start"], "of", near["m"], "mine").join(whole, ["of", "m"])
-    k, both = F.size("mine"), F.size(F.array_intersect("mine", "its"))
-    proof = proof.select("id", "row", "start", "of", k.alias("k"), both.alias("both")).where(F.expr(f"{DEN} * both >= {NUM} * (2 * k - both)"))
-    proof = proof.select("id", "row", "start", "of", (F.col("both") / (2 * F.col("k") - F.col("both"))).alias("similarity")).distinct()
+    k, both = F.size("mine") + F.size("its"), F.size(F.array_intersect("mine", "its"))
+    proof = proof.select("id", "row", "start", "of", k.alias("k"), both.alias("both")).where(F.expr(f"{DEN} * both >= {NUM} * (k - both)"))
+    proof = proof.select("id", "row", "start", "of", (F.col("both") / (F.col("k") - F.col("both"))).alias("similarity")).distinct()
     out = proof.groupBy("id", "of").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"), F.count("*").alias("n_windows"))
     return out.select(F.col("id").alias(id_col), F.col("of").alias(item_col), "best.similarity", (-F.col("best.s")).cast("int").alias("start"), "n_windows")
 

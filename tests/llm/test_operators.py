@@ -234,6 +234,18 @@ def test_decontamination(spark):
     assert decontaminate.find(table.limit(0), bench).count() == 0 and decontaminate.find(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    item = [f"w{k}" for k in range(38)]
+    texts = [item[:-1], item[3:], item[:30], item[:29], item[:4], [*item[:20], "other", *item[21:37]], [*item, "more"]]
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[::-1])), (2, "w0 w1 w2 w3 w4 w5")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_windows) for r in decontaminate.find(table, bench).collect()}
+    shares = {0: 33 / 34, 1: 31 / 34, 2: 26 / 34}  # 25 / 34 and 28 / 39 are below 0.75
+    assert {d: x for (d, i), x in got.items() if i == 0 and d < 6} == {d: (round(x, 9), 0, 1) for d, x in shares.items()}
+    assert {d for d, i in got if i == 2} == {0, 2, 3, 5, 6} and not any(i == 1 for _, i in got) and got[6, 0][:2] == (1.0, 0)
+    assert [r.doc_id for r in decontaminate.clean(table, bench).orderBy("doc_id").collect()] == [4]
+
+
 def test_decontamination_stays_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     plan = decontaminate.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
