@@ -2,7 +2,8 @@
 
 A benchmark item of m words is compared with the windows of m consecutive words of a document (lower-cased A-Z, split at
 ASCII white space) that have a shingle of five words in common with it; windows without one have
-similarity 0. A document of fewer words than the item is one window as a whole. Windows and items get a 64-bit SimHash of their shingles, weighted by how often they occur. Fingerprints are
+similarity 0. A document of fewer words than the item is one window as a whole. Windows and items get a 64-bit SimHash of their shingles, each occurrence of one
+hashed with its number, so that the distance follows the weighted similarity. Fingerprints are
 cut into RADIUS + 1 blocks, so two of them within RADIUS bits agree in some block, and a join on (size, block, bits)
 finds all of those. Pairs within the radius are then verified by exact weighted Jaccard similarity of the
 shingles: a document is contaminated by an item from 0.75 on. At a similarity of 0.75 the expected distance is 11 bits with a
@@ -106,7 +107,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, similarity double, start int, n_windows long"
     if not facts[1]:
         return spark.createDataFrame([], schema)
-    near = cut(_hashed(windows(docs, items, id_col, facts[0], facts[2])).drop("ws"))
+    near = cut(_hashed(windows(docs, items, id_col, facts[0], facts[2])).withColumn("hs", _numbered("hs")).drop("ws"))
+    items = items.withColumn("hs", _numbered("hs"))
     keys = ["id", "row", "item", "start"]
     prints = _fingerprints(near, [*keys, "m"])
     prints = prints.withColumn("blocks", _blocks()).select("*", F.posexplode("blocks").alias("block", "bits"))
@@ -116,8 +118,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)
     pairs = pairs.where("size(filter(sequence(0, block), i -> get(blocks, i) = get(theirs, i))) = 1")  # once, at the first block in common
     pairs = pairs.select(*keys, "of", "m")
-    near = near.select("id", "row", "item", "m", "start", _numbered("hs").alias("mine"))
-    whole = _small(items.select(F.col("item").alias("of"), "m", _numbered("hs").alias("its")), facts[1])
+    near = near.withColumnRenamed("hs", "mine")
+    whole = _small(items.select(F.col("item").alias("of"), "m", F.col("hs").alias("its")), facts[1])
     same = [near[k].eqNullSafe(pairs[k]) for k in keys]
     proof = near.join(pairs, same[0] & same[1] & same[2] & same[3]).select(near["id"], near["row"], near["start"], "of", near["m"], "mine").join(whole, ["of", "m"])
     k, both = F.size("mine") + F.size("its"), F.size(F.array_intersect("mine", "its"))

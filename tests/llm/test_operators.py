@@ -246,6 +246,16 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert [r.doc_id for r in decontaminate.clean(table, bench).orderBy("doc_id").collect()] == [4]
 
 
+def test_decontamination_of_a_repeated_shingle(spark):
+    rnd = np.random.default_rng(8)
+    items = [(i, [f"i{i}w{k}" for k in range(204)]) for i in range(20)]
+    docs = [(i, " ".join(w[:176] + [f"tail{rnd.integers(10**9)}"] * 28)) for i, w in items]
+    bench = [(i, " ".join(w)) for i, w in items]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.find(*tables).collect()}
+    assert len(got) == 20 and got == brute_hits(docs, bench)
+
+
 def test_decontamination_stays_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     plan = decontaminate.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
