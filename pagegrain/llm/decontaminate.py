@@ -11,7 +11,7 @@ deviation of 3; the radius is 23.
 
 Edge cases: items of fewer than five words have their whole sequence as one shingle; null, empty or blank items
 and texts match nothing; repeated rows report once; ties in
-similarity give the first window; items have at most 16,383 words; an empty table on either side gives no row. Only the id
+similarity give the first window; an empty table on either side gives no row. Only the id
 and text columns are read, and clashing names can't reach the result. Items are broadcast up to ``MAX_BROADCAST`` rows; beyond, the joins shuffle.
 """
 
@@ -28,8 +28,8 @@ RADIUS = 23
 MAX_BROADCAST = 1 << 19
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
-_LANE = 0x0001000100010001
-_TOPS = 0x4000400040004000
+#: The most shingles that sums of 16 bits can count.
+NARROW = (1 << 15) - 1
 
 
 def words(text: Column) -> Column:
@@ -48,15 +48,18 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hs", F.expr(f"CASE {' '.join(by[::-1])} END"))
 
 
-def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fp of the rows' shingles ``hs``. Sixteen sums hold four counts each, of 14 bits."""
+def _fingerprints(rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """keys, fp of the rows' shingles ``hs``, ``longest`` at most. A sum holds four counts of 16 bits, or two of 32 where a row is long."""
+    wide = 16 if longest <= NARROW else 32
+    lane = sum(1 << a for a in range(0, 64, wide))
     one = rows.select(*keys, F.size("hs").alias("k"), F.explode("hs").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANE))).alias(f"s{j}") for j in range(16)]
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lane))).alias(f"s{j}") for j in range(wide)]
     sums = one.groupBy(*keys, "k").agg(*lanes)
-    # with 16383 - k / 2 added, a lane's bit 14 says that more than half of the shingles have the bit
-    tops = [f"(s{j} + (16383 - k DIV 2) * {_LANE}L) & {_TOPS}L" for j in range(16)]
-    tops = [f"shiftrightunsigned({t}, {14 - j})" if j < 15 else f"shiftleft({t}, 1)" for j, t in enumerate(tops)]
-    return sums.select(*keys, F.expr(" | ".join(tops)).alias("fp"))
+    # with half - k / 2 added, a lane's last bit but one says that more than half of the shingles have the bit
+    half, tops = (1 << (wide - 2)) - 1, lane << (wide - 2)
+    marks = [f"(s{j} + ({half} - k DIV 2) * {lane}L) & {tops}L" for j in range(wide)]
+    marks = [f"shiftrightunsigned({t}, {wide - 2 - j})" if j < wide - 1 else f"shiftleft({t}, 1)" for j, t in enumerate(marks)]
+    return sums.select(*keys, F.expr(" | ".join(marks)).alias("fp"))
 
 
 def _blocks(fp: str = "fp") -> Column:
@@ -102,7 +105,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("ws")).withColumn("m", F.size("ws")).where("m > 0").distinct()
     items = cut(_hashed(items))
-    facts = items.agg(F.sum(F.size("hs")), F.count("*"), F.sort_array(F.collect_set(F.least("m", F.lit(WIDTH))))).first()  # at most five widths
+    facts = items.agg(F.sum(F.size("hs")), F.count("*"), F.sort_array(F.collect_set(F.least("m", F.lit(WIDTH)))), F.max(F.size("hs"))).first()  # at most five widths
     kinds = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, similarity double, start int, n_windows long"
     if not facts[1]:
@@ -110,9 +113,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     near = cut(_hashed(windows(docs, items, id_col, facts[0], facts[2])).withColumn("hs", _numbered("hs")).drop("ws"))
     items = items.withColumn("hs", _numbered("hs"))
     keys = ["id", "row", "item", "start"]
-    prints = _fingerprints(near, [*keys, "m"])
+    prints = _fingerprints(near, [*keys, "m"], facts[3])
     prints = prints.withColumn("blocks", _blocks()).select("*", F.posexplode("blocks").alias("block", "bits"))
-    marks = _fingerprints(items.select("item", "ws", "m", "hs"), ["item", "m", "ws"]).withColumn("theirs", _blocks()).withColumnsRenamed({"item": "of", "fp": "mark"})
+    marks = _fingerprints(items.select("item", "ws", "m", "hs"), ["item", "m", "ws"], facts[3]).withColumn("theirs", _blocks()).withColumnsRenamed({"item": "of", "fp": "mark"})
     marks = marks.select("of", "ws", "m", "mark", "theirs", F.posexplode("theirs").alias("block", "bits")).drop("ws")
     pairs = prints.join(_small(marks, facts[1] * (RADIUS + 1)), ["m", "block", "bits"])
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)

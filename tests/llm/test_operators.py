@@ -256,6 +256,29 @@ def test_decontamination_of_a_repeated_shingle(spark):
     assert len(got) == 20 and got == brute_hits(docs, bench)
 
 
+def test_fingerprints_of_any_length(spark):
+    want, longest = {}, 70_000
+    rnd = np.random.default_rng(9)
+    rows = []
+    for i, k in enumerate((3, 16_383, 16_384, 32_767, 32_768, longest)):
+        for same in (False, True):
+            hs = np.full(k, -7 - i) if same else rnd.integers(-(2**63), 2**63 - 1, k)
+            bits = 2 * (hs[:, None] >> np.arange(64) & 1).sum(axis=0) > k
+            want[2 * i + same] = int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+            rows.append((2 * i + same, hs.tolist()))
+    table = spark.createDataFrame(rows, "i int, hs array<long>")
+    assert {r.i: r.fp for r in decontaminate._fingerprints(table, ["i"], longest).collect()} == want
+    short = table.where(f"size(hs) <= {decontaminate.NARROW}")
+    assert {r.i: r.fp for r in decontaminate._fingerprints(short, ["i"], decontaminate.NARROW).collect()} == {i: fp for i, fp in want.items() if len(rows[i][1]) <= decontaminate.NARROW}
+
+
+def test_decontamination_of_a_long_item(spark):
+    item = [f"w{k}" for k in range(66_000)]
+    docs = [(0, " ".join(["before", *item[:-9]])), (1, " ".join(item[:40_000]))]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find(*tables).collect()] == [(0, 0)]
+
+
 def test_decontamination_stays_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     plan = decontaminate.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
