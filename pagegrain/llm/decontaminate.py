@@ -100,14 +100,14 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, wid
     return found.groupBy("id", "row", "item", "m", "start").agg(F.first("ws").alias("ws"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """One row for each document and item it holds: id, item, similarity, the first best window's start, and the windows that reach the threshold."""
+def _proof(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str) -> DataFrame:
+    """(id, row, start, of, similarity): the windows that reach the threshold, with the item they hold."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("ws")).withColumn("m", F.size("ws")).where("m > 0").distinct()
     items = cut(_hashed(items))
     facts = items.agg(F.sum(F.size("hs")), F.count("*"), F.sort_array(F.collect_set(F.least("m", F.lit(WIDTH)))), F.max(F.size("hs"))).first()  # at most five widths
     kinds = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, similarity double, start int, n_windows long"
+    schema = f"id {kinds[0]}, row long, start int, of {kinds[1]}, similarity double"
     if not facts[1]:
         return spark.createDataFrame([], schema)
     near = cut(_hashed(windows(docs, items, id_col, facts[0], facts[2])).withColumn("hs", _numbered("hs")).drop("ws"))
@@ -127,12 +127,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col
     proof = near.join(pairs, same[0] & same[1] & same[2] & same[3]).select(near["id"], near["row"], near["start"], "of", near["m"], "mine").join(whole, ["of", "m"])
     k, both = F.size("mine") + F.size("its"), F.size(F.array_intersect("mine", "its"))
     proof = proof.select("id", "row", "start", "of", k.alias("k"), both.alias("both")).where(F.expr(f"{DEN} * both >= {NUM} * (k - both)"))
-    proof = proof.select("id", "row", "start", "of", (F.col("both") / (F.col("k") - F.col("both"))).alias("similarity")).distinct()
+    return proof.select("id", "row", "start", "of", (F.col("both") / (F.col("k") - F.col("both"))).alias("similarity")).distinct()
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """One row for each document and item it holds: id, item, similarity, the first best window's start, and the windows that reach the threshold."""
+    proof = _proof(docs, benchmark, id_col, item_col)
     out = proof.groupBy("id", "of").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"), F.count("*").alias("n_windows"))
     return out.select(F.col("id").alias(id_col), F.col("of").alias(item_col), "best.similarity", (-F.col("best.s")).cast("int").alias("start"), "n_windows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """The documents that hold no item."""
-    bad = cut(find(docs, benchmark, id_col, item_col).select(F.col(id_col).alias("_bad")).distinct())
-    return docs.join(_small(bad, bad.count()), F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no item; of rows with one id, or with none, those that hold one alone go."""
+    bad = cut(_proof(docs, benchmark, id_col, item_col).select(F.col("id").alias("_bad"), F.col("row").alias("_bad_row")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(id_col, "text") == F.col("_bad_row"))
+    return docs.join(_small(bad, bad.count()), same, "left_anti")

@@ -279,6 +279,14 @@ def test_decontamination_of_a_long_item(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.find(*tables).collect()] == [(0, 0)]
 
 
+def test_clean_drops_rows_and_not_ids(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"x {item} y", 0), (None, "clean", 1), (None, None, 2), (7, item, 3), (7, "clean", 4), (7, None, 5), (7, item, 6), (8, item + " z", 7), (9, "clean", 8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r.row for r in decontaminate.clean(table, bench).collect()) == [1, 2, 4, 5, 8]
+
+
 def test_decontamination_stays_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     plan = decontaminate.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
