@@ -18,6 +18,7 @@ from pagegrain.operators import evaluate as E
 from pagegrain.operators import pooling as P
 from pagegrain.operators import regions as R
 from pagegrain.operators import search as S
+from pagegrain.plans import registry
 from pagegrain.plans import retrieval as Q
 from pagegrain.sources import files, models, pages
 from pagegrain.sources import tables as D
@@ -198,6 +199,16 @@ def test_catalogue(spark, tmp_path):
     assert tuple(C.health(checks).first()) == (True, 1) and [value(spark, C.percent(F.lit(a), F.lit(b))) for a, b in ((1, 8), (3, 8), (1, 0), (1, 200))] == [12, 38, 0, 0]
 
 
+def test_upsert_query_keeps_and_replaces_stored_rows(spark, tmp_path, monkeypatch):
+    rows = [(1, 0), (1, 1000), (2, 3), (2, 1), (3, 995), (4, 2), (4, 991), (4, 990), (5, 994)]
+    spark.createDataFrame(rows, "user_id long, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    calls, real = [], C.upsert
+    monkeypatch.setattr(C, "upsert", lambda stored, new, *a, **k: calls.append((stored, new)) or real(stored, new, *a, **k))
+    got = sorted(map(tuple, registry.QUERIES["upsert_last"](spark, str(tmp_path)).collect()))
+    stored, new = ({r.user_id for r in df.collect()} for df in calls[-1])
+    assert (stored - new, stored & new, new - stored) == ({2}, {1, 4}, {3, 5}) and got == [(1, 1000), (2, 3), (3, 995), (4, 991), (5, 994)]
+
+
 def test_evaluation_files(spark, tmp_path):
     lines = [{"question": "q", "images": ["a.png"], "bbox": [[[1, 2, 3, 4]], [5, 6, 7, 8], [1, 2, 3]], "doc_name": "d", "category": "cs"}, {"query": "f", "image_paths": ["b.png"], "bbox": "x"}, {"question": " ", "images": ["c"]}, {"question": "z", "images": []}]
     (tmp_path / "s.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
