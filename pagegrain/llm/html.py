@@ -4,8 +4,9 @@ A page becomes a tree of block nodes (inline markup is read through). Each node
 tokens, depth, siblings, and densities over its subtree; the trees give the odds that it carries main text.
 Decoding takes the most likely labelling under one constraint: below a dropped node nothing is kept. The trees
 are trained here on pages that ``made`` draws from a fixed seed, whose labels are known; no page of the input is a label.
+Attribute tokens count by kind; a share of the made pages has tokens of no kind, so that structure alone must do there.
 
-Text of scripts, styles, form controls and the head is never text. White space (a <br> too) inside a block becomes one
+Text of scripts, styles, form controls, labels, drawings, players and the head is never text. White space (a <br> too) inside a block becomes one
 space; blocks are joined by one newline in page order. Edge cases: null or empty html, or none kept: empty text;
 cut-off markup: what is open ends there; very long pages: one page is in memory at a time beside its batch; repeated rows
 give repeated results. Only page_id, url and html are read, so other columns' names can't clash.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +37,9 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _PIECE = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript".split())
-_HIDDEN = frozenset("head select option button input label datalist svg canvas object audio video map legend".split())
+_HIDDEN = frozenset("head select option datalist map legend".split())
+#: Hidden elements that stand within a line: their text goes, and the block around them stays whole.
+_MUTE = frozenset("label button svg canvas object audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FAMILIES = (
     ("p",),
@@ -56,8 +60,8 @@ _FAMILIES = (
     ("#text",),
 )
 _FAMILY = {tag: k for k, tags in enumerate(_FAMILIES) for tag in tags}
-_BLOCK = frozenset(_FAMILY) | _HIDDEN - {"label", "button", "input", "svg", "canvas", "object", "audio", "video"}
-#: Attribute tokens by kind; fixed values.
+_BLOCK = frozenset(_FAMILY) | _HIDDEN
+#: Attribute tokens by kind; one bit more says that a node has tokens of no kind.
 _KINDS = (
     "nav menu navbar breadcrumb breadcrumbs pagination pager toc tabs toolbar navigation",
     "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored dfp outbrain taboola adsense",
@@ -72,7 +76,7 @@ _KINDS = (
 _KIND = {token: k for k, tokens in enumerate(_KINDS) for token in tokens.split()}
 _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol dl table select menu".split())
-N_FEATURES = len(_FAMILIES) + 2 * len(_KINDS) + 18
+N_FEATURES = len(_FAMILIES) + 2 * (len(_KINDS) + 1) + 18
 
 
 class Node:
@@ -89,9 +93,11 @@ def _kinds(attributes: str) -> int:
     out = 0
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
+            known = 0
             for token in _PIECE.findall(_CAMEL.sub(r"\1 \2", m[1] or m[2] or m[3] or "").lower()):
                 if (k := _KIND.get(token)) is not None:
-                    out |= 1 << k
+                    known |= 1 << k
+            out |= known or 1 << len(_KINDS)
     return out
 
 
@@ -100,6 +106,7 @@ def parse(source: str, kinds=_kinds) -> Node:
     root = Node("html", 0)
     stack, at, end, text, links, linked, hidden = [root], 0, len(source), [], 0, 0, 0
     low, last = None, source.rfind(">")
+    muted: list[tuple[str, int]] = []  # open _MUTE elements with the number of blocks around them
 
     def close_run() -> None:
         nonlocal text, links
@@ -117,6 +124,8 @@ def parse(source: str, kinds=_kinds) -> Node:
         nonlocal hidden
         gone = stack.pop()
         hidden -= gone.tag in _HIDDEN
+        while muted and muted[-1][1] > len(stack):  # a block's end ends what is open in it
+            muted.pop()
 
     while at < end:
         cut, m = source.find("<", at), None
@@ -125,7 +134,7 @@ def parse(source: str, kinds=_kinds) -> Node:
         if m is None and (partial := _PARTIAL.search(source, max(at, last + 1))):
             end = partial.start()  # a tag that the page's end cuts off
         stop = cut if m else end
-        if stop > at:
+        if stop > at and not muted:
             text.append(source[at:stop])
             if linked:
                 links += stop - at
@@ -139,6 +148,10 @@ def parse(source: str, kinds=_kinds) -> Node:
         if m[1]:
             if tag == "a":
                 linked = 0
+            elif tag in _MUTE:
+                if any(t == tag for t, _ in muted):
+                    while muted.pop()[0] != tag:
+                        pass
             elif tag in _BLOCK:
                 close_run()
                 if any(n.tag == tag for n in stack[1:]):
@@ -159,6 +172,9 @@ def parse(source: str, kinds=_kinds) -> Node:
             linked = 1
         elif tag == "html":
             pass
+        elif tag in _MUTE:
+            if not m[3].endswith("/") and source.find("</" + m[2], at) >= 0:  # one that nothing ends hides nothing
+                muted.append((tag, len(stack)))
         elif tag in _BLOCK or tag == "hr":
             close_run()
             linked = 0
@@ -208,47 +224,43 @@ def flatten(root: Node) -> tuple[list[Node], list[int]]:
 
 
 def node_features(nodes: list[Node], parents: list[int]) -> np.ndarray:
-    """One row of ``N_FEATURES`` for each node."""
+    """One row of ``N_FEATURES`` for each node. Nodes are in page order, so a subtree is a range and its sums are differences."""
     n, fam, kin = len(nodes), len(_FAMILIES), len(_KINDS)
-    out = np.zeros((n, N_FEATURES), np.float32)
-    total, leaves, size, above, seen, inside = max(1, nodes[0].chars), np.zeros(n), np.ones(n), np.zeros(n, np.int64), 0, np.zeros(n)
-    heads, marks = np.zeros(n), np.zeros(n)
-    for i in range(n - 1, -1, -1):
-        node = nodes[i]
-        if node.runs:
-            leaves[i] = 1
-            t = node.runs[0]
-            marks[i] = t.count(".") + t.count(",") + t.count("?") + t.count("!")
-        heads[i] += node.tag[0] == "h" and node.tag[1:].isdigit()
-        if (p := parents[i]) >= 0:
-            size[p] += size[i]
-            leaves[p] += leaves[i]
-            heads[p] += heads[i]
-            marks[p] += marks[i]
-    index, same = np.zeros(n), np.zeros(n)
-    for i, node in enumerate(nodes):
-        tags: dict[str, int] = {}
-        for c in node.children:
-            tags[c.tag] = tags.get(c.tag, 0) + 1
-        for k, c in enumerate(node.children):
-            index[c.order], same[c.order] = k, tags[c.tag]
+    up = np.array(parents, np.int64)
+    up[0] = 0
+    number = lambda values: np.fromiter(values, np.float64, n)
+    chars, words, links, depth = (number(getattr(x, k) for x in nodes) for k in ("chars", "words", "links", "depth"))
+    leaf, marks = number(bool(x.runs) for x in nodes), number(sum(map(x.runs[0].count, ".,?!")) if x.runs else 0 for x in nodes)
+    heads, main = number(x.tag[0] == "h" and x.tag[1:].isdigit() for x in nodes), number(x.tag in ("article", "main") for x in nodes)
+    size, above, index, same = np.ones(n), [0] * n, np.zeros(n), np.zeros(n)
+    for i in range(n - 1, 0, -1):
+        size[parents[i]] += size[i]
+    inside = np.zeros(n)
     for i, node in enumerate(nodes):
-        p = parents[i]
-        out[i, _FAMILY.get(node.tag, 4)] = 1
-        if p >= 0:
-            above[i] = above[p] | nodes[p].kinds
-            inside[i] = max(inside[p], nodes[p].tag in ("article", "main"))
-        for k in range(kin):
-            out[i, fam + k] = node.kinds >> k & 1
-            out[i, fam + kin + k] = above[i] >> k & 1
-        siblings = len(nodes[p].children) if p >= 0 else 1
-        around = nodes[p].chars if p >= 0 else node.chars
-        out[i, fam + 2 * kin :] = (
-            np.log1p(node.chars), np.log1p(node.words), node.links / max(1, node.chars), node.chars / size[i], node.words / max(1, leaves[i]), marks[i] / max(1, node.words), node.depth, index[i] / siblings, siblings,
-            same[i], len(node.children), node.chars / total, seen / total, inside[i], heads[i] > 0, around / total, node.chars / max(1, around), node.chars / max(1, node.words),
-        )
-        if node.runs:
-            seen += node.chars
+        if i:
+            above[i] = above[parents[i]] | nodes[parents[i]].kinds
+            inside[i] = inside[parents[i]] or main[parents[i]]
+        if node.children:
+            tags = Counter(c.tag for c in node.children)
+            for k, c in enumerate(node.children):
+                index[c.order], same[c.order] = k, tags[c.tag]
+    below = lambda v: np.concatenate(([0.0], np.cumsum(v)))
+    at, end = np.arange(n), np.arange(n) + size.astype(np.int64)
+    within = lambda v: below(v)[end] - below(v)[at]
+    children = number(len(x.children) for x in nodes)
+    siblings, around = children[up], chars[up]
+    siblings[0] = 1
+    own, inherited = np.array([x.kinds for x in nodes], np.int64), np.array(above, np.int64)
+    out = np.zeros((n, N_FEATURES), np.float32)
+    out[at, [_FAMILY.get(x.tag, 4) for x in nodes]] = 1
+    for k in range(kin + 1):
+        out[:, fam + k] = own >> k & 1
+        out[:, fam + kin + 1 + k] = inherited >> k & 1
+    total, one = max(1.0, chars[0]), np.maximum(1, chars)
+    out[:, fam + 2 * kin + 2 :] = np.stack((
+        np.log1p(chars), np.log1p(words), links / one, chars / size, words / np.maximum(1, within(leaf)), within(marks) / np.maximum(1, words), depth, index / siblings, siblings,
+        same, children, chars / total, below(chars * leaf)[at] / total, inside, within(heads) > 0, around / total, chars / np.maximum(1, around), chars / np.maximum(1, words),
+    ), axis=1)
     return out
 
 
@@ -280,16 +292,18 @@ def made(seed: int, pages: int) -> list[Node]:
     """Trees of made-up pages with labels: 1 for nodes that carry main text, 0 for the rest."""
     rnd = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
+    pool = ["".join(rnd.choices(letters, k=rnd.randint(1, 10))) for _ in range(2000)]
 
     def sentence(lo: int, hi: int) -> str:
-        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 10))) for _ in range(rnd.randint(lo, hi))).capitalize() + rnd.choice((".", ".", ".", "", "!", "?"))
+        return " ".join(rnd.choices(pool, k=rnd.randint(lo, hi))).capitalize() + rnd.choice((".", ".", ".", "", "!", "?"))
 
     def text(lo: int, hi: int) -> str:
         return " ".join(sentence(3, 20) for _ in range(rnd.randint(lo, hi)))
 
     def tag(name: str, inner: str, kind: int | None, keep: int, bare: float = 0.3) -> str:
-        tokens = _KINDS[kind].split() if kind is not None else []
-        attribute = "" if not tokens or rnd.random() < bare else f' class="{rnd.choice(tokens)}{rnd.choice(("", "-" + rnd.choice(letters) * 2, "-box x1"))}"'
+        """An element whose attribute tokens are of a kind; some pages' tokens are all of none."""
+        tokens = strange if odd else _KINDS[kind].split() if kind is not None else []
+        attribute = "" if not tokens or rnd.random() < bare else f' {rnd.choice(("class", "class", "class", "id"))}="{rnd.choice(tokens)}{rnd.choice(("", "-" + rnd.choice(letters) * 2, "-box x1"))}"'
         return f'<{name}{attribute} data-k{keep}="1">{inner}</{name}>'
 
     def links(n: int, item: str = "li") -> str:
@@ -314,6 +328,8 @@ def made(seed: int, pages: int) -> list[Node]:
 
     def block() -> str:
         r = rnd.random()
+        if r < 0.06:
+            return f'<{(name := rnd.choice(("div", "div", "section")))} data-k1="1"><p data-k1="1">{text(1, 4)}</p></{name}>'
         if r < 0.72:
             return f'<p data-k1="1">{text(1, rnd.choice((1, 3, 8)))}</p>'
         if r < 0.8:
@@ -326,24 +342,26 @@ def made(seed: int, pages: int) -> list[Node]:
 
     out = []
     for _ in range(pages):
+        odd, strange = rnd.random() < 0.15, rnd.choices(pool, k=6)
+        plain = rnd.random() < 0.15  # nothing but the article
         if rnd.random() < 0.2:  # a few words are the whole article
             body = [f'<h1 data-k1="1">{sentence(1, 4)}</h1>'] * (rnd.random() < 0.85) + [f'<p data-k1="1">{sentence(1, 4)}</p>'] * rnd.choice((1, 1, 2))
         else:
             body = [f'<h1 data-k1="1">{sentence(2, 14)}</h1>'] * (rnd.random() < 0.85) + [block() for _ in range(rnd.choice((1, 1, 2, 4, 8, 16)))]
-        for _ in range(rnd.choice((0, 0, 0, 1, 2))):
+        for _ in range(0 if plain else rnd.choice((0, 0, 0, 1, 2))):
             body.insert(rnd.randint(0, len(body)), junk(rnd.choice((1, 1, 5, 6, 7, 2))))
-        if rnd.random() < 0.25:
+        if rnd.random() < 0.25 and not plain:
             body.append(junk(2))
         article = tag(rnd.choice(("article", "article", "main", "div", "div", "section")), "".join(body), 8, 1, 0.3)
         for _ in range(rnd.choice((0, 0, 1, 2))):
-            beside = [junk(rnd.choice((5, 1, 2)))] if rnd.random() < 0.4 else []
+            beside = [junk(rnd.choice((5, 1, 2)))] if rnd.random() < 0.4 and not plain else []
             article = tag(rnd.choice(("div", "main", "section")), "".join([article, *beside]), rnd.choice((8, None)), 1, 0.5)
         parts = [article]
         for which in (3, 2, 5, 7, 6, 1):
-            if rnd.random() < (0.85 if which == 3 else 0.35):
+            if rnd.random() < (0.85 if which == 3 else 0.35) and not plain:
                 parts.append(junk(which))
         for which in (1, 0, 4, 6):
-            if rnd.random() < (0.8 if which == 0 else 0.4):
+            if rnd.random() < (0.8 if which == 0 else 0.4) and not plain:
                 parts.insert(0, junk(which))
         out.append(parse(f"<html><body>{''.join(parts)}</body></html>", _labelled))
     return out
@@ -361,7 +379,7 @@ def model(seed: int = 11, pages: int = 800) -> trees.Forest:
             n.kinds &= (1 << 40) - 1
         xs.append(node_features(nodes, parents))
         ys.append(y)
-    return trees.fit(np.concatenate(xs), np.concatenate(ys), trees=60, depth=5, rate=0.2)
+    return trees.fit(np.concatenate(xs), np.concatenate(ys), trees=60, depth=5, rate=0.25, share=0.5)
 
 
 def extract(sources: list[str | None], forest: trees.Forest) -> list[str]:
