@@ -40,10 +40,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -
 
 
 def _leaves(cells: DataFrame, depth: int, least: int, limit: int) -> DataFrame:
-    """(cell, leaf) of the cells at ``depth`` that some bucket of depth ``least`` or more holds whole."""
-    wide = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("d"))
-    wide = wide.withColumn("bucket", F.expr(f"shiftright(cell, {depth} - d)"))
-    fits = wide.groupBy("d", "bucket").agg(F.sum("bytes").alias("b"), F.sum("n").alias("m")).where((F.col("b") <= limit) | (F.col("m") == 1)).select("d", "bucket")
+    """(cell, leaf) of the cells at ``depth`` that some bucket of depth ``least`` or more holds whole.
+
+    Buckets are summed ``BELOW`` levels at a time from the cells up, and no further once none fits at a level: what holds
+    a bucket too large is too large. So no level has fewer buckets than need be, down to one for all rows.
+    """
+    at, top, fits, rows = cells.select(F.col("cell").alias("bucket"), "bytes", "n"), depth, None, cells.select("cell")
+    while True:
+        low = max(least, top - BELOW)
+        wide = at.select("bytes", "n", F.col("bucket").alias("at"), F.explode(F.sequence(F.lit(low), F.lit(top))).alias("d"))
+        sums = cut(wide.groupBy("d", F.expr(f"shiftright(at, {top} - d)").alias("bucket")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")))
+        good = sums.where((F.col("bytes") <= limit) | (F.col("n") == 1))
+        fits = good.select("d", "bucket") if fits is None else fits.union(good.where(F.col("d") < top).select("d", "bucket"))
+        if low == least or good.where(F.col("d") == low).isEmpty():
+            break
+        at, top = sums.where(F.col("d") == low).select("bucket", "bytes", "n"), low
+    wide = rows.select("cell", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("d")).withColumn("bucket", F.expr(f"shiftright(cell, {depth} - d)"))
     return wide.join(fits, ["d", "bucket"]).groupBy("cell").agg(F.min("d").alias("leaf"))
 
 
