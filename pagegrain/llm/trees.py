@@ -38,7 +38,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: flo
     feature, threshold, leaves = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     if n == 0 or y.min() == y.max():
         return Forest(feature[:0], threshold[:0], leaves[:0], base)
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins))) for f in range(x.shape[1])]
+    edges = [(c[1:] + c[:-1]) / 2 for c in cuts]  # half way, so that a value never seen falls to the nearer side
     binned = [np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)]
     useful = [f for f, e in enumerate(edges) if len(e)]
     total, draw = np.full(n, base), np.random.default_rng(1)

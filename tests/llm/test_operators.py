@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pagegrain.llm import decontaminate, html, lm, materialise, ngramjoin, packing, quality, rules, sharding, urls
+from pagegrain.llm import decontaminate, html, lm, materialise, ngramjoin, packing, quality, rules, sharding
 from pagegrain.llm.tokens import coder, default_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,33 +165,6 @@ def test_rules_lines_and_symbols(spark):
     assert (got[1].n_dup_lines, got[2].n_symbols, got[2].word_chars, got[3].n_repeat_words, got[4].n_repeat_words) == (1, 3, 4, 6, 0)
 
 
-def test_url_rules(spark):
-    cases = {
-        "http://A.com": ("a.com", "", None), "http://a.com/": ("a.com", "/", "com/"), "https://www.Example.com/en/x?q=://b/": ("www.example.com", "/en/x", "www.example.com/en/"),
-        "http://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/"), "x://a.net/es/1#y": ("a.net", "/es/1", "net/es/"), "x://net/fr/": ("net", "/fr/", "net/fr/"),
-        "http://xcom/": ("xcom", "/", None), "a.com/": ("", "", None), "": ("", "", None), "http://a.net/de/": ("a.net", "/de/", None),
-    }
-    rows = spark.createDataFrame([*((i, u, "h") for i, u in enumerate(cases)), (99, None, "h"), (99, None, "h")], "page_id long, url string, host string")
-    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(rows).collect()]
-    assert sorted(x[:4] for x in got if x[0] < 99) == sorted((i, *cases[u]) for i, u in enumerate(cases)) and len(got) == len(cases) + 2
-    verdicts = {"com/": "allow", "www.example.com/en/": "allow", None: None}
-    assert all(v == verdicts.get(r, "block") for _, _, _, r, v in got if r)
-    assert urls.filter_urls(rows.limit(0)).count() == 0
-
-
-def test_url_trees_tell_held_out_urls():
-    rnd = np.random.default_rng(4)
-    made = [(f"http://h{rnd.integers(50)}.com/a/{rnd.integers(9)}", 0) if rnd.random() < 0.5 else (f"http://x-{rnd.integers(99999)}.net/?a=1&b={rnd.integers(10**9)}", 1) for _ in range(1200)]
-    y = np.array([b for _, b in made], float)
-    blocked, seen = np.zeros(urls.CELLS), np.zeros(urls.CELLS)
-    for u, b in made[:800]:
-        for c in urls._cells(u):
-            seen[c] += 1
-            blocked[c] += b
-    f = urls.trees.fit(urls.features([u for u, _ in made[:800]], blocked, seen, y[:800]), y[:800], trees=10, depth=3)
-    assert ((f.predict(urls.features([u for u, _ in made[800:]], blocked, seen)) > 0.5) == y[800:]).mean() > 0.97
-
-
 def brute_hits(docs, items):
     out = {}
     for (d, t), (i, b) in itertools.product(docs, items):
@@ -350,6 +323,21 @@ def test_sharding_pages_of_identical_rows(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_sharding_of_tables_that_fit_in_few_shards(docs, corpus):
+    """The directory's sums go up to the root where that fits, and a very long text is a shard of its own."""
+    total = sum(len((t or "").encode()) + sharding.OVERHEAD for _, t in corpus)
+    assert {r.shard for r in sharding.assign(docs, total).collect()} == {""}
+    for limit in (total - 1, total // 3):
+        shards = collections.defaultdict(list)
+        for r in sharding.assign(docs, limit).collect():
+            shards[r.shard].append(r.bytes)
+        assert 2 <= len(shards) <= 16 and all(sum(b) <= limit or len(b) == 1 for b in shards.values())
+        for s in shards:
+            assert sum(sum(b) for t, b in shards.items() if t.startswith(s[:-1])) > limit
+    one = [r for r in sharding.assign(docs, 1000).collect() if r.doc_id == 10]
+    assert len(one) == 1 and one[0].bytes == 200_016
+
+
 def test_packing(docs, corpus, empty):
     got = packing.pack(docs, window=64).collect()
     by_sequence, total = collections.defaultdict(list), sum(len(ids_of(t)) for _, t in corpus)
