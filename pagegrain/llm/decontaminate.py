@@ -1,18 +1,22 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations alone.
 
 A benchmark item of m words is compared with the windows of m consecutive words of a document (lower-cased A-Z, split at
-ASCII white space) that have a shingle of five words in common with it; windows without one have
-similarity 0. A document of fewer words than the item is one window as a whole. Windows and items get a 64-bit SimHash of their shingles, each occurrence of one
-hashed with its number, so that the distance follows the weighted similarity. Fingerprints are
-cut into RADIUS + 1 blocks, so two of them within RADIUS bits agree in some block, and a join on (size, block, bits)
-finds all of those. Pairs within the radius are then verified by exact weighted Jaccard similarity of the
-shingles: a document is contaminated by an item from 0.75 on. At a similarity of 0.75 the expected distance is 11 bits with a
-deviation of 3; the radius is 23.
+ASCII white space); a document of fewer words than the item is one window as a whole. Windows and items get a 64-bit SimHash
+of their shingles of five words, each occurrence of one hashed with its number, so that the distance follows the weighted
+similarity. Fingerprints are cut into RADIUS + 1 blocks, so two of them within RADIUS bits agree in some block. Pairs
+within the radius are then verified by exact weighted Jaccard similarity of the shingles: a document is contaminated by an
+item from 0.75 on. At a similarity of 0.75 the expected distance is 11 bits with a deviation of 3; the radius is 23.
+
+Which windows get a fingerprint: similarity s means that s / (1 + s) of all shingles of both are in common, so
+a window needs that many places whose shingle is in the item. Places of the item's shingles are found by one join, and
+``starts`` keeps the windows with enough of them, each once; no other window can reach the threshold. A window
+goes into the index under its item, so it meets that item's blocks alone and candidates never outnumber windows.
 
 Edge cases: items of fewer than five words have their whole sequence as one shingle; null, empty or blank items
-and texts match nothing; repeated rows report once; ties in
-similarity give the first window; an empty table on either side gives no row. Only the id
-and text columns are read, and clashing names can't reach the result. Items are broadcast up to ``MAX_BROADCAST`` rows; beyond, the joins shuffle.
+and texts match nothing; repeated rows report once; ties in similarity give the first window; items of any length, and any
+number of items of one id, count; null ids are an id like any other; an empty table on either side gives no row. Only the id
+and text columns are read, and clashing names can't reach the result. What is broadcast is checked: up to ``MAX_BROADCAST``
+bytes; beyond, the joins shuffle.
 """
 
 from __future__ import annotations
@@ -25,41 +29,53 @@ from .session import cut
 WIDTH = 5
 NUM, DEN = 75, 100
 RADIUS = 23
-MAX_BROADCAST = 1 << 19
+#: Bytes of a table that is broadcast at most, about.
+MAX_BROADCAST = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
 #: The most shingles that sums of 16 bits can count.
 NARROW = (1 << 15) - 1
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once. A column of a projection below may be inlined wherever it is read, in lambdas at each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array without one."""
-    plain = F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(_SPACE))
-    return F.when(F.length(plain) > 0, F.split(plain, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    plain = F.btrim(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(_SPACE))
+    return let(plain, lambda t: F.when(F.length(t) > 0, F.split(t, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
+
+
+def shingles(ws: Column, width: int) -> Column:
+    """Hashes of the runs of ``width`` words, from hashes of the words; none where words are fewer."""
 
+    def runs(hw: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(hw) - width)
+        return F.when(F.size(hw) >= width, F.transform(at, lambda i: F.xxhash64(*(F.get(hw, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
 
-def _shingle(ws: str, at: str, width: int) -> str:
-    return f"xxhash64({', '.join(f'get({ws}, {at} + {k})' for k in range(width))})"
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), runs)
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Adds to rows with ``ws`` and ``m`` the array ``hs`` of their shingles' hashes; of the width of an item of ``m`` words."""
-    by = [f"WHEN least(m, {WIDTH}) = {w} THEN transform(sequence(0, size(ws) - {w}), i -> {_shingle('ws', 'i', w)})" for w in range(1, WIDTH + 1)]
-    return rows.withColumn("hs", F.expr(f"CASE {' '.join(by[::-1])} END"))
+def _numbered(rows: DataFrame, name: str = "hs") -> DataFrame:
+    """``hs`` as hashes with their occurrence, so that sets of them are multisets of the shingles."""
+    number = lambda s: F.transform(s, lambda h, i: F.when((i > 0) & (h == F.get(s, i - 1)), F.xxhash64(h, i + 1 - F.array_position(s, h))).otherwise(F.xxhash64(h, F.lit(0).cast("long"))))
+    return rows.withColumn(name, let(F.sort_array(name), number))
 
 
-def _fingerprints(rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """keys, fp of the rows' shingles ``hs``, ``longest`` at most. A sum holds four counts of 16 bits, or two of 32 where a row is long."""
+def fingerprint(longest: int, hs: str = "hs") -> Column:
+    """The SimHash of ``hs``, ``longest`` at most. A sum holds four counts of 16 bits, or two of 32 where an array may be long."""
     wide = 16 if longest <= NARROW else 32
     lane = sum(1 << a for a in range(0, 64, wide))
-    one = rows.select(*keys, F.size("hs").alias("k"), F.explode("hs").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(lane))).alias(f"s{j}") for j in range(wide)]
-    sums = one.groupBy(*keys, "k").agg(*lanes)
     # with half - k / 2 added, a lane's last bit but one says that more than half of the shingles have the bit
     half, tops = (1 << (wide - 2)) - 1, lane << (wide - 2)
-    marks = [f"(s{j} + ({half} - k DIV 2) * {lane}L) & {tops}L" for j in range(wide)]
-    marks = [f"shiftrightunsigned({t}, {wide - 2 - j})" if j < wide - 1 else f"shiftleft({t}, 1)" for j, t in enumerate(marks)]
-    return sums.select(*keys, F.expr(" | ".join(marks)).alias("fp"))
+    marks = []
+    for j in range(wide):
+        total = f"aggregate({hs}, 0L, (s, h) -> s + (shiftrightunsigned(h, {j}) & {lane}L))"
+        mark = f"({total} + ({half} - size({hs}) DIV 2) * {lane}L) & {tops}L"
+        marks.append(f"shiftrightunsigned({mark}, {wide - 2 - j})" if j < wide - 1 else f"shiftleft({mark}, 1)")
+    return F.expr(" | ".join(marks))
 
 
 def _blocks(fp: str = "fp") -> Column:
@@ -70,61 +86,79 @@ def _blocks(fp: str = "fp") -> Column:
     return F.expr(f"transform(array({cuts}), e -> CAST(shiftrightunsigned({fp}, e.a) & e.m AS INT))")
 
 
-def _numbered(hs: str) -> Column:
-    """Hashes with their occurrence, so that sets of them are multisets of the shingles."""
-    return F.expr(f"CASE WHEN size(array_distinct({hs})) = size({hs}) THEN transform({hs}, h -> xxhash64(h, 0)) ELSE transform({hs}, (h, i) -> xxhash64(h, size(filter(slice({hs}, 1, i), x -> x = h)))) END")
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+def _begins(ps: Column) -> Column:
+    """The windows of k that hold ``need`` of the places: for each run of so many, the windows that no run before it had."""
+    n, k, need = F.col("n"), F.col("k"), F.col("need")
 
+    def run(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(ps, i + need - 1) - k + 1, F.when(i > 0, F.get(ps, i - 1) + 1).otherwise(F.lit(0)))
+        high = F.least(F.get(ps, i), n - F.least("n", "m"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-def windows(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, widths: list[int]) -> DataFrame:
-    """(id, row, item, m, start, ws): the item-sized windows that hold a shingle of the item; of shorter texts, the whole where it has shingles enough to reach the threshold."""
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, "text").alias("row"), words(F.col("text")).alias("words"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ps) - need), run))
+
+
+def starts(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, widths: list[int]) -> DataFrame:
+    """(id, row, ik, width, k, start): the windows of k shingles with places enough whose shingle is in the item, each once.
+
+    A window with that many places begins at or before one of them and ends at or after the one ``need - 1`` further on.
+    """
     found = None
     for w in widths:
-        spots = items.where(F.least("m", F.lit(WIDTH)) == w).select("item", "m", F.posexplode("hs").alias("q", "h"), "hs")
-        spots = spots.select("item", "m", "h", F.expr("CASE WHEN q > 0 THEN get(hs, q - 1) END").alias("before"))
-        one = texts.select("id", "row", "words", F.posexplode("words").alias("p", "_")).where(F.col("p") <= F.size("words") - w)
-        one = one.withColumn("h", F.expr(_shingle("words", "p", w)))
-        hits = one.join(_small(spots, n_shingles), "h").withColumn("n", F.least("m", F.size("words")))
-        hits = hits.where(f"n = m OR {DEN} * (n - {w - 1}) >= {NUM} * (m - {w - 1})")  # it can't have more in common than it has
-        # a hit that goes on from the one before it adds the window that begins at it
-        goes_on = F.expr(f"p > 0 AND before IS NOT NULL AND before = {_shingle('words', '(p - 1)', w)}")
-        low = F.when(goes_on, F.col("p")).otherwise(F.greatest(F.lit(0), F.col("p") - F.col("n") + w))
-        hits = hits.withColumns({"low": low, "high": F.least(F.col("p"), F.size("words") - F.col("n"))}).where("low <= high")
-        hits = hits.select("id", "row", "item", "m", "n", "words", F.explode(F.sequence("low", "high")).alias("start"))
-        hits = hits.select("id", "row", "item", "m", "start", F.expr("slice(words, start + 1, n)").alias("ws"))
-        found = hits if found is None else found.union(hits)
-    return found.groupBy("id", "row", "item", "m", "start").agg(F.first("ws").alias("ws"))
+        spots = items.where(F.col("width") == w).select("ik", "m", F.explode(F.array_distinct("hs")).alias("h"))
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, "text").alias("row"), shingles(words(F.col("text")), w).alias("hs"))
+        places = texts.select("id", "row", (F.size("hs") + (w - 1)).alias("n"), F.posexplode_outer("hs").alias("p", "h"))  # outer: no filter on the array, which would make it twice
+        hits = places.join(_small(spots, 40 * n_shingles), "h").withColumn("k", F.least("n", "m") - (w - 1))
+        hits = hits.withColumn("need", F.expr(f"CAST(({NUM} * (k + m - {w - 1}) + {NUM + DEN - 1}) DIV {NUM + DEN} AS INT)")).where("need <= k")
+        rows = hits.groupBy("id", "row", "n", "ik", "m", "k", "need").agg(F.collect_set("p").alias("ps")).where("size(ps) >= need")
+        rows = rows.select("id", "row", "ik", F.lit(w).alias("width"), "k", F.explode_outer(let(F.sort_array("ps"), _begins)).alias("start")).where("start is not null")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
+def windows(docs: DataFrame, near: DataFrame, id_col: str, widths: list[int]) -> DataFrame:
+    """``near`` with the shingles ``hs`` of its windows; texts that hold none are passed over before they are cut into words."""
+    wanted = near.select("row").distinct()
+    rows = docs.withColumn("row", F.xxhash64(id_col, "text")).select("row", "text").join(_small(wanted, 16 * wanted.count()), "row", "left_semi")
+    by = let(words(F.col("text")), lambda ws: F.map_from_arrays(F.array(*map(F.lit, widths)), F.array(*(shingles(ws, w) for w in widths))))
+    rows = rows.dropDuplicates(["row"]).select("row", by.alias("by"))
+    return near.join(rows, "row").select(*near.columns, F.expr("slice(try_element_at(by, width), start + 1, k)").alias("hs"))
+
+
+def candidates(near: DataFrame, items: DataFrame, n_items: int) -> DataFrame:
+    """(id, row, ik, start) of the windows within RADIUS bits of their item, by the index of blocks, from rows with ``fp``."""
+    keys = ["id", "row", "ik", "start"]
+    prints = near.select(*keys, "fp", _blocks().alias("blocks")).select("*", F.posexplode("blocks").alias("block", "bits"))
+    marks = items.select("ik", F.col("fp").alias("mark"), _blocks().alias("theirs")).select("*", F.posexplode("theirs").alias("block", "bits"))
+    pairs = prints.join(_small(marks, 160 * n_items * (RADIUS + 1)), ["ik", "block", "bits"])
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)
+    return pairs.where("size(filter(sequence(0, block), i -> get(blocks, i) = get(theirs, i))) = 1").select(*keys)  # once, at the first block in common
 
 
 def _proof(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str) -> DataFrame:
     """(id, row, start, of, similarity): the windows that reach the threshold, with the item they hold."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("ws")).withColumn("m", F.size("ws")).where("m > 0").distinct()
-    items = cut(_hashed(items))
-    facts = items.agg(F.sum(F.size("hs")), F.count("*"), F.sort_array(F.collect_set(F.least("m", F.lit(WIDTH)))), F.max(F.size("hs"))).first()  # at most five widths
+    items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("ws")).where("size(ws) > 0").distinct()
+    items = items.withColumns({"m": F.size("ws"), "width": F.least(F.size("ws"), F.lit(WIDTH)), "ik": F.xxhash64("item", "ws")})
+    hs = F.lit(None).cast("array<bigint>")
+    for w in range(1, WIDTH + 1):
+        hs = F.when(F.col("width") == w, shingles(F.col("ws"), w)).otherwise(hs)
+    items = cut(cut(items).withColumn("hs", hs).drop("ws"))
+    facts = items.agg(F.sum(F.size("hs")), F.count("*"), F.sort_array(F.collect_set("width")), F.max(F.size("hs"))).first()  # at most five widths
     kinds = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    schema = f"id {kinds[0]}, row long, start int, of {kinds[1]}, similarity double"
     if not facts[1]:
-        return spark.createDataFrame([], schema)
-    near = cut(_hashed(windows(docs, items, id_col, facts[0], facts[2])).withColumn("hs", _numbered("hs")).drop("ws"))
-    items = items.withColumn("hs", _numbered("hs"))
-    keys = ["id", "row", "item", "start"]
-    prints = _fingerprints(near, [*keys, "m"], facts[3])
-    prints = prints.withColumn("blocks", _blocks()).select("*", F.posexplode("blocks").alias("block", "bits"))
-    marks = _fingerprints(items.select("item", "ws", "m", "hs"), ["item", "m", "ws"], facts[3]).withColumn("theirs", _blocks()).withColumnsRenamed({"item": "of", "fp": "mark"})
-    marks = marks.select("of", "ws", "m", "mark", "theirs", F.posexplode("theirs").alias("block", "bits")).drop("ws")
-    pairs = prints.join(_small(marks, facts[1] * (RADIUS + 1)), ["m", "block", "bits"])
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)
-    pairs = pairs.where("size(filter(sequence(0, block), i -> get(blocks, i) = get(theirs, i))) = 1")  # once, at the first block in common
-    pairs = pairs.select(*keys, "of", "m")
+        return docs.sparkSession.createDataFrame([], f"id {kinds[0]}, row long, start int, of {kinds[1]}, similarity double")
+    near = cut(starts(docs, items, id_col, facts[0], facts[2]))
+    # what later expressions read again is written first: an expression inlined into a lambda is evaluated at each element
+    near = cut(_numbered(cut(windows(docs, near, id_col, facts[2]))).withColumn("fp", fingerprint(facts[3])))
+    items = cut(_numbered(items).withColumn("fp", fingerprint(facts[3])))
+    pairs = candidates(near, items, facts[1])
     near = near.withColumnRenamed("hs", "mine")
-    whole = _small(items.select(F.col("item").alias("of"), "m", F.col("hs").alias("its")), facts[1])
-    same = [near[k].eqNullSafe(pairs[k]) for k in keys]
-    proof = near.join(pairs, same[0] & same[1] & same[2] & same[3]).select(near["id"], near["row"], near["start"], "of", near["m"], "mine").join(whole, ["of", "m"])
+    same = near["id"].eqNullSafe(pairs["id"]) & (near["row"] == pairs["row"]) & (near["ik"] == pairs["ik"]) & (near["start"] == pairs["start"])
+    proof = near.join(pairs, same, "left_semi").join(_small(items.select("ik", F.col("item").alias("of"), F.col("hs").alias("its")), 8 * facts[0] + 64 * facts[1]), "ik")
     k, both = F.size("mine") + F.size("its"), F.size(F.array_intersect("mine", "its"))
     proof = proof.select("id", "row", "start", "of", k.alias("k"), both.alias("both")).where(F.expr(f"{DEN} * both >= {NUM} * (k - both)"))
     return proof.select("id", "row", "start", "of", (F.col("both") / (F.col("k") - F.col("both"))).alias("similarity")).distinct()
@@ -141,4 +175,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
     """The documents that hold no item; of rows with one id, or with none, those that hold one alone go."""
     bad = cut(_proof(docs, benchmark, id_col, item_col).select(F.col("id").alias("_bad"), F.col("row").alias("_bad_row")).distinct())
     same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(id_col, "text") == F.col("_bad_row"))
-    return docs.join(_small(bad, bad.count()), same, "left_anti")
+    return docs.join(_small(bad, 64 * bad.count()), same, "left_anti")

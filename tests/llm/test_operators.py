@@ -240,9 +240,9 @@ def test_fingerprints_of_any_length(spark):
             want[2 * i + same] = int(np.packbits(bits, bitorder="little").view(np.int64)[0])
             rows.append((2 * i + same, hs.tolist()))
     table = spark.createDataFrame(rows, "i int, hs array<long>")
-    assert {r.i: r.fp for r in decontaminate._fingerprints(table, ["i"], longest).collect()} == want
-    short = table.where(f"size(hs) <= {decontaminate.NARROW}")
-    assert {r.i: r.fp for r in decontaminate._fingerprints(short, ["i"], decontaminate.NARROW).collect()} == {i: fp for i, fp in want.items() if len(rows[i][1]) <= decontaminate.NARROW}
+    assert {r.i: r.fp for r in table.select("i", decontaminate.fingerprint(longest).alias("fp")).collect()} == want
+    short = table.where(f"size(hs) <= {decontaminate.NARROW}").select("i", decontaminate.fingerprint(decontaminate.NARROW).alias("fp"))
+    assert {r.i: r.fp for r in short.collect()} == {i: fp for i, fp in want.items() if len(rows[i][1]) <= decontaminate.NARROW}
 
 
 def test_decontamination_of_a_long_item(spark):
@@ -260,6 +260,43 @@ def test_clean_drops_rows_and_not_ids(spark):
     assert sorted(r.row for r in decontaminate.clean(table, bench).collect()) == [1, 2, 4, 5, 8]
 
 
+def test_decontamination_index_meets_few_items(spark, monkeypatch):
+    """The index's pairs, before distances, against all pairs of windows and items; and the same result when nothing is broadcast."""
+    rnd = np.random.default_rng(10)
+    word = lambda n: [f"w{rnd.integers(60)}" for _ in range(n)]
+    items = [(i, " ".join(word(24))) for i in range(60)]
+    docs = [(d, " ".join([*word(30), *items[d % 60][1].split(" ")[: 24 - d % 3], *word(30)])) for d in range(200)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = {}
+    real = decontaminate.candidates
+
+    def count(near, marks, n_items):
+        out = real(near, marks, n_items)
+        seen["windows"], seen["pairs"] = near.count(), out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "candidates", count)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.find(*tables).collect()}
+    assert got == brute_hits(docs, items) and len(got) >= 200
+    assert seen["pairs"] <= seen["windows"] < 0.05 * seen["windows"] * len(items)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    again = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.find(*tables).collect()}
+    assert again == got
+
+
+def test_decontamination_of_repeated_and_null_ids_and_a_very_long_text(spark):
+    rnd = np.random.default_rng(12)
+    word = lambda n: [f"w{rnd.integers(5000)}" for _ in range(n)]
+    a, b, c = (" ".join(word(20)) for _ in range(3))
+    items = spark.createDataFrame([(1, a, 0), (1, b, 1), (None, c, 2), (1, a, 3)], "item_id long, text string, row long")
+    long = " ".join([*word(300_000), a, *word(10), a, *word(100_000)])
+    rows = [(None, f"x {b} y"), (None, "clean words alone"), (5, long), (6, c), (6, f"{a} and {b}"), (None, f"x {b} y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((key((r.doc_id, r.item_id)), r.similarity, r.start, r.n_windows >= 2) for r in decontaminate.find(table, items).collect())
+    assert got == sorted([(key((None, 1)), 1.0, 1, True), (key((5, 1)), 1.0, 300_000, True), (key((6, None)), 1.0, 0, False), (key((6, 1)), 1.0, 0, True)])
+    assert [r.text for r in decontaminate.clean(table, items).collect()] == ["clean words alone"]
+
+
 def test_decontamination_stays_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     plan = decontaminate.find(docs, bench)._jdf.queryExecution().executedPlan().toString()
