@@ -16,11 +16,12 @@ the order, so how it is estimated can't change the result. Shingles in one text
    size, with one class of the shard in all its blocks; in each block an R-tree join links classes, passing over what
    is connected already;
 4. classes of different blocks, not yet connected, with enough shingles in common are joined the same way, in blocks of
-   bounded size, and survivors verified; the links' components are the result.
+   bounded size, and survivors verified; the links' components are the result. Of a shingle's texts those of its largest component
+   are split and each part meets the rest alone, so a large group of near copies costs its size and not the square of it.
 
 Edge cases: null, empty or blank text: no shingle, its own component. Fewer words than the width: the whole sequence is
-the one shingle. Repeated rows and repeated doc_ids are rows of their own; a null doc_id joins like any other row but
-never names a component unless alone in it, which then is null. Only the id and text columns are read.
+the one shingle. Repeated rows and repeated ids are rows of their own; ids are of any type that has an order; a null id joins
+like any other row but never names a component unless alone in it, which then is null. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ GROUPS = 128
 #: Shingles ordered last: those found in the most texts within a task's chunk. A matter of speed alone.
 MAX_HOT, HOT_IN_CHUNK, CHUNK = 1 << 16, 4, 1 << 20
 #: Shingles in a block's R-tree, about; texts of a shingle compared in one task.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 22, 1 << 13
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 22, 1 << 9
 #: Rows (16 bytes) of a broadcast at most; beyond, the join shuffles.
 MAX_BROADCAST = 1 << 19
 
@@ -65,12 +66,12 @@ def common(n: int) -> int:
 def _profile(batches):
     """kind 0: (text hash, set key, size) with the id of every row; kind 1: a chunk's frequent shingles and their texts."""
 
-    def frequent(chunk):
+    def frequent(chunk, id_type):
         values, counts = np.unique(np.concatenate(chunk), return_counts=True)
         hot = np.flatnonzero(counts >= HOT_IN_CHUNK)
         hot = hot[np.argsort(-counts[hot], kind="stable")[:4096]]
         n = len(hot)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values[hot].view(np.int64)), pa.array(counts[hot])], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.array(values[hot].view(np.int64)), pa.array(counts[hot])], names)
 
     names, chunk, size, seen = ["kind", "id", "th", "key", "n"], [], 0, set()
     for batch in batches:
@@ -82,11 +83,11 @@ def _profile(batches):
                 chunk.append(s)
                 size += len(s)
                 if size >= CHUNK:
-                    yield frequent(chunk)
+                    yield frequent(chunk, batch.column(0).type)
                     chunk, size, seen = [], 0, set()
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(0), batch.column(1), pa.array(keys), pa.array(ns)], names)
     if chunk:
-        yield frequent(chunk)
+        yield frequent(chunk, batch.column(0).type)
 
 
 def _prefixes(hot, bits: int):
@@ -280,9 +281,12 @@ def _cross(table: pa.Table) -> pa.Table:
         tree = RTree(at, n[part])
         tree.colour(root[part])
         alone = left[part[0]] == right[part[0]]
-        for q, i in enumerate(part):
-            if not alone and side[i] != left[i]:
-                continue
+        ask = np.ones(len(part), bool)
+        if not alone:  # the side of fewer texts asks
+            ask = side[part] == left[part[0]]
+            ask = ask if 2 * ask.sum() <= len(part) else ~ask
+        for q in np.flatnonzero(ask):
+            i = part[q]
             found = part[tree.search(at[q], int(n[i]), int(root[i]))]
             found = found[(root[found] != root[i]) & (unit[found] != unit[i]) & ((key[found] > key[i]) if alone else (side[found] != side[i]))]
             out[0].append(np.full(len(found), key[i]))
@@ -318,8 +322,8 @@ def _by(small: DataFrame, n: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Rows (id, key, n) of every document, and links (a, b) between set keys that span the components."""
     spark = docs.sparkSession
-    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
-    got = cut(texts.mapInArrow(tidy(_profile), "kind long, id long, th long, key long, n long"))
+    texts = bounded(docs).select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), "text")
+    got = cut(texts.mapInArrow(tidy(_profile), f"kind long, id {docs.schema[id_col].dataType.simpleString()}, th long, key long, n long"))
     rows = got.where("kind = 0").drop("kind")
     hot = got.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()  # at most MAX_HOT
     values, rank = np.array([r["key"] for r in hot], np.int64).view(np.uint64), np.array([r["n"] for r in hot], np.int64)
@@ -330,7 +334,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     dealt = docs.select("text").mapInArrow(tidy(_prefixes(sent, bits)), "bucket long, blob binary")
     shared = cut(dealt.groupBy("bucket").applyInArrow(tidy(_shared), "h long, key long"))
 
-    one = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "th")).alias("rep"))
+    alike = rows.where("n > 0").groupBy("key", "id", "th").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    one = alike.groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "th", "copies")).alias("rep"))
     least = F.floor(F.ceil(F.lit(NUM) * F.col("n") / DEN) / 8)  # common() of the smallest partner
     enough = shared.groupBy("key").count().join(one, "key").where(F.col("count") >= F.greatest(F.lit(1), least)).drop("count")
     enough = cut(enough)
@@ -348,11 +353,14 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     weight = live.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("key").alias("pivot"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x.cast("long"))
     block = F.when(F.col("key") == F.col("pivot"), every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
-    live = cut(live.join(weight, "shard").select("key", "n", "shard", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), F.explode(block).alias("block")))
+    live = cut(live.join(weight, "shard").select("key", "n", "shard", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), (F.col("rep.copies") > 1).alias("copied"), F.explode(block).alias("block")))
     n_live = live.count()
     if not n_live:
         return rows, spark.createDataFrame([], "a long, b long")
-    found = texts.join(_by(live, n_live), texts["id"].eqNullSafe(live["id"]) & (texts["th"] == live["th"])).select("text", "key", "shard", "block", "n")
+    found = texts.join(_by(live, n_live), texts["id"].eqNullSafe(live["id"]) & (texts["th"] == live["th"])).select("text", "key", "shard", "block", "n", "copied")
+    if not live.where("copied").isEmpty():  # rows equal in id and text can't be told apart before they meet
+        found = found.where("NOT copied").union(found.where("copied").dropDuplicates(["key", "shard", "block"]))
+    found = found.drop("copied")
     sets = cut(found.mapInArrow(tidy(_sets), "key long, shard long, block long, n long, point binary, shingles binary"))
     weight = sets.agg(F.sum("n")).first()[0] or 0
     bins = int(max(4 * partitions(spark), weight // BLOCK_SHINGLES))
@@ -368,12 +376,17 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
         at = at.join(across.select("h"), "h")
         full = at.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.greatest(F.lit(1), least)).select("key")
         at = cut(at.join(full, "key"))
-    split = cut(at.groupBy("h").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h", "parts"))
+    # a shingle's largest component needs no pairs of its own: its texts are sides 0 .. big - 1, which meet the other sides alone
+    mine = at.groupBy("h", "root").agg(F.count("*").alias("c"))
+    split = mine.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    parts = lambda c: F.ceil(c / BLOCK_TEXTS).cast("long")
+    split = cut(split.select("h", "main", parts(F.col("most")).alias("big"), parts(F.col("all") - F.col("most")).alias("rest")))
     if split.isEmpty():
         return rows, links
-    side = F.pmod(F.xxhash64("key"), F.col("parts"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x.cast("long"))
-    wide = at.join(split, "h").withColumn("side", side).withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
+    wide = at.join(split, "h").withColumn("of_main", F.col("root") == F.col("main"))
+    wide = wide.withColumn("side", F.when(F.col("of_main"), F.pmod(F.xxhash64("key"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("key"), F.col("rest"))))
+    others = F.sequence(F.when(F.col("of_main"), F.col("big")).otherwise(F.lit(0).cast("long")), F.col("big") + F.col("rest") - 1)
+    wide = wide.withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
     wide = wide.select("h", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "key", "root", "unit", "n", "point")
     wide = wide.withColumn("bin", F.pmod(F.xxhash64("h", "left", "right"), F.lit(bins)))
     pairs = wide.groupBy("bin").applyInArrow(tidy(_cross), "a long, b long, k long").groupBy("a", "b", "k").agg(F.count("*").alias("c"))
