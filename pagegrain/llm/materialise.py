@@ -12,7 +12,8 @@ aren't the same each time must be cut first (``stable=False`` does so). A shard
 moved, by one task; a task run again writes the same bytes.
 
 Edge cases: a null or empty text is its end id; repeated rows are written each; a very long text spans many sequences;
-an empty table has no sequence and no shard. Only the id and text columns are read.
+an empty table has no sequence and no shard; ids are of any type. Only the id and text columns are read. ``path`` is one that
+pyarrow's file systems know (local, hdfs, s3, gs, abfs).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .session import bounded, cut, tidy
 from .textkernel import mix
@@ -66,7 +68,7 @@ def _count(path: str):
     return run
 
 
-def _deal(path: str, sent, length: int, per_shard: int, total: int, key: int, end: int):
+def _deal(path: str, sent, length: int, per_shard: int, total: int, key: int, end: int, id_type: pa.DataType):
     """Rows of (shard, slot, sequence, ids, documents, starts, lengths)."""
     names = ["shard", "slot", "sequence", "ids", "docs", "starts", "sizes"]
 
@@ -98,7 +100,7 @@ def _deal(path: str, sent, length: int, per_shard: int, total: int, key: int, en
                     column.append(value)
             number += n
             held = held[n * length :]
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 3
+            kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(id_type)] + [pa.list_(pa.int64())] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
         for batch in batches:
@@ -126,24 +128,30 @@ def _write(path: str, id_type: pa.DataType):
     def run(batches):
         files, root = fs.FileSystem.from_uri(path)
         name, out = f"{root}/.{uuid.uuid4().hex}", None
-        for batch in batches:
-            rows = batch.to_pylist()
-            if rows and out is None:
-                shard = rows[0]["shard"]
-                out = files.open_output_stream(name)
-            columns = [[] for _ in names]
-            for r in rows:
-                record = pa.decompress(r["ids"], r["bytes"], "zstd", asbytes=True)
-                out.write(record)
-                at, crc = 0, zlib.crc32(record)
-                for doc, start, n in zip(r["docs"], r["starts"], r["sizes"], strict=True):
-                    for column, value in zip(columns, (doc, start, n, r["sequence"], r["slot"], r["shard"], at, crc), strict=True):
-                        column.append(value)
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
-        if out is not None:
-            out.close()
-            files.move(name, shard_path(root, shard))
+        try:
+            for batch in batches:
+                rows = batch.to_pylist()
+                if rows and out is None:
+                    shard = rows[0]["shard"]
+                    out = files.open_output_stream(name)
+                columns = [[] for _ in names]
+                for r in rows:
+                    record = pa.decompress(r["ids"], r["bytes"], "zstd", asbytes=True)
+                    out.write(record)
+                    at, crc = 0, zlib.crc32(record)
+                    for doc, start, n in zip(r["docs"], r["starts"], r["sizes"], strict=True):
+                        for column, value in zip(columns, (doc, start, n, r["sequence"], r["slot"], r["shard"], at, crc), strict=True):
+                            column.append(value)
+                        at += n
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
+            if out is not None:
+                out.close()
+                files.move(name, shard_path(root, shard))
+        except BaseException:  # a failed or ended attempt leaves nothing behind
+            if out is not None:
+                out.close()
+                files.delete_file(name)
+            raise
 
     return run
 
@@ -156,7 +164,8 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     """Writes the shards and ``manifest.json`` under ``path`` (a folder that all executors share); returns one row for each piece
     of a document: id, start and length in its ids, sequence, slot, shard, place in the slot and the record's checksum."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), "text")
+    rows = bounded(docs).select(F.col(id_col).alias("id"), "text")
+    kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     rows = rows if stable else cut(rows)
     counted = rows.select("text").mapInArrow(tidy(_count(tokenizer)), "part long, ids long, check long").collect()  # one row an input partition
     firsts, total = {}, 0
@@ -169,13 +178,13 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     files.create_dir(root, recursive=True)
     with files.open_output_stream(f"{root.rstrip('/')}/manifest.json") as f:
         f.write(json.dumps({"total": total, "length": length, "stride": 2 * length, "per_shard": per_shard, "shards": shards, "key": key, "dtype": "<u2"}).encode())
-    schema = "id long, start long, length long, sequence long, slot long, shard long, at long, record_crc32 long"
+    schema = f"id {kind}, start long, length long, sequence long, slot long, shard long, at long, record_crc32 long"
     if not total:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     sent = spark.sparkContext.broadcast(firsts)
-    dealt = rows.mapInArrow(tidy(_deal(tokenizer, sent, length, per_shard, total, key, end)), "shard long, slot long, sequence long, ids binary, docs array<long>, starts array<long>, sizes array<long>")
+    dealt = rows.mapInArrow(tidy(_deal(tokenizer, sent, length, per_shard, total, key, end, id_type)), f"shard long, slot long, sequence long, ids binary, docs array<{kind}>, starts array<long>, sizes array<long>")
     dealt = dealt.withColumn("bytes", F.lit(2 * length)).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return cut(dealt.mapInArrow(tidy(_write(path, pa.int64())), schema)).withColumnRenamed("id", id_col)
+    return cut(dealt.mapInArrow(tidy(_write(path, id_type)), schema)).withColumnRenamed("id", id_col)
 
 
 def read(path: str, first: int = 0, count: int | None = None):

@@ -114,6 +114,45 @@ def test_ngram_join(docs, corpus, empty, monkeypatch, small):
     assert ngramjoin.join(empty).count() == 0
 
 
+def test_ngram_join_of_copies_and_of_text_ids(spark, monkeypatch):
+    """Identical rows have one set between them, and ids may be strings."""
+    rnd = np.random.default_rng(13)
+    base = [f"w{rnd.integers(10**6)}" for _ in range(60)]
+    near = " ".join([*base[:58], "x", "y"])
+    rows = [(None, " ".join(base))] * 500 + [("b", near), ("a", "other words altogether here now"), ("c", "b")]
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(6)
+    seen, real = [], ngramjoin.cut
+
+    def spy(df):
+        out = real(df)
+        if "shingles" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "cut", spy)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.join(table).collect())
+    assert got == {(None, 56, "b"): 500, ("b", 56, "b"): 1, ("a", 1, "a"): 1, ("c", 1, "c"): 1}
+    assert seen == [2]
+
+
+def test_ngram_join_of_one_common_passage(spark, monkeypatch):
+    """A large group of near copies and texts that share a part with it, in many small blocks, against brute force."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_TEXTS", 4)
+    monkeypatch.setattr(ngramjoin, "BLOCK_SHINGLES", 400)
+    rnd = np.random.default_rng(14)
+    word = lambda n: [f"w{rnd.integers(3000)}" for _ in range(n)]
+    base = word(40)
+    corpus = []
+    for d in range(60):
+        w = list(base)
+        for _ in range(d % 4):
+            w[int(rnd.integers(40))] = f"e{rnd.integers(99)}"
+        corpus.append((d, " ".join(w if d < 40 else [*word(d % 9), *base[:30], *word(d % 5)])))
+    table = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.join(table).collect())
+    assert got == sorted(brute_components(corpus))
+
+
 def test_thin_keeps_one_of_each(docs, corpus):
     kept = ngramjoin.thin(docs).collect()
     component = collections.Counter((r[2], r[1] > 0) for r in brute_components(corpus))
@@ -324,6 +363,13 @@ def test_materialised_sequences_round_trip(docs, corpus, empty, tmp_path):
     assert materialise.materialise(empty, str(tmp_path / "b")).count() == 0 and list(materialise.read(str(tmp_path / "b"))) == []
 
 
+def test_materialised_text_ids(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "some words"), (None, None), ("b", "x " * 300)], "doc_id string, text string").coalesce(1)
+    got = materialise.materialise(rows, str(tmp_path / "c"), length=64, stable=False).collect()
+    assert {r.doc_id for r in got} == {"a", "b", None} and sum(r.length for r in got) == sum(len(ids_of(r.text)) for r in rows.collect())
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["manifest.json", "shard-00000000.bin"]
+
+
 def test_feistel_is_a_keyed_permutation():
     for n in (1, 2, 3, 17, 256, 1000):
         slots = materialise.feistel(np.arange(n), n, 5)
