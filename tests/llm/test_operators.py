@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagegrain.llm import decontaminate, html, lm, materialise, ngramjoin, packing, quality, rules, sharding
@@ -54,6 +55,69 @@ def test_lm_contexts_stay_in_their_text():
     assert (c[0] == start).all() and (c[3] == start).all() and (c[4] == start).all() and not (c[1] == start).all()
 
 
+def test_lm_score_is_a_plain_softmax(spark, docs, corpus, monkeypatch):
+    """Every text's score again, event by event, from the trained weights: histories, both softmaxes, shares and unknown words."""
+    kept, real = {}, lm.train
+
+    def train(texts, heads, bits):
+        kept["model"], kept["heads"] = real(texts, heads, bits), heads
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", train)
+    short = docs.where("doc_id is not null and length(text) < 900 or text is null")
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(short).collect()}
+    rows = [(i, t) for i, t in corpus if t is None or i is not None and len(t) < 900]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts = collections.Counter(w for i, t in rows if not held(i) for w in [*words(t), None])
+    total, once = sum(counts.values()), sum(n == 1 for n in counts.values())
+    unknown = min(0.5, max(once, 1) / total)
+    hashed = lambda w: lm.END if w is None else next(lm.K.words(pa.array([w]), lower=True)).hash[0]
+    place = {int(h): k for k, h in enumerate(kept["heads"])}
+    slot = lambda w: place.get(int(hashed(w)), lm.HEADS + int(lm.K.mix(np.array([hashed(w)]))[0] >> np.uint64(20)) % lm.TAILS)
+    mass = collections.defaultdict(float)
+    for w, n in counts.items():
+        mass[slot(w)] += n - 0.5
+    model = kept["model"]
+
+    def probability(before, target):
+        history = np.array([*before, target], np.int64)
+        context = lm.contexts(history, np.array([0, len(history)]))[-1:]
+        out = 1.0
+        for weights, at, k in zip((model.outer, model.inner), lm.feature_rows(context, np.array([target // lm.MEMBERS]), model.bits), (target // lm.MEMBERS, target % lm.MEMBERS), strict=True):
+            z = [sum(float(weights[r, j]) for r in at[0]) for j in range(weights.shape[1])]
+            out *= math.exp(z[k]) / sum(map(math.exp, z))
+        return out
+
+    for i, t in rows[:40]:
+        events, score = [*words(t), None], 0.0
+        slots = [slot(w) for w in events]
+        for k, w in enumerate(events):
+            p = (1 - unknown) * probability(slots[max(0, k - 2) : k], slots[k]) * ((counts[w] - 0.5) / mass[slots[k]] if slots[k] >= lm.HEADS else 1) if counts[w] else unknown
+            score += math.log10(p)
+        assert abs(got[i, len(events)] - score) < 1e-3 * len(events)
+
+
+def test_lm_tables_follow_the_vocabulary():
+    assert [lm.table_bits(n) for n in (0, 1000, 1 << 19, 1 << 20, 1 << 40)] == [(13, 15), (13, 15), (15, 16), (16, 16), (16, 16)]
+    m = lm.Model((16, 16))
+    rnd = np.random.default_rng(2)
+    slots = rnd.integers(0, lm.SLOTS, 4096)
+    context = lm.contexts(slots, np.array([0, 4096]))
+    rows = lm.feature_rows(context, slots // lm.MEMBERS, m.bits)
+    assert all(r.max() < 1 << 16 for r in rows) and rows[1].max() >= 1 << 15
+    m.update(slots, context)
+    assert all(np.count_nonzero(n) == len(np.unique(r)) for n, r in zip(m.steps, rows, strict=True))
+
+
+def test_lm_parts_many_identical_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(3, "the same few words again")] * 10_000 + [(i, f"other words {i}") for i in range(4, 52)], "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(lm, "HELD", 8)  # tasks let go of their words at each batch
+    got = lm.score(rows).collect()
+    assert len(got) == 10_048 and len({(round(r.base_score, 9), round(r.score, 3), r.n_known) for r in got if r.doc_id == 3}) == 1 and all(r.n_known >= 1 for r in got)
+    dealt = rows.withColumn("block", lm.F.pmod(lm.F.xxhash64("doc_id", "text", lm.F.spark_partition_id()), lm.F.lit(64)))
+    assert dealt.where("doc_id = 3").select("block").distinct().count() > 4
+
+
 def test_lm_averages_shares(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 2)
     rows = spark.createDataFrame([(f"a b c d{i}",) for i in range(40)], "text string").repartition(7)
