@@ -60,6 +60,28 @@ def estimate_grid(n: Column, width: Column, height: Column) -> tuple[Column, Col
     return F.when(aspect > 1, F.ceil(n / ny).cast("int")).otherwise(nx), F.when(aspect > 1, ny).otherwise(F.ceil(n / nx).cast("int"))
 
 
+def pixel_patch(x: Column, y: Column, pw, ph) -> tuple[Column, Column]:
+    """The patch that holds a pixel."""
+    return F.floor(x / pw).cast("int"), F.floor(y / ph).cast("int")
+
+
+def patch_index(px: Column, py: Column, nx: int) -> Column:
+    """A patch's place in raster order."""
+    return py * nx + px
+
+
+def index_box(index: Column, nx: int, pw, ph) -> Box:
+    """The box of the patch at a place in raster order."""
+    return patch_box(index % nx, F.floor(index / nx), pw, ph)
+
+
+def shape(b: Box, page_width: float, page_height: float) -> dict[str, Column]:
+    """Area, aspect, and the centre as a share of the page; null for a box without width or height."""
+    w, h = (b[2] - b[0]).cast("double"), (b[3] - b[1]).cast("double")
+    ok = (w > 0) & (h > 0)
+    return {"area": F.when(ok, w * h), "aspect": F.when(ok, w / h), "center_x": F.when(ok, (b[0] + b[2]) / 2 / page_width), "center_y": F.when(ok, (b[1] + b[3]) / 2 / page_height)}
+
+
 def clamp(v: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), v))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,10 +117,47 @@ def redact(values: Column, mark: str = REDACTED) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(pattern), F.lit(mark)).otherwise(v))
 
 
+def _hidden(value: object, mark: str) -> object:
+    if isinstance(value, dict):
+        return {k: mark if any(s in k.lower() for s in SENSITIVE) else _hidden(v, mark) for k, v in value.items()}
+    return [_hidden(v, mark) for v in value] if isinstance(value, list) else value
+
+
 def redact_json(text: Column, mark: str = REDACTED) -> Column:
-    """JSON text whose string, number and literal values under sensitive keys are hidden at every depth."""
-    pattern = "|".join(SENSITIVE)
-    return F.regexp_replace(text, rf'(?i)("[^"]*(?:{pattern})[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[-0-9.eE+]+|true|false|null)', f'$1"{mark}"')
+    """JSON text whose values under sensitive keys, objects and arrays too, are hidden at every depth; what isn't JSON is null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return None if text is None else json.dumps(_hidden(json.loads(text), mark), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return run(text)
+
+
+def search_item(json_text: Column) -> Column:
+    """A search result from JSON: url, label and score, each null where it is of another type, and the payload's two typed fields."""
+    v = F.try_parse_json(json_text)
+    typed = lambda path, kind, good: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")).isin(*good), F.try_variant_get(v, path, kind))
+    number = ("BIGINT", "DOUBLE", "DECIMAL")
+    is_number = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(" + "|".join(number) + ")")
+    return F.struct(
+        typed("$.image_url", "string", ("STRING",)).alias("image_url"),
+        typed("$.label", "string", ("STRING",)).alias("label"),
+        F.when(is_number("$.score"), F.try_variant_get(v, "$.score", "double")).alias("score"),
+        typed("$.payload.filename", "string", ("STRING",)).alias("filename"),
+        F.when(is_number("$.payload.pdf_page_index"), F.try_variant_get(v, "$.payload.pdf_page_index", "int")).alias("pdf_page_index"),
+    )
+
+
+def inline_images(markdown: Column, data: Column) -> Column:
+    """Markdown whose images of this machine are given by a map of url to data url; a url that the map lacks stays."""
+    urls = local_images(markdown)
+    return F.aggregate(F.array_distinct(urls), markdown, lambda acc, u: F.replace(acc, F.concat(F.lit("]("), u), F.concat(F.lit("]("), F.coalesce(F.try_element_at(data, u), u))))
 
 
 def clean_log(text: Column, markers: tuple[str, ...] = NOISE) -> Column:

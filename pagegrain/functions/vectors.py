@@ -43,6 +43,13 @@ def sign_code(v: Column, dim: int) -> Column:
     return F.array(*words)
 
 
+def level_code(v: Column, dim: int) -> Column:
+    """Parts as whole numbers of -7 to 7, in sevenths of three standard parts of a unit vector: 4 bits a part."""
+    n = norm(v)
+    step = n * (3 / 7 / dim**0.5)
+    return F.transform(_double(v), lambda x: F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.round(x / F.nullif(step, F.lit(0.0))))).cast("tinyint"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two sign codes."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

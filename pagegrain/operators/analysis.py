@@ -101,17 +101,17 @@ def heat_bounds(rows: DataFrame, group: str, value: str, strategy: str = "percen
     return rows.groupBy(group).agg(pair[0].alias("low"), pair[1].alias("high"))
 
 
-def normalise(rows: DataFrame, value: str, group: str) -> DataFrame:
+def normalise(rows: DataFrame, value: str, *group: str) -> DataFrame:
     """Adds ``normal``: min-max within the group, 0 where all are equal."""
-    w = Window.partitionBy(group)
+    w = Window.partitionBy(*group)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return rows.withColumn("normal", F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0)))
 
 
-def heat(rows: DataFrame, value: str, group: str) -> DataFrame:
+def heat(rows: DataFrame, value: str, *group: str) -> DataFrame:
     """Adds ``heat``: the value above 0 over the group's greatest."""
     up = F.greatest(F.col(value), F.lit(0.0))
-    return rows.withColumn("heat", up / (F.max(up).over(Window.partitionBy(group)) + 1e-8))
+    return rows.withColumn("heat", up / (F.max(up).over(Window.partitionBy(*group)) + 1e-8))
 
 
 def stratified(rows: DataFrame, category: str, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -13,13 +13,15 @@ SLOW = {"storage": 2.0, "embedding": 10.0, "ocr": 5.0, "upsert": 2.0}
 TERMINAL = ("completed", "failed", "cancelled")
 
 
-def upsert(stored: DataFrame | None, new: DataFrame, key: str = "page_id", order: str | None = None) -> DataFrame:
+def last(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key that is last by ``order``; of equal ones the one whose other values hash highest."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*rows.columns)))
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def upsert(stored: DataFrame | None, new: DataFrame, key: str, order: str) -> DataFrame:
     """Stored rows replaced or joined by the last new row of each key."""
-    if order:
-        w = Window.partitionBy(key).orderBy(F.desc(order))
-        new = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    else:
-        new = new.dropDuplicates([key])
+    new = last(new, key, order)
     return new if stored is None else stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -80,6 +82,25 @@ def pace(stage: Column, seconds: Column) -> Column:
     return F.when(seconds > F.element_at(table, stage), "slow").otherwise("ok")
 
 
+def running(events: DataFrame, job: str = "job_id", ts: str = "ts", pages: str = "pages") -> DataFrame:
+    """Events with the pages done so far by their job, and pages a second since its first event (null until time has passed)."""
+    w = Window.partitionBy(job).orderBy(ts)
+    done = F.sum(pages).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    seconds = F.col(ts).cast("double") - F.min(F.col(ts).cast("double")).over(w)
+    return events.withColumns({"done": done, "pages_per_second": F.when(seconds > 0, done / seconds)})
+
+
+def progress_frames(events: DataFrame, job: str = "job_id", order: str = "event_id") -> DataFrame:
+    """(job, order, frame): a server-sent event for each poll of a job's state, up to its first terminal one: ``progress`` where the
+    count or the status changed, else ``heartbeat``."""
+    w = Window.partitionBy(job).orderBy(order)
+    ended = F.max(F.col("status").isin(*TERMINAL).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("current").eqNullSafe(F.lag("current").over(w)) & F.col("status").eqNullSafe(F.lag("status").over(w)) & (F.row_number().over(w) > 1)
+    body = F.to_json(F.struct(F.col(job).alias("job_id"), "status", "current", "total", percent(F.col("current"), F.col("total")).alias("percent")))
+    frame = F.when(same, F.lit("event: heartbeat\ndata: {}\n\n")).otherwise(F.concat(F.lit("event: progress\ndata: "), body, F.lit("\n\n")))
+    return events.withColumns({"_ended": F.coalesce(ended, F.lit(0)), "frame": frame}).where("_ended = 0").select(job, order, "frame")
+
+
 def health(checks: DataFrame) -> DataFrame:
     """Core health from (name, ok): optional services don't count."""
     return checks.agg(F.bool_and(F.when(F.col("name") != "ocr", F.col("ok")).otherwise(F.lit(True))).alias("healthy"), F.count_if(~F.col("ok")).alias("failing"))

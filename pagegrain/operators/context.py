@@ -12,6 +12,8 @@ from ..functions.text import CONTEXT_IMAGE_LABELS
 OPENING = 'Based on the search results for "{}", here are the relevant document contents:\n\n**Available Documents:**\n'
 ADVICE = "\n\n**Important:** When citing information, use the EXACT document labels shown above.\n\n---\n\n"
 BETWEEN_PAGES = "\n\n---\n\n"
+#: The name of a text delta, and the heading of the sources.
+DELTA, SOURCES = "response.output_text.delta", "\n\n---\n\n**Sources:**\n\n"
 
 
 def joined(value: Column, order: Column, sep: str) -> Column:
@@ -26,6 +28,27 @@ def page_text(markdown: Column, text: Column, raw: Column, regions: Column) -> C
     return F.nullif(F.trim(F.coalesce(some(markdown), some(text), some(raw), some(F.array_join(texts, "\n\n")))), F.lit(""))
 
 
+def ocr_content(task: Column, markdown: Column, text: Column, raw: Column) -> Column:
+    """struct(text, markdown, raw) by task: for markdown its output in both places; else the text, and it stands in where the others are empty."""
+    some = lambda c, other: F.trim(F.coalesce(F.nullif(c, F.lit("")), other))
+    plain = F.when(task == "markdown", F.trim(F.coalesce(markdown, F.lit("")))).otherwise(F.trim(F.coalesce(text, F.lit(""))))
+    return F.struct(plain.alias("text"), F.when(task == "markdown", plain).otherwise(some(markdown, plain)).alias("markdown"), some(raw, plain).alias("raw"))
+
+
+def sse(results: DataFrame, deltas: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, stream): the event stream of an answer: its start, the items found, the deltas by ``ord``, and the sources as a last delta."""
+    frame = lambda json: F.concat(F.lit("data: "), json, F.lit("\n\n"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "image_url"))), lambda x: F.struct(x["label"].alias("label"), x["image_url"].alias("image_url")))
+    line = F.format_string("%d. [%s](%s)", F.col("rank"), F.coalesce("label", F.lit("Unknown")), F.coalesce("image_url", F.lit("#")))
+    found = results.groupBy(key).agg(items.alias("_items"), joined(line, F.col("rank"), "\n").alias("_cited"))
+    kind = lambda event, data: F.to_json(F.struct(F.lit(event).alias("event"), F.struct(data).alias("data")))
+    said = deltas.groupBy(key).agg(joined(frame(kind(DELTA, F.col("delta"))), F.col("ord"), "").alias("_said"))
+    head = F.coalesce(frame(kind("kb.images", F.col("_items").alias("items"))), F.lit(""))
+    tail = F.coalesce(frame(kind(DELTA, F.concat(F.lit(SOURCES), F.col("_cited")).alias("delta"))), F.lit(""))
+    both = said.join(found, key, "full")
+    return both.select(key, F.concat(F.lit(": stream-start\n\n"), F.when(F.col("_items").isNotNull(), head).otherwise(F.lit("")), F.coalesce("_said", F.lit("")), F.when(F.col("_cited").isNotNull(), tail).otherwise(F.lit(""))).alias("stream"))
+
+
 def citations(results: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, citations): ``n. [label](url)`` lines by rank."""
     line = F.format_string("%d. [%s](%s)", F.col("rank"), F.coalesce("label", F.lit("Unknown")), F.coalesce("image_url", F.lit("")))

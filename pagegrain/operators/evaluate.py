@@ -28,6 +28,30 @@ def summarise(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.coalesce(F.avg("mean_iou"), F.lit(0.0)).alias("mean_iou"), F.coalesce(F.avg("iou_at_0_5"), F.lit(0.0)).alias("iou_at_0_5"), F.count("*").alias("n"))
 
 
+def succeeded(results: DataFrame) -> DataFrame:
+    """The samples that didn't fail: those that aggregates count."""
+    return results.where(~F.coalesce(F.col("failed"), F.lit(False)))
+
+
+#: The page that centres are a share of.
+PAGE_WIDTH, PAGE_HEIGHT = 2480, 3508
+
+
+def sample_features(samples: DataFrame) -> DataFrame:
+    """Features of each sample's first true box, of rows with failed, gt_boxes, pred_boxes (arrays of four numbers) and two token counts.
+
+    Samples that failed, have no true box, or one without width or height, are left out.
+    """
+    gt = F.get("gt_boxes", F.lit(0))
+    found = G.shape(tuple(F.get(gt, F.lit(k)).cast("double") for k in range(4)), PAGE_WIDTH, PAGE_HEIGHT)
+    size = lambda b: (F.get(b, F.lit(2)) - F.get(b, F.lit(0))) * (F.get(b, F.lit(3)) - F.get(b, F.lit(1)))
+    predicted = F.aggregate(F.coalesce("pred_boxes", F.array().cast("array<array<double>>")), F.lit(0.0), lambda s, b: s + size(b).cast("double"))
+    rows = succeeded(samples).withColumns(found).where("area is not null")
+    rows = rows.withColumns({"n_pred": F.coalesce(F.size("pred_boxes"), F.lit(0)), "pred_area": predicted, "log_area": F.log10(F.col("area") + 1)})
+    saving = G.percent_saving(F.col("tokens_selected"), F.col("tokens_all_ocr"))
+    return rows.withColumns({"area_ratio": F.col("pred_area") / F.col("area"), "token_savings_pct": saving}).drop("gt_boxes", "pred_boxes", "failed")
+
+
 def hit_rates(metrics: DataFrame, levels: tuple[float, ...] = HIT_LEVELS) -> DataFrame:
     """Counts and rates of samples whose mean IoU reaches each level."""
     n = F.count("*")

@@ -6,6 +6,8 @@ never by a range condition, so the join hashes however many regions and patches
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +46,7 @@ def relevance(regions: DataFrame, scores: DataFrame, nx: int, ny: int, width: in
 
     ``iou_weighted``: sum(iou * s) / (sum(iou) + eps), 0 without weight. ``max`` and ``mean``: over the cells the box touches, 0
     without any. ``max_floor``: the greatest over cells of more than ``min_overlap``, not below 0. ``min_overlap`` keeps cells of
-    more IoU for the others as well. ``keep_invalid``: regions that meet no cell score 0, else they are left out.
+    more IoU for the others as well. An unknown aggregation is ``iou_weighted``, with a warning. ``keep_invalid``: regions that meet no cell score 0, else they are left out.
     """
     met = cells(regions.select("page", "region_id", "x1", "y1", "x2", "y2"), nx, ny, width, height)
     met = met.join(scores, ["page", "px", "py"])
@@ -58,8 +60,8 @@ def relevance(regions: DataFrame, scores: DataFrame, nx: int, ny: int, width: in
         "max_floor": F.greatest(F.lit(0.0), F.max("score")),
     }
     if aggregate not in by:
-        raise ValueError(f"unknown aggregation: {aggregate}")
-    got = met.groupBy("query_id", "page", "region_id").agg(by[aggregate].alias("score"))
+        warnings.warn(f"unknown aggregation {aggregate}: iou_weighted is used", stacklevel=2)
+    got = met.groupBy("query_id", "page", "region_id").agg(by.get(aggregate, by["iou_weighted"]).alias("score"))
     if not keep_invalid:
         return got
     queries = scores.select("query_id", "page").distinct()

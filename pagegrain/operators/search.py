@@ -1,24 +1,31 @@
 """Late-interaction search: exact, filtered, two-stage and quantised, for any number of queries at once.
 
-Patches are rows (page, idx, vec); query tokens are rows (query_id, token, vec). Query tokens are the small side by
-nature: up to ``MAX_QUERY_TOKENS`` of them travel to the patches in one broadcast; more are met in as many rounds, so the
-size of what is broadcast is fixed.
+Patches are rows (page, .., vec); query tokens are rows (query_id, token, vec). All similarities come from one Arrow kernel,
+a matrix product of a batch's vectors and the query tokens, in pieces of bounded size, and each use reduces the product at
+once: to the best of a page and token, to a patch's score for a query, to the nearest patches of a token. Up to
+``MAX_QUERY_TOKENS`` tokens travel in one broadcast. More are packed into blocks of that many, patches into blocks
+too, and every block of one meets every block of the other: a stated query set against all rows, in blocks.
+
+A vector that is null, zero or not of the queries' dimension has no similarity and gives no row. Ids of pages, queries
+and tokens are integers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
-MAX_QUERY_TOKENS = 4096
+#: Query tokens of a block, patches of a packed block, and bytes of a product held at once.
+MAX_QUERY_TOKENS, PACKED, PRODUCT_BYTES = 4096, 4096, 32 << 20
 
 
 def payload_filter(conditions: Mapping[str, object] | None) -> Column:
@@ -35,66 +42,177 @@ def clamp_k(k: int | None, low: int = 1, high: int | None = None, default: int =
     return max(low, k if high is None else min(high, k))
 
 
+Emit = Callable[[pa.RecordBatch, np.ndarray, "Tokens"], pa.RecordBatch]
+
+
+class Tokens:
+    """Query tokens in order of their query, as unit rows of a matrix, or as sign codes."""
+
+    def __init__(self, query: np.ndarray, token: np.ndarray, matrix: np.ndarray, codes: bool = False):
+        order = np.lexsort((token, query))
+        self.query, self.token, matrix = query[order], token[order], matrix[order]
+        norm = None if codes else np.linalg.norm(matrix, axis=1)
+        keep = slice(None) if codes else norm > 0
+        self.query, self.token = self.query[keep], self.token[keep]
+        self.matrix = matrix if codes else matrix[keep] / norm[keep, None]
+        self.first = np.flatnonzero(np.concatenate(([True], self.query[1:] != self.query[:-1]))) if len(self.query) else np.zeros(0, np.int64)
+
+    def product(self, rows: np.ndarray) -> np.ndarray:
+        """Cosines, or for codes the negated numbers of bits that differ."""
+        if self.matrix.dtype == np.uint64:
+            return -sum(np.bitwise_count(rows[:, k, None] ^ self.matrix[None, :, k]).astype(np.int32) for k in range(rows.shape[1])).astype(np.float64)
+        return rows @ self.matrix.T
+
+
+def _matrix(column: pa.Array, dim: int, codes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that count, and their vectors as unit rows (or their codes)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ok = np.flatnonzero(pa.compute.equal(pa.compute.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(ok)).flatten()
+    if codes:
+        return ok, flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, dim)
+    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    norm = np.linalg.norm(m, axis=1)
+    good = np.isfinite(norm) & (norm > 0)  # a null part is not a number
+    return ok[good], m[good] / norm[good, None]
+
+
+def _over(batch: pa.RecordBatch, tokens: Tokens, emit: Emit, codes: bool):
+    """What ``emit`` makes of each piece of a batch and its product with the tokens."""
+    if not len(tokens.query):
+        return
+    rows, m = _matrix(batch.column("vec"), tokens.matrix.shape[1], codes)
+    rest = batch.drop_columns(["vec"])
+    step = max(1, PRODUCT_BYTES // (8 * len(tokens.query)))
+    for a in range(0, len(rows), step):
+        yield emit(rest.take(pa.array(rows[a : a + step])), tokens.product(m[a : a + step]), tokens)
+
+
+def _pack(batches):
+    """Rows of (blob): up to PACKED rows as one Arrow message."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PACKED):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(a, PACKED))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["blob"])
+
+
+def _unpack(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+
+def _tokens(rows: pa.RecordBatch, codes: bool) -> Tokens:
+    width = len(rows.column("vec")[0])
+    flat = rows.column("vec").flatten().to_numpy(zero_copy_only=False)
+    flat = flat.astype(np.int64).view(np.uint64) if codes else flat.astype(np.float64)
+    return Tokens(rows.column("query_id").to_numpy(), rows.column("token").to_numpy(), flat.reshape(-1, width), codes)
+
+
+def _products(patches: DataFrame, queries: DataFrame, emit: Emit, schema: str, codes: bool = False) -> DataFrame:
+    """``emit``'s rows for all patches and query tokens."""
+    kind = "array<bigint>" if codes else "array<double>"
+    asked = queries.select(F.col("query_id").cast("long"), F.col("token").cast("long"), F.col("vec").cast(kind).alias("vec")).where("vec is not null")
+    held = asked.limit(MAX_QUERY_TOKENS + 1).toArrow().combine_chunks()
+    if not held.num_rows:
+        return patches.sparkSession.createDataFrame([], schema)
+    if held.num_rows <= MAX_QUERY_TOKENS:
+        tokens = _tokens(held.to_batches()[0], codes)
+
+        def few(batches):
+            for batch in batches:
+                yield from _over(batch, tokens, emit, codes)
+
+        return patches.mapInArrow(few, schema)
+
+    def many(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("p"), batch.column("q"), strict=True):
+                yield from _over(_unpack(x), _tokens(_unpack(y), codes), emit, codes)
+
+    pairs = patches.mapInArrow(_pack, "blob binary").toDF("p").crossJoin(asked.mapInArrow(_pack, "blob binary").toDF("q"))
+    return pairs.mapInArrow(many, schema)
+
+
+def _ddl(df: DataFrame, leave: tuple[str, ...] = ("vec",)) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in leave)
+
+
 def similarities(patches: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, token, all patch columns but vec, and sim = cosine: every query token against every patch."""
-    rest = [c for c in patches.columns if c != "vec"]
-    tokens = queries.select("query_id", "token", F.col("vec").alias("_q"))
-    small = len(tokens.select("token").limit(MAX_QUERY_TOKENS + 1).collect()) <= MAX_QUERY_TOKENS
-    pairs = patches.crossJoin(F.broadcast(tokens) if small else tokens)
-    return pairs.select("query_id", "token", *rest, V.cosine(F.col("vec"), F.col("_q")).alias("sim"))
 
+    def emit(rest: pa.RecordBatch, sims: np.ndarray, tokens: Tokens) -> pa.RecordBatch:
+        n, t = sims.shape
+        wide = rest.take(pa.array(np.repeat(np.arange(n), t)))
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(tokens.query, n)), pa.array(np.tile(tokens.token, n)), *wide.columns, pa.array(sims.ravel())], ["query_id", "token", *rest.schema.names, "sim"])
 
-def _best(rows, dim: int):
-    """Per batch: the best similarity of each (page, query token), by one matrix product."""
+    return _products(patches, queries, emit, f"query_id long, token long, {_ddl(patches)}, sim double")
 
-    def run(batches):
-        keys, matrix = rows
-        q = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            vec, page = batch.column("vec"), batch.column("page")
-            ok = pa.compute.equal(pa.compute.list_value_length(vec), dim)
-            vec, page = vec.filter(ok), page.filter(ok)
-            if not len(page):
-                continue
-            flat = vec.flatten()
-            m = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            sims = m @ q.T
-            codes, names = np.unique(page.to_numpy(zero_copy_only=False), return_inverse=True)
-            order = np.argsort(names, kind="stable")
-            first = np.searchsorted(names[order], np.arange(len(codes)))
-            best = np.maximum.reduceat(sims[order], first, axis=0)
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(codes, n)), pa.array(np.tile([k[0] for k in keys], len(codes))), pa.array(np.tile([k[1] for k in keys], len(codes))), pa.array(best.ravel())], ["page", "query_id", "token", "sim"])
-
-    return run
 
+def patch_scores(patches: DataFrame, queries: DataFrame, aggregate: str = "max") -> DataFrame:
+    """(query_id, page, px, py, score): each patch's similarities to a query's tokens as one, without a shuffle; an unknown name counts as max."""
+
+    def emit(rest: pa.RecordBatch, sims: np.ndarray, tokens: Tokens) -> pa.RecordBatch:
+        n, q = len(sims), len(tokens.first)
+        if aggregate in ("mean", "sum"):
+            score = np.add.reduceat(sims, tokens.first, axis=1)
+            if aggregate == "mean":
+                score /= np.diff(np.append(tokens.first, len(tokens.query)))
+        else:
+            score = np.maximum.reduceat(sims, tokens.first, axis=1)
+        wide = rest.take(pa.array(np.repeat(np.arange(n), q)))
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(tokens.query[tokens.first], n)), *wide.columns, pa.array(score.ravel())], ["query_id", *rest.schema.names, "score"])
+
+    places = patches.select("page", "px", "py", "vec")
+    if len(queries.select("query_id").limit(MAX_QUERY_TOKENS + 1).collect()) > MAX_QUERY_TOKENS:  # blocks may part a query's tokens
+        fold = {"mean": F.avg, "sum": F.sum}.get(aggregate, F.max)
+        return similarities(places, queries).groupBy("query_id", "page", "px", "py").agg(fold("sim").alias("score"))
+    return _products(places, queries, emit, f"query_id long, {_ddl(places)}, score double")
 
-def maxsim(patches: DataFrame, queries: DataFrame, combine: str = "sum") -> DataFrame:
-    """(query_id, page, score): for each query token the best cosine over a page's patches, summed or averaged over tokens.
 
-    Batches are reduced by a matrix product before the shuffle, which carries one row for each page, query token and
-    task at most. Pages and queries need integer ids here.
+def best(patches: DataFrame, queries: DataFrame, codes: bool = False) -> DataFrame:
+    """(query_id, page, token, sim): the best similarity of a page's patches to each token.
+
+    Batches are reduced before the shuffle, which carries one row for each page, token and batch at most.
     """
+
+    def emit(rest: pa.RecordBatch, sims: np.ndarray, tokens: Tokens) -> pa.RecordBatch:
+        pages, at = np.unique(rest.column("page").to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        top = np.maximum.reduceat(sims[order], np.searchsorted(at[order], np.arange(len(pages))), axis=0)
+        t = len(tokens.query)
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(tokens.query, len(pages))), pa.array(np.repeat(pages, t)), pa.array(np.tile(tokens.token, len(pages))), pa.array(top.ravel())], ["query_id", "page", "token", "sim"])
+
+    places = patches.select(F.col("page").cast("long").alias("page"), "vec").where("page is not null")
+    return _products(places, queries, emit, "query_id long, page long, token long, sim double", codes).groupBy("query_id", "page", "token").agg(F.max("sim").alias("sim"))
+
+
+def maxsim(patches: DataFrame, queries: DataFrame, combine: str = "sum") -> DataFrame:
+    """(query_id, page, score): for each query token the best cosine over a page's patches, summed or averaged over tokens."""
     if combine not in ("sum", "mean"):
         raise ValueError(f"unknown combination: {combine}")
-    rounds, best = queries.select("query_id", "token", "vec"), None
-    held = rounds.limit(MAX_QUERY_TOKENS + 1).collect()
-    if len(held) > MAX_QUERY_TOKENS:  # the general form; Catalyst and AQE choose how to run it
-        best = similarities(patches.select("page", "vec"), queries).groupBy("query_id", "page", "token").agg(F.max("sim").alias("sim"))
-    elif held:
-        matrix = np.array([r["vec"] for r in held], np.float64)
-        kernel = _best(([(r["query_id"], r["token"]) for r in held], matrix), matrix.shape[1])
-        best = patches.select(F.col("page").cast("long").alias("page"), "vec").where("vec is not null").mapInArrow(kernel, "page long, query_id long, token long, sim double")
-        best = best.groupBy("query_id", "page", "token").agg(F.max("sim").alias("sim"))
-    else:
-        return patches.sparkSession.createDataFrame([], "query_id long, page long, score double")
-    return best.groupBy("query_id", "page").agg((F.sum if combine == "sum" else F.avg)("sim").alias("score"))
+    return best(patches, queries).groupBy("query_id", "page").agg((F.sum if combine == "sum" else F.avg)("sim").alias("score"))
 
 
 def global_max(patches: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, page, score): the best cosine of any token and patch."""
-    return similarities(patches, queries).groupBy("query_id", "page").agg(F.max("sim").alias("score"))
+    return best(patches, queries).groupBy("query_id", "page").agg(F.max("sim").alias("score"))
+
+
+def nearest(patches: DataFrame, queries: DataFrame, k: int, order: tuple[str, ...] = ("page", "px", "py")) -> DataFrame:
+    """The k patches nearest to each query token, with ``sim`` and ``rank``; ties by the ``order`` columns. Batches give their k best, and all equal to the last of them."""
+
+    def emit(rest: pa.RecordBatch, sims: np.ndarray, tokens: Tokens) -> pa.RecordBatch:
+        n, t = sims.shape
+        least = np.partition(sims, n - k, axis=0)[n - k] if k < n else np.full(t, -np.inf)
+        row, token = np.nonzero(sims >= least)
+        kept = rest.take(pa.array(row))
+        return pa.RecordBatch.from_arrays([pa.array(tokens.query[token]), pa.array(tokens.token[token]), *kept.columns, pa.array(sims[row, token])], ["query_id", "token", *rest.schema.names, "sim"])
+
+    found = _products(patches, queries, emit, f"query_id long, token long, {_ddl(patches)}, sim double")
+    w = Window.partitionBy("query_id", "token").orderBy(F.desc("sim"), *order)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top(scores: DataFrame, k: int, key: str = "query_id", item: str = "page") -> DataFrame:
@@ -126,13 +244,19 @@ def two_stage(patches: DataFrame, rows: DataFrame, columns: DataFrame, queries:
     return top(exact, k)
 
 
-def quantised(patches: DataFrame, queries: DataFrame, dim: int, k: int = 10, oversampling: float = 2.0, rescore: bool = True, combine: str = "sum") -> DataFrame:
-    """Pages by sign codes: for each token the least Hamming distance, the best ceil(k * oversampling) then scored exactly."""
-    coded = patches.select("page", V.sign_code(F.col("vec"), dim).alias("code"))
-    tokens = queries.select("query_id", "token", V.sign_code(F.col("vec"), dim).alias("_code"))
-    small = len(tokens.select("token").limit(MAX_QUERY_TOKENS + 1).collect()) <= MAX_QUERY_TOKENS
-    near = coded.crossJoin(F.broadcast(tokens) if small else tokens).groupBy("query_id", "page", "token").agg(F.min(V.hamming(F.col("code"), F.col("_code"))).alias("bits"))
-    near = near.groupBy("query_id", "page").agg((-F.sum("bits")).cast("double").alias("score"))
+def codes(patches: DataFrame, dim: int, levels: bool = False) -> DataFrame:
+    """(page, code): the sign codes of patches, or their levels, to be stored at index time."""
+    return patches.select("page", (V.level_code if levels else V.sign_code)(F.col("vec"), dim).alias("code"))
+
+
+def quantised(patches: DataFrame, queries: DataFrame, dim: int, k: int = 10, oversampling: float = 2.0, rescore: bool = True, combine: str = "sum", coded: DataFrame | None = None, levels: bool = False) -> DataFrame:
+    """Pages by sign codes: for each token the least Hamming distance, the best ceil(k * oversampling) then scored exactly.
+
+    ``levels``: codes of 4 bits a part, and their cosine with the query as it is; they find more. ``coded``: stored codes.
+    """
+    coded = codes(patches, dim, levels) if coded is None else coded
+    asked = queries if levels else queries.select("query_id", "token", V.sign_code(F.col("vec"), dim).alias("vec"))
+    near = best(coded.select("page", F.col("code").cast("array<double>" if levels else "array<bigint>").alias("vec")), asked, codes=not levels).groupBy("query_id", "page").agg(F.sum("sim").alias("score"))
     if not rescore:
         return top(near, k)
     candidates = top(near, int(np.ceil(k * max(1.0, oversampling)))).select("query_id", "page")
@@ -140,6 +264,11 @@ def quantised(patches: DataFrame, queries: DataFrame, dim: int, k: int = 10, ove
     return top(maxsim(wanted, queries, combine).join(candidates, ["query_id", "page"], "left_semi"), k)
 
 
+def without_special(tokens: DataFrame, special: tuple[int, ...], column: str = "token_id") -> DataFrame:
+    """Query tokens without those of special ids; places stay as they were."""
+    return tokens.where(~F.coalesce(F.col(column).isin(*special), F.lit(False))) if special else tokens
+
+
 def with_metadata(results: DataFrame, pages: DataFrame, label: Column) -> DataFrame:
     """Results with page metadata and label; those without an image url are dropped after ranking."""
     return results.join(pages, "page").where(F.col("image_url").isNotNull() & (F.col("image_url") != "")).withColumn("label", label)

@@ -37,6 +37,22 @@ def changed(before: Mapping[str, object], after: Mapping[str, object]) -> dict[s
     return {k: v for k, v in after.items() if k in SETTINGS and before.get(k) != v}
 
 
+def workers(cpu: int, concurrency: int = 1) -> int:
+    """Writers for so many processors: 4, 6, 10 or 14, and two more for each further concurrent batch, within 4 to 32."""
+    base = next((n for most, n in ((4, 4), (8, 6), (16, 10)) if cpu <= most), 14)
+    return max(4, min(32, base + 2 * max(0, concurrency - 1)))
+
+
+def retries(n_workers: int) -> int:
+    """Attempts after a failure, by the number of writers."""
+    return next((n for least, n in ((24, 5), (16, 4), (8, 3)) if n_workers >= least), 2)
+
+
+def backoff(attempt: int, jitter: float = 0.0) -> float:
+    """Seconds to wait after an attempt, counted from 1: a quarter, doubled each time, and a tenth of ``jitter`` (0 to 1)."""
+    return 0.25 * 2 ** (attempt - 1) + 0.1 * jitter
+
+
 @dataclass(frozen=True)
 class Uploads:
     extensions: tuple[str, ...]

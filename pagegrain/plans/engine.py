@@ -15,9 +15,19 @@ from ..operators import pooling as P
 from ..operators import regions as R
 from ..operators import search as S
 from ..sources import models
+from ..sources.tables import cut
 from . import retrieval as Q
 
-POINT = "page_id bigint, document_id string, filename string, page_number int, total_pages int, image_url string"
+#: The tables of an index. Pooled vectors and sign codes are made when pages are indexed, for searches to read.
+TABLES = {
+    "points": "page_id bigint, document_id string, filename string, page_number int, total_pages int, image_url string",
+    "patches": "page bigint, idx int, px int, py int, vec array<double>",
+    "rows": "page bigint, idx int, vec array<double>",
+    "columns": "page bigint, idx int, vec array<double>",
+    "codes": "page bigint, code array<bigint>",
+    "regions": "page bigint, region_id string, ord int, label string, x1 int, y1 int, x2 int, y2 int, content string, image_index int",
+}
+BUCKETS = 64
 
 
 class Engine:
@@ -27,41 +37,60 @@ class Engine:
         self.spark, self.root, self.embedder, self.grid = spark, root.rstrip("/"), embedder, (nx, ny, width, height)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(f"{self.root}/{name}")
 
     def initialise(self) -> None:
         """Empty tables where there are none."""
-        for name, schema in (("points", POINT), ("patches", "page bigint, idx int, px int, py int, vec array<double>"), ("regions", "page bigint, region_id string, ord int, label string, x1 int, y1 int, x2 int, y2 int, content string, image_index int")):
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}")
+        for name, schema in TABLES.items():
+            self.spark.createDataFrame([], f"{schema}, bucket int").write.mode("ignore").partitionBy("bucket").parquet(f"{self.root}/{name}")
+
+    def _replace(self, name: str, rows: DataFrame, pages: DataFrame, key: str = "page") -> None:
+        """Stored rows of ``pages`` replaced by ``rows``: buckets that hold such a page are written anew, others aren't read."""
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        rows, gone = rows.withColumn("bucket", bucket), pages.select(F.col("page_id").cast("long").alias(key)).distinct().withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in gone.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = self.table(name).where(F.col("bucket").isin(touched)).join(gone.select(key), key, "left_anti")
+        merged = cut(stored.unionByName(rows.select(*stored.columns)))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+        if emptied := set(touched) - {r["bucket"] for r in merged.select("bucket").distinct().collect()}:
+            for b in emptied:
+                C.delete_prefix(self.spark, f"{self.root}/{name}/bucket={b}")
 
     def index(self, pages: DataFrame, ocr: Callable[[], Callable] | None = None) -> DataFrame:
-        """Adds pages (point columns and ``image``): vectors, points and, with an engine, OCR regions. Returns the rows that failed."""
-        vectors = models.embed(pages, "image", self.embedder, "page_id").persist()
+        """Puts pages (point columns and ``image``) in the place of those of the same id: points, vectors, their pooled rows and columns and
+        sign codes, and, with an engine, OCR regions. Returns the rows that failed."""
+        pages = cut(pages.withColumn("page_id", F.col("page_id").cast("long")))
+        vectors = cut(models.embed(pages, "image", self.embedder, "page_id"))
         placed = P.grid_places(vectors.where("error is null").select(F.col("page_id").alias("page"), "idx", "vec"), self.grid[0], self.grid[1], check=False)
-        placed.select("page", "idx", "px", "py", "vec").write.mode("append").parquet(f"{self.root}/patches")
-        pages.select("page_id", "document_id", "filename", "page_number", "total_pages", "image_url").write.mode("append").parquet(f"{self.root}/points")
+        placed = cut(placed.select("page", "idx", "px", "py", "vec"))
+        self._replace("patches", placed, pages)
+        for name, axis in (("rows", "py"), ("columns", "px")):
+            self._replace(name, P.pool(placed, axis, False), pages)
+        dim = vectors.where("vec is not null").select(F.size("vec")).first()
+        self._replace("codes", S.codes(placed, dim[0] if dim else 1), pages)
+        self._replace("points", pages.select("page_id", "document_id", "filename", "page_number", "total_pages", "image_url"), pages, "page_id")
         failed = vectors.where("error is not null").select("page_id", F.lit("embedding").alias("stage"), "error")
         if ocr:
-            raw = models.ocr(pages, "image", ocr, "page_id").persist()
+            raw = cut(models.ocr(pages, "image", ocr, "page_id"))
             found = O.regions(raw.where("error is null").select(F.col("page_id").alias("page"), "raw"), "raw", self.grid[2], self.grid[3], "page")
-            found.select("page", "region_id", "ord", "label", "x1", "y1", "x2", "y2", "content", "image_index").write.mode("append").parquet(f"{self.root}/regions")
+            self._replace("regions", found.select("page", "region_id", "ord", "label", "x1", "y1", "x2", "y2", "content", "image_index"), pages)
             failed = failed.union(raw.where("error is not null").select("page_id", F.lit("ocr").alias("stage"), "error"))
         return failed
 
     def queries(self, texts: Mapping[int, str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(texts.items()), "query_id long, text string")
-        return models.embed(rows, "text", self.embedder, "query_id").where("vec is not null").select("query_id", F.col("idx").alias("token"), "vec")
+        return cut(models.embed(rows, "text", self.embedder, "query_id").where("vec is not null").select("query_id", F.col("idx").alias("token"), "vec"))  # embedded once a search
 
     def search(self, texts: Mapping[int, str], options: Q.Options = Q.Options(), conditions: Mapping[str, object] | None = None, include_ocr: bool = False) -> DataFrame:
         """Ranked pages with metadata and label, and with their selected regions where asked for."""
         points, queries, patches = self.table("points"), self.queries(texts), self.table("patches")
         meta = points.withColumnRenamed("page_id", "page")
-        rows, columns = (P.pool(patches, a, False) for a in ("py", "px")) if options.pooling else (None, None)
-        found = Q.search(patches, queries, options, rows, columns, meta, conditions)
+        stored = {"rows": self.table("rows"), "columns": self.table("columns"), "coded": self.table("codes")}
+        found = Q.search(patches, queries, options, pages=meta, conditions=conditions, **stored)
         found = S.with_metadata(found, meta, T.page_label(F.col("filename"), F.col("page_number"), F.col("total_pages")))
         if not include_ocr:
             return found
-        regions = Q.search_regions(patches, self.table("regions"), queries, *self.grid, options)
+        regions = Q.search_regions(patches, self.table("regions"), queries, *self.grid, options, **stored)
         kept = regions.select("query_id", "page", "region_id", F.col("score").alias("relevance"), F.col("rank").alias("r")).join(self.table("regions"), ["page", "region_id"])
         kept = kept.groupBy("query_id", "page").agg(F.array_sort(F.collect_list(F.struct("r", "region_id", "label", "content", "relevance"))).alias("regions"))
         return found.join(kept, ["query_id", "page"], "left")
@@ -82,7 +111,7 @@ class Engine:
         return C.collection_status(self.table("points"), {"original": len(self.embedder()(["x"])[0][0])})
 
     def clear(self) -> dict[str, int]:
-        done = [C.delete_prefix(self.spark, f"{self.root}/{n}") for n in ("points", "patches", "regions")]
+        done = [C.delete_prefix(self.spark, f"{self.root}/{n}") for n in TABLES]
         return {k: sum(d[k] for d in done) for k in ("deleted", "failed")}
 
     def register(self, texts: Mapping[int, str], name: str = "search_results") -> None:
@@ -91,5 +120,5 @@ class Engine:
 
     def relevance(self, texts: Mapping[int, str], aggregate: str = "iou_weighted") -> DataFrame:
         """Scores of all regions of all pages."""
-        scores = R.patch_scores(S.similarities(self.table("patches").where("px is not null").select("page", "px", "py", "vec"), self.queries(texts)))
+        scores = S.patch_scores(self.table("patches").where("px is not null"), self.queries(texts))
         return R.relevance(self.table("regions"), scores, *self.grid, aggregate)

@@ -22,16 +22,18 @@ from ..sources import tables as D
 from ..streaming import ingest as I
 from . import retrieval as Q
 
+#: Pages by sign codes that are scored exactly, for each that is asked for: so many that nine in ten answers are found.
+OVERSAMPLING = 12
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PATCHES = "patches AS (SELECT vec_id // 20 AS page, (vec_id % 20) % 5 AS px, (vec_id % 20) // 5 AS py, label, embedding::DOUBLE[] AS v FROM embeddings)"
-QUERY = "query AS (SELECT vec_id // 3 AS query_id, vec_id % 3 AS token, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3)"
-QUERY4 = "query AS (SELECT vec_id // 3 AS query_id, vec_id % 3 AS token, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 12)"
+QUERY = "query AS (SELECT vec_id // 100 AS query_id, vec_id % 100 AS token, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 < 3)"
 SIMS = "sims AS (SELECT query_id, token, page, px, py, label, list_cosine_similarity(v, q) AS sim FROM patches, query)"
 BEST = "best AS (SELECT query_id, page, token, max(sim) AS sim FROM sims GROUP BY ALL)"
 SCORED = "scored AS (SELECT query_id, page, sum(sim) AS score FROM best GROUP BY ALL)"
-REGIONS = """boxes AS (SELECT doc_id, doc_id % 25 AS page, (doc_id * 37) % 400 AS x1, (doc_id * 53) % 300 AS y1, (doc_id * 37) % 400 + 20 + (doc_id * 11) % 120 AS x2, (doc_id * 53) % 300 + 20 + (doc_id * 7) % 90 AS y2,
+REGIONS = """boxes AS (SELECT doc_id, doc_id // 40 AS page, (doc_id * 37) % 400 AS x1, (doc_id * 53) % 300 AS y1, (doc_id * 37) % 400 + 20 + (doc_id * 11) % 120 AS x2, (doc_id * 53) % 300 + 20 + (doc_id * 7) % 90 AS y2,
  ['text', 'title', 'image', 'table', 'figure'][doc_id % 5 + 1] AS label, text AS content, lang AS category FROM documents)"""
 CELLS = """cell AS (SELECT x AS px, y AS py, x * 100 AS a1, y * 100 AS b1, x * 100 + 100 AS a2, y * 100 + 100 AS b2 FROM (SELECT unnest(range(0, 5)) AS x), (SELECT unnest(range(0, 4)) AS y)),
 met AS (SELECT *, greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, least(y2, b2) - greatest(y1, b1)) AS shared FROM boxes, cell WHERE x1 < a2 AND a1 < x2 AND y1 < b2 AND b1 < y2),
@@ -59,20 +61,20 @@ def _r(*cols: str, digits: int = 6):
 # search
 
 
-@query("maxsim_rank", f"WITH {PATCHES}, {QUERY}, {SIMS}, {BEST}, {SCORED} SELECT page, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, page LIMIT 10")
+@query("maxsim_rank", f"WITH {PATCHES}, {QUERY}, {SIMS}, {BEST}, {SCORED} SELECT query_id, page, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored) WHERE rank <= 10")
 def maxsim_rank(spark, d):
-    return S.top_one(S.maxsim(D.patches(spark, d), D.queries(spark, d)), 10).select("page", F.round("score", 6).alias("score"))
+    return S.top(S.maxsim(D.patches(spark, d), D.queries(spark, d)), 10).withColumns(_r("score"))
 
 
-@query("cosine_topk", f"WITH {PATCHES}, {QUERY}, {SIMS} SELECT page, px, py, round(sim, 6) AS sim FROM sims WHERE token = 0 ORDER BY sims.sim DESC, page, px, py LIMIT 10")
+@query("cosine_topk", f"WITH {PATCHES}, {QUERY}, {SIMS} SELECT query_id, token, page, px, py, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY sim DESC, page, px, py) AS rank FROM sims) WHERE rank <= 10")
 def cosine_topk(spark, d):
-    sims = S.similarities(D.patches(spark, d), D.queries(spark, d).where("token = 0"))
-    return sims.orderBy(F.desc("sim"), "page", "px", "py").limit(10).select("page", "px", "py", F.round("sim", 6).alias("sim"))
+    found = S.nearest(D.patches(spark, d).select("page", "px", "py", "vec"), D.queries(spark, d), 10)
+    return found.select("query_id", "token", "page", "px", "py", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query("maxsim_batch_topk", f"WITH {PATCHES}, {QUERY4}, {SIMS}, {BEST}, {SCORED} SELECT query_id, page, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored) WHERE rank <= 5")
+@query("maxsim_batch_topk", f"WITH {PATCHES}, {QUERY}, {SIMS}, {BEST}, {SCORED} SELECT query_id, page, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored) WHERE rank <= 5")
 def maxsim_batch_topk(spark, d):
-    return S.search(D.patches(spark, d), D.queries(spark, d, 4), 5).withColumns(_r("score"))
+    return S.search(D.patches(spark, d), D.queries(spark, d), 5).withColumns(_r("score"))
 
 
 @query("maxsim_mean", f"WITH {PATCHES}, {QUERY}, {SIMS}, {BEST} SELECT query_id, page, round(avg(sim), 6) AS score FROM best GROUP BY ALL")
@@ -102,19 +104,18 @@ for _name, _axis in (("pool_rows", "py"), ("pool_cols", "px")):
 
 
 def _stage(axis: str, n: int) -> str:
-    return f"s_{axis} AS (SELECT page FROM (SELECT page, sum(sim) AS score FROM (SELECT page, token, max(list_cosine_similarity(v, q)) AS sim FROM pool_{axis}, query GROUP BY ALL) GROUP BY page) ORDER BY score DESC, page LIMIT {n})"
+    return f"s_{axis} AS (SELECT query_id, page FROM (SELECT query_id, page, sum(sim) AS score FROM (SELECT query_id, page, token, max(list_cosine_similarity(v, q)) AS sim FROM pool_{axis}, query GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) <= {n})"
 
 
-@query("two_stage_search", f"WITH {PATCHES}, {QUERY}, {_pool_sql('py')}, {_pool_sql('px')}, {_stage('py', 6)}, {_stage('px', 6)}, {SIMS}, {BEST}, {SCORED} SELECT page, round(score, 6) AS score FROM scored WHERE page IN (SELECT page FROM s_py UNION SELECT page FROM s_px) ORDER BY scored.score DESC, page LIMIT 5")
+@query("two_stage_search", f"WITH {PATCHES}, {QUERY}, {_pool_sql('py')}, {_pool_sql('px')}, {_stage('py', 200)}, {_stage('px', 200)}, {SIMS}, {BEST}, {SCORED} SELECT query_id, page, round(score, 6) AS score, rank FROM (SELECT scored.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored JOIN (FROM s_py UNION FROM s_px) USING (query_id, page)) WHERE rank <= 5")
 def two_stage_search(spark, d):
     p = D.patches(spark, d)
-    found = S.two_stage(p, P.pool(p, "py", False), P.pool(p, "px", False), D.queries(spark, d), k=5, prefetch=6)
-    return found.select("page", F.round("score", 6).alias("score"))
+    return S.two_stage(p, P.pool(p, "py", False), P.pool(p, "px", False), D.queries(spark, d), k=5, prefetch=200).withColumns(_r("score"))
 
 
-@query("quantized_search", f"""WITH {PATCHES}, {QUERY}, bits AS (SELECT page, token, list_sum(list_transform(range(1, 65), lambda i: ((v[i] > 0) <> (q[i] > 0))::INT)) AS b FROM patches, query), near AS (SELECT page FROM (SELECT page, sum(b) AS b FROM (SELECT page, token, min(b) AS b FROM bits GROUP BY ALL) GROUP BY page) ORDER BY b, page LIMIT 10), {SIMS}, {BEST}, {SCORED} SELECT page, round(score, 6) AS score FROM scored WHERE page IN (SELECT page FROM near) ORDER BY scored.score DESC, page LIMIT 5""")
+@query("quantized_search", f"""WITH {PATCHES}, {QUERY}, bits AS (SELECT query_id, page, token, list_sum(list_transform(range(1, 65), lambda i: ((v[i] > 0) <> (q[i] > 0))::INT)) AS b FROM patches, query), near AS (SELECT query_id, page FROM (SELECT query_id, page, sum(b) AS b FROM (SELECT query_id, page, token, min(b) AS b FROM bits GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b, page) <= {5 * OVERSAMPLING}), {SIMS}, {BEST}, {SCORED} SELECT query_id, page, round(score, 6) AS score, rank FROM (SELECT scored.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored JOIN near USING (query_id, page)) WHERE rank <= 5""")
 def quantized_search(spark, d):
-    return S.quantised(D.patches(spark, d), D.queries(spark, d), D.DIM, k=5).select("page", F.round("score", 6).alias("score"))
+    return S.quantised(D.patches(spark, d), D.queries(spark, d), D.DIM, k=5, oversampling=OVERSAMPLING).withColumns(_r("score"))
 
 
 @query("sign_codes", f"WITH {PATCHES} SELECT page, px, py, list_sum(list_transform(v, lambda x: (x > 0)::INT))::INT AS n_bits FROM patches")
@@ -164,19 +165,20 @@ def grid_estimate(spark, d):
 # regions
 
 
-def _sims(spark, d):
-    return S.similarities(D.patches(spark, d), D.queries(spark, d))
+def _scores(spark, d, aggregate="max"):
+    return S.patch_scores(D.patches(spark, d), D.queries(spark, d), aggregate)
 
 
 for _name, _fold in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
 
-    @query(f"patch_scores_{_name}", f"WITH {PATCHES}, {QUERY}, {SIMS} SELECT page, px, py, round({_fold}(sim), 6) AS score FROM sims GROUP BY ALL")
+    @query(f"patch_scores_{_name}", f"WITH {PATCHES}, {QUERY}, {SIMS} SELECT query_id, page, px, py, round({_fold}(sim), 6) AS score FROM sims GROUP BY query_id, page, px, py")
     def _patch_scores(spark, d, name=_name):
-        return R.patch_scores(_sims(spark, d), name).select("page", "px", "py", F.round("score", 6).alias("score"))
+        return _scores(spark, d, name).withColumns(_r("score"))
 
 
 _HEAD = f"WITH {PATCHES}, {QUERY}, {SIMS}, {PATCH}, {REGIONS}, {CELLS}"
-_TAIL = "SELECT b.page, b.doc_id AS region_id, round(coalesce(r.score, 0), 6) AS score FROM boxes b LEFT JOIN r ON r.doc_id = b.doc_id WHERE b.page IN (SELECT page FROM patch)"
+_ASKED = "FROM boxes b JOIN (SELECT DISTINCT query_id, page FROM patch) p USING (page) LEFT JOIN r ON r.doc_id = b.doc_id AND r.query_id = p.query_id"
+_TAIL = f"SELECT p.query_id, b.page, b.doc_id AS region_id, round(coalesce(r.score, 0), 6) AS score {_ASKED}"
 _FORMS = {
     "iou": ("iou_weighted", {}, "sum(iou * s) / sum(iou)", "iou > 0"),
     "max": ("max", {}, "max(s)", "true"),
@@ -186,14 +188,14 @@ _FORMS = {
 }
 for _name, (_aggregate, _options, _expression, _where) in _FORMS.items():
 
-    @query(f"region_relevance_{_name}", f"{_HEAD}, r AS (SELECT doc_id, {_expression} AS score FROM ious JOIN patch USING (page, px, py) WHERE {_where} GROUP BY doc_id) {_TAIL}")
+    @query(f"region_relevance_{_name}", f"{_HEAD}, r AS (SELECT query_id, doc_id, {_expression} AS score FROM ious JOIN patch USING (page, px, py) WHERE {_where} GROUP BY query_id, doc_id) {_TAIL}")
     def _relevance(spark, d, aggregate=_aggregate, options=_options):
-        got = R.relevance(D.regions(spark, d), R.patch_scores(_sims(spark, d)), D.NX, D.NY, D.WIDTH, D.HEIGHT, aggregate, **options)
-        return got.select("page", "region_id", F.round("score", 6).alias("score"))
+        got = R.relevance(D.regions(spark, d), _scores(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT, aggregate, **options)
+        return got.select("query_id", "page", "region_id", F.round("score", 6).alias("score"))
 
 
 # round to 9 digits before any comparison with a cutoff, so that both engines compare the same numbers
-_SCORE = f"{_HEAD}, r AS (SELECT doc_id, sum(iou * s) / sum(iou) AS score FROM ious JOIN patch USING (page, px, py) WHERE iou > 0 GROUP BY doc_id), sc AS (SELECT b.page, b.doc_id, round(coalesce(r.score, 0), 9) AS score FROM boxes b LEFT JOIN r ON r.doc_id = b.doc_id WHERE b.page IN (SELECT page FROM patch))"
+_SCORE = f"{_HEAD}, r AS (SELECT query_id, doc_id, sum(iou * s) / sum(iou) AS score FROM ious JOIN patch USING (page, px, py) WHERE iou > 0 GROUP BY query_id, doc_id), sc AS (SELECT p.query_id, b.page, b.doc_id, round(coalesce(r.score, 0), 9) AS score {_ASKED})"
 _CUTS = {
     "adaptive": ({"method": "adaptive"}, "avg(score) OVER p + stddev_pop(score) OVER p", 1000),
     "percentile": ({"method": "percentile", "percentile": 80.0}, "quantile_cont(score, 0.8) OVER p", 1000),
@@ -203,23 +205,23 @@ _CUTS = {
 }
 for _name, (_options, _cut, _top) in _CUTS.items():
 
-    @query(f"region_threshold_{_name}", f"{_SCORE}, t AS (SELECT *, {_cut} AS cutoff FROM sc WINDOW p AS (PARTITION BY page)) SELECT page, region_id, score, rank FROM (SELECT page, doc_id AS region_id, round(score, 6) AS score, row_number() OVER (PARTITION BY page ORDER BY t.score DESC, doc_id) AS rank FROM t WHERE t.score >= cutoff - 1e-12) WHERE rank <= {_top}")
+    @query(f"region_threshold_{_name}", f"{_SCORE}, t AS (SELECT *, {_cut} AS cutoff FROM sc WINDOW p AS (PARTITION BY query_id, page)) SELECT query_id, page, region_id, score, rank FROM (SELECT query_id, page, doc_id AS region_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, page ORDER BY t.score DESC, doc_id) AS rank FROM t WHERE t.score >= cutoff - 1e-12) WHERE rank <= {_top}")
     def _threshold(spark, d, options=_options):
-        got = R.relevance(D.regions(spark, d), R.patch_scores(_sims(spark, d)), D.NX, D.NY, D.WIDTH, D.HEIGHT).withColumns(_r("score", digits=9))
-        return R.select(got, **options).select("page", "region_id", F.round("score", 6).alias("score"), "rank")
+        got = R.relevance(D.regions(spark, d), _scores(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT).withColumns(_r("score", digits=9))
+        return R.select(got, **options).select("query_id", "page", "region_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("search_regions", f"{_SCORE}, {BEST}, {SCORED}, pages AS (SELECT page, score AS page_score, row_number() OVER (ORDER BY score DESC, page) AS page_rank FROM scored QUALIFY page_rank <= 5) SELECT page, page_rank, round(page_score, 6) AS page_score, doc_id AS region_id, round(score, 6) AS score FROM sc JOIN pages USING (page) WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY page ORDER BY sc.score DESC, doc_id) <= 4")
+@query("search_regions", f"{_SCORE}, {BEST}, {SCORED}, pages AS (SELECT query_id, page, score AS page_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS page_rank FROM scored QUALIFY page_rank <= 5) SELECT query_id, page, page_rank, round(page_score, 6) AS page_score, doc_id AS region_id, round(score, 6) AS score FROM sc JOIN pages USING (query_id, page) WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, page ORDER BY sc.score DESC, doc_id) <= 4")
 def search_regions(spark, d):
     o = Q.Options(k=5, threshold=0.1, region_top_k=4)
     got = Q.search_regions(D.patches(spark, d), D.regions(spark, d), D.queries(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT, o)
-    return got.select("page", "page_rank", F.round("page_score", 6).alias("page_score"), "region_id", F.round("score", 6).alias("score"))
+    return got.select("query_id", "page", "page_rank", F.round("page_score", 6).alias("page_score"), "region_id", F.round("score", 6).alias("score"))
 
 
-@query("heat_normalised", f"WITH {PATCHES}, {QUERY}, {SIMS}, {PATCH} SELECT page, px, py, round(CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END, 6) AS normal, round(greatest(s, 0) / (max(greatest(s, 0)) OVER w + 1e-8), 6) AS heat FROM patch WINDOW w AS (PARTITION BY page)")
+@query("heat_normalised", f"WITH {PATCHES}, {QUERY}, {SIMS}, {PATCH} SELECT query_id, page, px, py, round(CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END, 6) AS normal, round(greatest(s, 0) / (max(greatest(s, 0)) OVER w + 1e-8), 6) AS heat FROM patch WINDOW w AS (PARTITION BY query_id, page)")
 def heat_normalised(spark, d):
-    s = R.patch_scores(_sims(spark, d))
-    return A.heat(A.normalise(s, "score", "page"), "score", "page").select("page", "px", "py", F.round("normal", 6).alias("normal"), F.round("heat", 6).alias("heat"))
+    s = _scores(spark, d)
+    return A.heat(A.normalise(s, "score", "query_id", "page"), "score", "query_id", "page").select("query_id", "page", "px", "py", F.round("normal", 6).alias("normal"), F.round("heat", 6).alias("heat"))
 
 
 # grounded text: made from documents, three references each
@@ -422,11 +424,11 @@ def stratified_sample(spark, d):
 
 # contexts
 
-_RESULTS = f"{PATCHES}, {QUERY4}, {SIMS}, {BEST}, {SCORED}, ranked AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored QUALIFY rank <= 3), shown AS (SELECT query_id, rank, concat(source, ' - Page ', doc_id, ' of 25') AS label, concat('http://h/', doc_id, '.jpg') AS url, text FROM ranked JOIN documents ON doc_id = page)"
+_RESULTS = f"{PATCHES}, {QUERY}, {SIMS}, {BEST}, {SCORED}, ranked AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS rank FROM scored QUALIFY rank <= 3), shown AS (SELECT query_id, rank, concat(source, ' - Page ', doc_id, ' of 25') AS label, concat('http://h/', doc_id, '.jpg') AS url, text FROM ranked JOIN documents ON doc_id = page)"
 
 
 def _shown(spark, d):
-    found = S.search(D.patches(spark, d), D.queries(spark, d, 4), 3)
+    found = S.search(D.patches(spark, d), D.queries(spark, d), 3)
     docs = D.read(spark, d, "documents").select(F.col("doc_id").alias("page"), T.page_label(F.col("source"), F.col("doc_id"), F.lit(25)).alias("label"), F.format_string("http://h/%d.jpg", "doc_id").alias("image_url"), "text")
     return found.join(docs, "page")
 

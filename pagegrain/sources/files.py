@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import object_name
+
 SAMPLE = "question string, query string, answer string, images array<string>, image_paths array<string>, bbox string, doc_name string, category string, evidence_page array<int>"
 RUN = "token_summary map<string,string>, failed_count int, sample_results array<struct<sample_id:int,question:string,doc_name:string,category:string,gt_bboxes:array<array<double>>,pred_bboxes:array<array<double>>,mean_iou:double,iou_at_0_5:double,tokens_selected:int,tokens_all_ocr:int,tokens_full_image:int,failed:boolean,error_message:string>>"
 
 
+#: Bytes of a file that is read as one partition at most, and rows of a report.
+MAX_FILE, MAX_REPORT = 1 << 30, 1 << 20
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def samples(spark: SparkSession, path: str, limit: int | None = None, docs: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
     """Evaluation samples of a JSON-lines file: its line number as id, fallbacks for question and images, boxes flattened.
 
     Rows without an image or question are kept with ``skip`` saying why, so callers count them; an id filter comes before a
-    document filter. Line numbers follow the file's byte order: bounded evaluation files are read as one partition.
+    document filter. Line numbers follow the file's byte order: an evaluation file, checked to be of MAX_FILE bytes at most, is read as one partition.
     """
+    store, p = _path(spark, path)
+    if (size := store.getContentSummary(p).getLength()) > MAX_FILE:
+        raise ValueError(f"{path} has {size} bytes, and line numbers are for files of {MAX_FILE} at most")
     lines = spark.read.text(path, wholetext=False).coalesce(1).withColumn("_at", F.monotonically_increasing_id())
     rows = lines.select(F.col("_at").cast("int").alias("sample_id"), F.from_json("value", SAMPLE, {"mode": "PERMISSIVE"}).alias("s")).where(F.col("s").isNotNull())
     image = F.get(F.coalesce("s.images", "s.image_paths"), F.lit(0))
@@ -72,10 +91,9 @@ def run_summary(spark: SparkSession, path: str) -> DataFrame:
 def runs(spark: SparkSession, paths: dict[str, str]) -> DataFrame | None:
     """The runs of several models; one whose file is missing is left out."""
     out = None
-    jvm = spark.sparkContext._jvm
     for model, path in paths.items():
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        store, p = _path(spark, path)
+        if not store.exists(p):
             continue
         one = run_summary(spark, path).withColumn("model", F.lit(model))
         out = one if out is None else out.unionByName(one)
@@ -107,13 +125,81 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, columns: list[str], order: str) -> None:
-    """A markdown table; a report is small, so it is one file."""
+    """A markdown table; a report is small, which is checked, so it is one file."""
+    if rows.limit(MAX_REPORT + 1).count() > MAX_REPORT:
+        raise ValueError(f"a report has {MAX_REPORT} rows at most")
     head = rows.sparkSession.createDataFrame([(0, f"| {' | '.join(columns)} |"), (1, f"|{'---|' * len(columns)}")], "n long, value string")
     cell = lambda c: F.when(F.col(c).cast("double").isNotNull() & F.lit(dict(rows.dtypes)[c] in ("double", "float")), F.format_string("%.3f", F.col(c).cast("double"))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
     body = rows.select((F.row_number().over(Window.orderBy(order)) + 1).cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("value"))
     head.unionByName(body).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
+def put(objects: DataFrame, root: str) -> DataFrame:
+    """Writes each row's ``content`` at its ``path`` below a folder: (path, status). Each task writes its own rows; an object is written
+    under a temporary name and moved, so it is whole or absent, and one written again is replaced."""
+
+    def run(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            status = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    to = f"{base}/{inside(path)}"
+                    files.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                    temporary = f"{to}.{uuid.uuid4().hex}"
+                    with files.open_output_stream(temporary) as out:
+                        out.write(content or b"")
+                    files.move(temporary, to)
+                    status.append("written")
+                except (OSError, ValueError) as e:
+                    status.append(f"error: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(status)], ["path", "status"])
+
+    return objects.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, status string")
+
+
+def delete_urls(urls: DataFrame, bucket: str, root: str) -> DataFrame:
+    """Deletes the objects that urls name, below a folder: (url, status), ``deleted`` where it is gone or never was, else an error."""
+
+    def run(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            status = []
+            for name in batch.column("name").to_pylist():
+                try:
+                    if name is None:
+                        raise ValueError("no object of the bucket")
+                    if files.get_file_info(to := f"{base}/{inside(name)}").type == fs.FileType.File:
+                        files.delete_file(to)
+                    status.append("deleted")
+                except (OSError, ValueError) as e:
+                    status.append(f"error: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(status)], ["url", "status"])
+
+    return urls.select("url", object_name(F.col("url"), bucket).alias("name")).mapInArrow(run, "url string, status string")
+
+
+def inside(path: str) -> str:
+    """A path that stays below its root, or an error."""
+    out = posixpath.normpath(path.lstrip("/"))
+    if out in (".", "..") or out.startswith("../"):
+        raise ValueError(f"path leaves its root: {path}")
+    return out
+
+
+def report_after(results: DataFrame, path: str, columns: list[str], order: str, checkpoint: str):
+    """A stream of results whose report and summary below ``path`` are written again after each micro-batch, from all results so far."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        every = spark.read.option("basePath", f"{path}/results").parquet(f"{path}/results").drop("batch")
+        write_report(every.select(*columns), f"{path}/report", columns, order)
+        write_json(every, f"{path}/summary")
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_images(images: DataFrame, path: str) -> None:
     """Images by document and page; a committed write is whole or absent, and failed tasks are tried again."""
     images.write.mode("overwrite").partitionBy("document_id", "page_number").parquet(path)

@@ -30,37 +30,63 @@ class HashEmbedder:
         return [[self._one(p) for p in ([w.encode() for w in x.split()] if isinstance(x, str) else [x[i : i + 64] for i in range(0, len(x), 64)])] for x in items]
 
 
-def embed(rows: DataFrame, column: str, factory: Callable[[], Embedder], key: str) -> DataFrame:
-    """(key, idx, vec, error): the vectors of a text or binary column, one a row; a failing row has its error and no vector."""
+def _each(model: Callable, items: list) -> list[tuple]:
+    """(result, error) of each item: the model gets them all at once, and one by one only where that fails."""
+    try:
+        out = list(model(items))
+        if len(out) == len(items):
+            return [(x, None) for x in out]
+    except Exception:  # which item it was, the second try tells
+        pass
+    out = []
+    for x in items:
+        try:
+            out.append((model([x])[0], None))
+        except Exception as e:
+            out.append((None, str(e)[:500]))
+    return out
+
+
+def embed(rows: DataFrame, column: str, factory: Callable[[], Embedder], key: str, at_once: int = 64) -> DataFrame:
+    """(key, idx, vec, error): the vectors of a text or binary column, one a row; a failing row has its error and no vector. The model gets ``at_once`` items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for batch in batches:
-            out = []
-            for k, x in zip(batch[key], batch[column], strict=True):
-                try:
-                    out += [(k, i, v, None) for i, v in enumerate(model([x])[0])]
-                except Exception as e:
-                    out.append((k, None, None, str(e)[:500]))
-            yield pd.DataFrame(out, columns=[key, "idx", "vec", "error"]).astype({"idx": "Int32"})
+            for a in range(0, len(batch), at_once):
+                part, out = batch.iloc[a : a + at_once], []
+                for k, (vectors, error) in zip(part[key], _each(model, list(part[column])), strict=True):
+                    out += [(k, None, None, error)] if error is not None else [(k, i, v, None) for i, v in enumerate(vectors)]
+                yield pd.DataFrame(out, columns=[key, "idx", "vec", "error"]).astype({"idx": "Int32"})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, column).mapInPandas(run, f"`{key}` {kind}, idx int, vec array<double>, error string")
 
 
-def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable[[bytes, str], str]], key: str, task: str = "markdown") -> DataFrame:
-    """(key, raw, error): the grounded text of each image."""
+#: Sizes by mode: the whole image's, a tile's, and whether it is cut into tiles.
+MODES = {"Gundam": (1024, 640, True), "Tiny": (512, 512, False), "Small": (640, 640, False), "Base": (1024, 1024, False), "Large": (1280, 1280, False)}
+
+
+def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable], key: str, task: str = "markdown", mode: str | None = None) -> DataFrame:
+    """(key, raw, error): the grounded text of each image. With a mode, the engine gets its three sizes as well; no text is an error."""
+    if mode is not None and mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    sizes = () if mode is None else MODES[mode]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = factory()
-        for batch in batches:
+
+        def read(items: list) -> list:
             out = []
-            for k, x in zip(batch[key], batch[column], strict=True):
-                try:
-                    out.append((k, engine(x, task), None))
-                except Exception as e:
-                    out.append((k, None, str(e)[:500]))
-            yield pd.DataFrame(out, columns=[key, "raw", "error"])
+            for x in items:
+                if not (text := engine(x, task, *sizes)):
+                    raise ValueError("no text extracted from image")
+                out.append(text)
+            return out
+
+        for batch in batches:
+            found = [(k, *_each(read, [x])[0]) for k, x in zip(batch[key], batch[column], strict=True)]
+            yield pd.DataFrame(found, columns=[key, "raw", "error"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, column).mapInPandas(run, f"`{key}` {kind}, raw string, error string")

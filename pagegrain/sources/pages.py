@@ -1,4 +1,4 @@
-"""A data source of document pages: each partition is a range of one file's pages.
+"""A data source of document pages: each partition is one file.
 
 ``spark.dataSource.register(PageSource)`` and ``spark.read.format("pages").option("path", ...).load()``. Page counting and
 rendering are functions a caller names by import path, since no renderer is part of this package; the default counts
@@ -8,9 +8,9 @@ page objects in a PDF's bytes and yields no image.
 from __future__ import annotations
 
 import importlib
-import os
 import re
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _PAGE = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
@@ -33,9 +33,9 @@ def _named(name: str | None, default):
     return getattr(importlib.import_module(module), attribute)
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int, total: int):
-        self.path, self.first, self.last, self.total = path, first, last, total
+class File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
 
 
 class PageSource(DataSource):
@@ -51,25 +51,23 @@ class PageSource(DataSource):
 
 
 class PageReader(DataSourceReader):
+    """One partition a file, from a listing alone: a file is opened, counted and rendered, ``batchSize`` pages at a time, by its task."""
+
     def __init__(self, options):
         self.path, self.batch = options["path"], int(options.get("batchSize", 4))
         self.count, self.render = options.get("count"), options.get("render")
 
-    def _files(self) -> list[str]:
-        if os.path.isfile(self.path):
-            return [self.path]
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.lower().endswith(".pdf"))
-
-    def partitions(self) -> list[Range]:
-        out = []
-        for path in self._files():
-            with open(path, "rb") as f:
-                total = _named(self.count, count_pages)(f.read())
-            out += [Range(path, a, min(a + self.batch - 1, total), total) for a in range(1, total + 1, self.batch)]
-        return out
-
-    def read(self, partition: Range):
-        with open(partition.path, "rb") as f:
+    def partitions(self) -> list[File]:
+        files, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        info = files.get_file_info(root)
+        found = [info] if info.is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
+        return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and (info.is_file or f.path.lower().endswith(".pdf"))]
+
+    def read(self, partition: File):
+        files = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        with files.open_input_stream(partition.path) as f:
             data = f.read()
-        for page, image in _named(self.render, no_image)(data, partition.first, partition.last):
-            yield partition.path, page, page, partition.total, len(data), image
+        total = _named(self.count, count_pages)(data)
+        for first in range(1, total + 1, self.batch):
+            for page, image in _named(self.render, no_image)(data, first, min(first + self.batch - 1, total)):
+                yield partition.path, page, page, total, len(data), image

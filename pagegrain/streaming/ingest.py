@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import StreamingQueryException
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.catalog import TERMINAL
+from ..operators.catalog import TERMINAL, last
 
 
 def landing(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 4, fmt: str = "parquet") -> DataFrame:
@@ -16,14 +17,15 @@ def landing(spark: SparkSession, path: str, schema: str, files_per_trigger: int
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "page_id", once: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str, order: str, once: bool = True) -> StreamingQuery:
     """Runs a transformation on each micro-batch and writes it below ``target``/batch=n.
 
-    A batch that runs again overwrites its own folder, so the sink is idempotent; ``latest`` reads the last row of each key.
+    Of a key's rows in a batch the last by ``order`` counts. A batch that runs again overwrites its own folder, so the sink is idempotent;
+    ``latest`` reads the last row of each key.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).dropDuplicates([key]).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+        last(transform(batch), key, order).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()
@@ -38,12 +40,62 @@ def latest(spark: SparkSession, target: str, key: str = "page_id") -> DataFrame:
 
 
 def completions(events: DataFrame, keys: tuple[str, ...], stages: int, watermark: str | None = None, ts: str = "ts") -> DataFrame:
-    """Batch keys whose stages have all ended: a streaming count, without duplicates of a stage."""
+    """Batch keys whose stages have all ended, each stage counted once. A key holds its set of stages, a handful."""
     rows = events.withWatermark(ts, watermark) if watermark else events
-    counts = rows.groupBy(*keys).agg(F.approx_count_distinct("stage", 0.01).alias("n_stages"))
+    counts = rows.groupBy(*keys).agg(F.size(F.collect_set("stage")).alias("n_stages"))
     return counts.where(F.col("n_stages") >= stages)
 
 
+def indexing(stream: DataFrame, engine, checkpoint: str, ocr=None, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[dict], None] = lambda state: None, grace: float = 10.0) -> dict:
+    """Indexes a stream of pages, a micro-batch at a time, and reports after each; returns the last report.
+
+    ``cancelled`` is asked before every batch: from then on batches are passed over and the query stops, after ``grace`` seconds at most.
+    A batch that runs again upserts the same pages. A failing batch ends the job as failed.
+    """
+    state = {"status": "running", "pages": 0, "failed": 0, "batches": 0, "error": None}
+
+    def write(batch: DataFrame, number: int) -> None:
+        if cancelled():
+            state["status"] = "cancelled"
+            return
+        bad = engine.index(batch, ocr).count()
+        state.update(pages=state["pages"] + batch.count(), failed=state["failed"] + bad, batches=state["batches"] + 1)
+        progress(dict(state))
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        while not query.awaitTermination(0.5):
+            if state["status"] == "cancelled":
+                query.awaitTermination(grace) or query.stop()
+                break
+        if state["status"] == "running":
+            state["status"] = "completed"
+    except StreamingQueryException as e:
+        state.update(status="failed", error=str(e)[:500])
+    progress(dict(state))
+    return state
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (name, batch, rows, rows a second, milliseconds by step) after each micro-batch, and at the end."""
+
+    def __init__(self, on_progress: Callable[[dict], None], on_end: Callable[[str | None], None] = lambda error: None):
+        self.on_progress, self.on_end = on_progress, on_end
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.on_progress({"name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": dict(p.durationMs)})
+
+    def onQueryTerminated(self, event) -> None:
+        self.on_end(event.exception)
+
+
 def windowed(events: DataFrame, ts: str, length: str, slide: str | None, late: str, *by: str) -> DataFrame:
     """Counts and sums by event-time window, with a bound on lateness. An extension: only processing time is asked for."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
