@@ -332,6 +332,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(4 * partitions(spark), total / 4 / (1 << 20))))))
     dealt = docs.select("text").mapInArrow(tidy(_prefixes(sent, bits)), "bucket long, blob binary")
+    dealt = dealt.repartition(max(partitions(spark), (1 << bits) // 4), "bucket")  # by size, so that a task's share doesn't grow
     shared = cut(dealt.groupBy("bucket").applyInArrow(tidy(_shared), "h long, key long"))
 
     alike = rows.where("n > 0").groupBy("key", "id", "th").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
@@ -365,6 +366,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     weight = sets.agg(F.sum("n")).first()[0] or 0
     bins = int(max(4 * partitions(spark), weight // BLOCK_SHINGLES))
     local = sets.select("key", "shard", "block", "shingles", F.pmod(F.xxhash64("shard", "block"), F.lit(bins)).alias("bin"))
+    local = local.repartition(max(partitions(spark), bins // 4), "bin")
     links = cut(local.groupBy("bin").applyInArrow(tidy(_join_shards), "a long, b long"))
 
     roots = components(links)
@@ -373,7 +375,8 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     at = at.join(unit.select("key", "n"), "key")
     for _ in range(2):  # shingles across components and blocks, then classes with enough of them
         across = at.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("r0 <> r1 and u0 <> u1")
-        at = at.join(across.select("h"), "h")
+        across = cut(across.select("h"))  # read on its own, so that a join on a frequent shingle can be split
+        at = at.join(_by(across, across.count()), "h")
         full = at.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.greatest(F.lit(1), least)).select("key")
         at = cut(at.join(full, "key"))
     # a shingle's largest component needs no pairs of its own: its texts are sides 0 .. big - 1, which meet the other sides alone
@@ -381,9 +384,9 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     split = mine.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     parts = lambda c: F.ceil(c / BLOCK_TEXTS).cast("long")
     split = cut(split.select("h", "main", parts(F.col("most")).alias("big"), parts(F.col("all") - F.col("most")).alias("rest")))
-    if split.isEmpty():
+    if not (n_split := split.count()):
         return rows, links
-    wide = at.join(split, "h").withColumn("of_main", F.col("root") == F.col("main"))
+    wide = at.join(_by(split, n_split), "h").withColumn("of_main", F.col("root") == F.col("main"))
     wide = wide.withColumn("side", F.when(F.col("of_main"), F.pmod(F.xxhash64("key"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("key"), F.col("rest"))))
     others = F.sequence(F.when(F.col("of_main"), F.col("big")).otherwise(F.lit(0).cast("long")), F.col("big") + F.col("rest") - 1)
     wide = wide.withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
