@@ -163,7 +163,7 @@ def inline_images(markdown: Column, data: Column) -> Column:
 def clean_log(text: Column, markers: tuple[str, ...] = NOISE) -> Column:
     """The lines that hold none of the markers."""
     bad = lambda line: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(line, m))
-    return F.trim(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n"))
+    return F.regexp_replace(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n"), r"^\s+|\s+$", "")
 
 
 def percent_text(v: Column) -> Column:

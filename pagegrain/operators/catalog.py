@@ -86,7 +86,8 @@ def running(events: DataFrame, job: str = "job_id", ts: str = "ts", pages: str =
     """Events with the pages done so far by their job, and pages a second since its first event (null until time has passed)."""
     w = Window.partitionBy(job).orderBy(ts)
     done = F.sum(pages).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    seconds = F.col(ts).cast("double") - F.min(F.col(ts).cast("double")).over(w)
+    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
+    seconds = at - F.min(at).over(w)
     return events.withColumns({"done": done, "pages_per_second": F.when(seconds > 0, done / seconds)})
 
 

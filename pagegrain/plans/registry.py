@@ -244,12 +244,6 @@ def region_content_join(spark, d):
     return O.regions(_grounded(spark, d), "raw", 1000, 1400, "doc_id").select("doc_id", "ord", "region_id", "label", "content")
 
 
-@query("clean_output")
-def clean_output(spark, d):
-    raw = F.col("raw")
-    return _grounded(spark, d).select("doc_id", O.clean(raw).alias("plain"), O.clean(raw, include_images=True).alias("figures"), O.clean(raw, remove_labels=True).alias("bare"))
-
-
 # strings
 
 
@@ -289,24 +283,6 @@ def token_counts(spark, d):
     return D.read(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
 
 
-@query("content_types", "SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'application/octet-stream' ELSE 'image/png' END AS kind FROM pages")
-def content_types(spark, d):
-    name = F.when(F.col("url").like("%.html"), F.lit("a.html")).otherwise(F.lit("a.PNG"))
-    return D.read(spark, d, "pages").select("page_id", T.content_type(name).alias("kind"))
-
-
-@query("redact_keys", "SELECT event_id, '***REDACTED***' AS token, value AS amount FROM events")
-def redact_keys(spark, d):
-    m = T.redact(F.create_map(F.lit("API_token"), F.lit("x"), F.lit("amount"), F.col("value").cast("string")))
-    return D.read(spark, d, "events").select("event_id", F.element_at(m, "API_token").alias("token"), F.element_at(m, "amount").cast("double").alias("amount"))
-
-
-@query("allowed_files", "SELECT page_id, url LIKE '%.html' OR page_id % 3 = 0 AS allowed FROM pages")
-def allowed_files(spark, d):
-    mime = F.when(F.col("page_id") % 3 == 0, F.lit("Application/PDF")).otherwise(F.lit("x/y"))
-    return D.read(spark, d, "pages").select("page_id", T.allowed_file(F.regexp_replace("url", r"^.*/", ""), mime, (".html",), ("application/pdf",)).alias("allowed"))
-
-
 # evaluation
 
 
@@ -473,12 +449,6 @@ def object_status(spark, d):
     return C.object_status(D.read(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("length")))
 
 
-@query("status_rollup", "SELECT lang, CASE WHEN bool_and(n_chars > 100) THEN 'success' WHEN bool_or(n_chars > 100) THEN 'partial' ELSE 'error' END AS status FROM documents GROUP BY lang")
-def status_rollup(spark, d):
-    s = F.when(F.col("n_chars") > 100, F.lit("success")).otherwise(F.lit("failed"))
-    return D.read(spark, d, "documents").withColumn("s", s).groupBy("lang").agg(C.rolled_up(F.col("s")).alias("status"))
-
-
 @query("batch_outcomes", "SELECT source, count_if(n_chars > 500) AS successful, count_if(n_chars <= 500) AS failed, count(*) AS total FROM documents GROUP BY source")
 def batch_outcomes(spark, d):
     s = F.when(F.col("n_chars") > 500, "success").otherwise("error")
@@ -525,3 +495,6 @@ def job_states(spark, d):
 def event_windows(spark, d):
     got = I.windowed(D.read(spark, d, "events"), "ts", "1 hour", None, "10 minutes", "event_type")
     return got.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import document_queries  # noqa: E402, F401  (registers its queries)
