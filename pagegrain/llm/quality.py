@@ -5,7 +5,7 @@ characters collapsed; one shape for all pairs of equal words), each hashed into
 product, normalised by the number of features, so a text's length alone says nothing.
 
 Edge cases: a null or empty text has no feature and gets the bias' score; a null, missing or repeated
-doc_id is scored row by row; labels that are null are ignored and labels of one doc_id that differ count by
+doc_id is scored row by row; of the rows of one labelled doc_id one is learnt from, the one of least text hash; labels that are null are ignored and labels of one doc_id that differ count by
 their mean (1 from 0.5); with no usable label every score is 0.5, predicted 1. Other columns of the
 input never enter and clashing names can't reach the result.
 """
@@ -38,22 +38,26 @@ def features(texts: pa.Array, bits: int = BITS):
             pair = np.empty_like(one)
             if len(one):
                 pair[:-1] = K.mix(one[:-1] + K.COMBINE[1]) + one[1:] * K.COMBINE[2]
-                last = b.off[1:][b.counts > 0] - 1  # the last word of a row pairs with the end
+                if k == 2:
+                    pair[:-1][b.hash[1:] == b.hash[:-1]] = _TWICE  # a pair of one word with itself, whatever the word
+                last = b.off[1:][b.counts > 0] - 1  # the last word of a row pairs with the end, whatever row is next
                 pair[last] = K.mix(one[last] + K.COMBINE[3])
-            if k == 2 and len(one):
-                pair[:-1][b.hash[1:] == b.hash[:-1]] = _TWICE  # a pair of one word with itself, whatever the word
             ids += [(K.mix(one + salts[k]) & mask), (K.mix(pair + salts[k + 1]) & mask)]
         yield b, np.stack(ids, axis=1).astype(np.int32) if len(b.hash) else np.zeros((0, 4), np.int32)
 
 
-def _gather(batches):
+def _gather(bits: int):
     """Rows of (order, y, features) from rows of (order, y, text)."""
-    for batch in batches:
-        order, y = batch.column("order").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False)
-        out = []
-        for b, ids in features(batch.column("text")):
-            out += [ids[b.off[i] : b.off[i + 1]].tobytes() for i in range(b.hi - b.lo)]
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(y), pa.array(out, pa.binary())], ["order", "y", "features"])
+
+    def run(batches):
+        for batch in batches:
+            order, y = batch.column("order").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False)
+            out = []
+            for b, ids in features(batch.column("text"), bits):
+                out += [ids[b.off[i] : b.off[i + 1]].tobytes() for i in range(b.hi - b.lo)]
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(y), pa.array(out, pa.binary())], ["order", "y", "features"])
+
+    return run
 
 
 def ftrl(examples, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
@@ -99,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labelled: int
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_labelled)
-    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", "y", "text")  # max_labelled rows of 24 bytes at most
-    rows = rows.mapInArrow(tidy(_gather), "order long, y double, features binary")
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_labelled rows of 24 bytes at most
+    # one text an id, the one of least hash, so that an id with many rows is one example and the sample stays bounded
+    rows = rows.groupBy("doc_id", "order", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("order", "y", "text")
+    rows = rows.mapInArrow(tidy(_gather(bits)), "order long, y double, features binary")
     got = rows.repartition(1).mapInArrow(tidy(_learn(bits)), "w binary, bias double").collect()
     return (np.frombuffer(got[0]["w"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << bits, np.float32), 0.0)
 

@@ -139,6 +139,69 @@ def test_quality_learns_and_keeps_folds(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_score_is_a_plain_logistic(spark, monkeypatch):
+    """Every text's score again from the weights, feature by feature, and the weights by plain updates one example after the other."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, " ".join(rnd.choice(["Good", "fine", "text9", "A-b", "x"] if i % 2 else ["bad###", "junk&&&", "text9", "x"], int(rnd.integers(0, 12))))) for i in range(60)]
+    rows += [(200, None), (201, ""), (202, "one"), (203, "x x x")]
+    labels = [(i, i % 2) for i in range(40)]
+    kept, real = {}, quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: kept.setdefault("model", real(*a)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), bits=12).collect()}
+    w, bias = kept["model"]
+    hashes = lambda w: next(quality.K.words(pa.array([w]), shape=True))
+
+    def grams(t):
+        ws = WORD.findall(t or "")
+        one = [hashes(x) for x in ws]
+        out = []
+        for k, part in ((0, [b.hash for b in one]), (2, [b.shape for b in one])):
+            for j, h in enumerate(part):
+                pair = quality.K.mix(h + quality.K.COMBINE[3]) if j + 1 == len(part) else quality.K.mix(h + quality.K.COMBINE[1]) + part[j + 1] * quality.K.COMBINE[2]
+                if k == 2 and j + 1 < len(part) and ws[j] == ws[j + 1]:
+                    pair = np.array([quality._TWICE])
+                for salt, x in ((k, h), (k + 1, pair)):
+                    out.append(int((quality.K.mix(x + np.uint64(0x51ED270B * (2 * salt + 1))) & np.uint64((1 << 12) - 1))[0]))
+        return out
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for i, t in rows:
+        ids = grams(t)
+        assert abs(got[i] - sigmoid(bias + quality.SCALE * sum(float(w[x]) for x in ids) / max(1, len(ids)))) < 1e-5
+    order = {r.doc_id: r.o for r in spark.createDataFrame(labels, "doc_id long, quality int").selectExpr("doc_id", "xxhash64(doc_id) AS o").collect()}
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    texts = dict(rows)
+    learnt = sorted((order[i], y, texts[i]) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    for _ in range(quality.EPOCHS):
+        for _, y, t in learnt:
+            ids = collections.Counter(grams(t))
+            x = {**{k: c * quality.SCALE / max(1, ids.total()) for k, c in ids.items()}, -1: 1.0}
+            ws = {k: weight(k) for k in x}
+            p = sigmoid(sum(ws[k] * v for k, v in x.items()))
+            for k, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA
+                z[k], n[k] = z[k] + g - sigma * ws[k], n[k] + g * g
+    assert max(abs(weight(k) - float(w[k])) for k in range(1 << 12)) < 1e-3 and abs(weight(-1) - bias) < 1e-3
+
+
+def test_quality_learns_one_text_of_an_id_and_reads_long_ones_whole(spark):
+    rows = [(1, f"many rows of one id {i}") for i in range(3000)] + [(2, "good words here"), (3, "bad ### here"), (4, "word " * 200_000 + "###")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    got = quality.classify(table, labels).collect()
+    assert len(got) == 3003 and all(0 <= r.score <= 1 for r in got)
+    one = table.where("doc_id = 1").groupBy("doc_id").agg(quality.F.min_by("text", quality.F.xxhash64("text")).alias("text"))
+    alone = quality.fit(one.union(table.where("doc_id > 1")), labels)
+    both = quality.fit(table, labels)
+    assert (alone[0] == both[0]).all() and alone[1] == both[1]
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
