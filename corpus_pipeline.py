@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegrain.llm import decontaminate, ngramjoin, packing, quality, rules
-from pagegrain.llm.session import shared_path, table
+from pagegrain.llm.session import discard, shared_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = tuple(c for c in COLUMNS if c != "text")
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's result written in the shared folder and read again, and deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = shared_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

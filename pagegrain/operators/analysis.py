@@ -57,11 +57,62 @@ def category_stats(rows: DataFrame, category: str, target: str, others: tuple[st
     return rows.groupBy(category).agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.stddev_pop(target).alias("std"), *(F.avg(c).alias(f"mean_{c}") for c in others))
 
 
+#: Values of a column that one task may hold.
+HELD = 1 << 20
+
+
+def quantiles(rows: DataFrame, by: str, shares: tuple[float, ...], held: int | None = None) -> list[float | None]:
+    """Exact quantiles, linear between ranks, of a column of any length; nulls don't count.
+
+    Each pass brackets a rank between two approximate quantiles and counts what lies below, until few enough distinct values are left
+    between them to be held; a pass narrows a bracket some thousandfold.
+    """
+    held = HELD if held is None else held
+    values = rows.select(F.col(by).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    wanted = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    found = {k: _ranked(values, n, k, held) for k in wanted}
+    out = []
+    for s in shares:
+        low, at = math.floor(s * (n - 1)), s * (n - 1)
+        a, b = found[low], found[math.ceil(at)]
+        out.append(a + (b - a) * (at - low))
+    return out
+
+
+def _ranked(values: DataFrame, n: int, rank: int, held: int) -> float:
+    """The value of a rank, counted from 0."""
+    low, high, below, size = None, None, 0, n
+    while True:
+        part = values if low is None else values.where((F.col("v") >= low) & (F.col("v") <= high))
+        if low is not None and low == high:
+            return low
+        if size <= held:
+            for r in part.groupBy("v").count().orderBy("v").collect():  # ``held`` rows at most
+                below += r["count"]
+                if below > rank:
+                    return r["v"]
+        share = (rank - below) / max(1, size - 1)
+        a, b = part.agg(F.percentile_approx("v", [max(0.0, share - 1e-3), min(1.0, share + 1e-3)], 10_000)).first()[0]
+        less, inside = part.agg(F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
+        while not below + less <= rank < below + less + inside:  # the approximation missed: take the rest on that side
+            ends = part.agg(F.min("v"), F.max("v")).first()
+            a, b = (ends[0], a) if rank < below + less else (b, ends[1])
+            less, inside = part.agg(F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b))).first()
+        if inside == size and a != b:  # nothing gained: halve the values
+            middle = part.agg(F.percentile_approx("v", 0.5)).first()[0]
+            left = part.agg(F.count_if(F.col("v") <= middle)).first()[0]
+            a, b, less, inside = (a, middle, 0, left) if rank < below + left else (part.where(F.col("v") > middle).agg(F.min("v")).first()[0], b, left, size - left)
+        low, high, below, size = a, b, below + less, inside
+
+
 def quartiles(rows: DataFrame, by: str, target: str) -> DataFrame:
     """(quartile, n, mean, std) of the target within the half-open quartiles of ``by``; cut points are exact."""
-    cuts = rows.agg(F.percentile(by, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    at = rows.crossJoin(F.broadcast(cuts))  # one row
-    q = F.when(F.col(by) < F.col("_q")[0], 1).when(F.col(by) < F.col("_q")[1], 2).when(F.col(by) < F.col("_q")[2], 3).otherwise(4)
+    cuts = [F.lit(c) for c in quantiles(rows, by, (0.25, 0.5, 0.75))]
+    at, value = rows, F.col(by).cast("double")
+    q = F.when(value < cuts[0], 1).when(value < cuts[1], 2).when(value < cuts[2], 3).otherwise(4)
     return at.where(F.col(by).isNotNull()).groupBy(q.alias("quartile")).agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.stddev_pop(target).alias("std"))
 
 

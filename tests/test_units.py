@@ -209,6 +209,20 @@ def test_evaluation_edges(spark):
     assert tuple(E.summarise(none).first()) == (0.0, 0.0, 0) and E.hit_rates(none).first().rate_0_5 == 0.0
 
 
+def test_exact_quantiles(spark):
+    rnd = random.Random(8)
+    for values in ([rnd.gauss(0, 1) for _ in range(3000)], [5.0] * 500 + [1.0, 9.0], [float(rnd.randrange(4)) for _ in range(900)], [2.0], [float(i) for i in range(5001)]):
+        df = spark.createDataFrame([*((v,) for v in values), (None,)], "v double")
+        ordered = sorted(values)
+        expected = []
+        for s in (0.0, 0.25, 0.5, 0.9, 1.0):
+            at = s * (len(values) - 1)
+            a, b = ordered[math.floor(at)], ordered[math.ceil(at)]
+            expected.append(a + (b - a) * (at - math.floor(at)))
+        assert A.quantiles(df, "v", (0.0, 0.25, 0.5, 0.9, 1.0), held=40) == pytest.approx(expected, abs=1e-12)
+    assert A.quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
 def test_p_values():
     assert abs(A.p_value(0.5, 10) - 0.14111328125) < 1e-9 and A.p_value(0.0, 10) == 1.0 and A.p_value(1.0, 5) == 0.0 and A.p_value(None, 5) is None
     assert abs(A.p_value(-0.9, 20) - A.p_value(0.9, 20)) < 1e-15 and A.p_value(0.9, 20) < 1e-6
