@@ -403,7 +403,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: id, th (its text's hash), n and root, the key of its component; root is null without shingles."""
     rows, links = classes_and_links(docs, id_col)
     roots = components(links).withColumnRenamed("node", "key")
-    named = rows.where("n > 0").join(roots, "key", "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
+    named = rows.where("n > 0").join(_by(roots, roots.count()), "key", "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
     return named.union(rows.where("n = 0").select("id", "th", "n", F.lit(None).cast("long")))
 
 
@@ -412,9 +412,10 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows, links = classes_and_links(docs, id_col)
     roots = components(links)
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("key", "component_id")
-    full = rows.where("n > 0").join(classes, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    classes = cut(classes)
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = cut(classes.join(_by(least, least.count()), "root").select("key", "component_id"))
+    full = rows.where("n > 0").join(_by(classes, classes.count()), "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("id", "n", "id"))
 
 
@@ -424,8 +425,9 @@ def thin(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Texts aren't shuffled where those that go are few enough to broadcast.
     """
     rows = cut(grouped(docs, id_col))
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("rep"))
-    goes = rows.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th")))).select("id", "th").distinct()
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("rep")).select(F.col("rep.id").alias("_first"), F.col("rep.th").alias("_at"))
+    # id and text hash tell the component, so rows needn't meet by component, of which one may hold many
+    goes = rows.where("root is not null").join(first, F.col("id").eqNullSafe(F.col("_first")) & (F.col("th") == F.col("_at")), "left_anti").select("id", "th").distinct()
     goes = cut(goes.toDF("_id", "_th"))
     twice = cut(rows.where("root is not null").groupBy("id", "th").count().where("count > 1").select("id", "th").toDF("_id", "_th"))
     th = F.xxhash64("text")
