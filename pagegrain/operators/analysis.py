@@ -70,8 +70,8 @@ def quantiles(rows: DataFrame, by: str, shares: tuple[float, ...], held: int | N
     held = HELD if held is None else held
     values = rows.select(F.col(by).cast("double").alias("v")).where("v is not null")
     n = values.count()
-    if not n:
-        return [None] * len(shares)
+    if n <= held:
+        return values.agg(F.percentile("v", [float(s) for s in shares])).first()[0] if n else [None] * len(shares)
     wanted = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
     found = {k: _ranked(values, n, k, held) for k in wanted}
     out = []
