@@ -70,12 +70,15 @@ class Engine:
         self._replace("codes", S.codes(placed, dim[0] if dim else 1), pages)
         self._replace("points", pages.select("page_id", "document_id", "filename", "page_number", "total_pages", "image_url"), pages, "page_id")
         failed = vectors.where("error is not null").select("page_id", F.lit("embedding").alias("stage"), "error")
-        if ocr:
-            raw = cut(models.ocr(pages, "image", ocr, "page_id"))
-            found = O.regions(raw.where("error is null").select(F.col("page_id").alias("page"), "raw"), "raw", self.grid[2], self.grid[3], "page")
-            self._replace("regions", found.select("page", "region_id", "ord", "label", "x1", "y1", "x2", "y2", "content", "image_index"), pages)
-            failed = failed.union(raw.where("error is not null").select("page_id", F.lit("ocr").alias("stage"), "error"))
-        return failed
+        return failed.union(self.read_text(pages, ocr)) if ocr else failed
+
+    def read_text(self, pages: DataFrame, ocr: Callable[[], Callable], task: str = "markdown", mode: str | None = None) -> DataFrame:
+        """Puts the OCR regions of pages (page_id and ``image``) in the place of those that they have; nothing else of a page changes.
+        Returns the rows that failed; they have no regions then."""
+        raw = cut(models.ocr(pages.withColumn("page_id", F.col("page_id").cast("long")), "image", ocr, "page_id", task, mode))
+        found = O.regions(raw.where("error is null").select(F.col("page_id").alias("page"), "raw"), "raw", self.grid[2], self.grid[3], "page")
+        self._replace("regions", found.select("page", "region_id", "ord", "label", "x1", "y1", "x2", "y2", "content", "image_index"), raw.select("page_id"))
+        return raw.where("error is not null").select("page_id", F.lit("ocr").alias("stage"), "error")
 
     def queries(self, texts: Mapping[int, str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(texts.items()), "query_id long, text string")

@@ -39,6 +39,11 @@ def test_engine(spark, tmp_path):
     assert e.table("patches").count() == 45 and e.table("points").count() == 4
     e.index(spark.createDataFrame(rows[2:3], POINT + ", image binary"), lambda: read_text)
     assert {n: e.table(n).count() for n in TABLES} == tables
+    again = spark.createDataFrame([(1, bytearray(b"x" * 99)), (2, None)], "page_id int, image binary")
+    assert [r.page_id for r in e.read_text(again, lambda: read_text).collect()] == [2]
+    assert sorted((r.page, r.content) for r in e.table("regions").where("label = 'title'").collect()) == [(0, "Title 1280"), (1, "Title 99")] and e.table("patches").count() == 60
+    e.read_text(spark.createDataFrame(rows[1:3], POINT + ", image binary"), lambda: read_text)
+    assert {n: e.table(n).count() for n in TABLES} == tables
     got = e.search({1: "two words", 2: "other"}, Options(k=3, threshold=-1.0), include_ocr=True).collect()
     assert {r.page for r in got} == {1, 2} and all(r.label == f"f.pdf - Page {r.page} of 3" and len(r.regions) == 2 for r in got)
     assert {r.page for r in e.search({1: "two words"}, Options(k=3, pooling=True)).collect()} == {1, 2}
