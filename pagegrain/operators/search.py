@@ -110,6 +110,12 @@ def _tokens(rows: pa.RecordBatch, codes: bool) -> Tokens:
     return Tokens(rows.column("query_id").to_numpy(), rows.column("token").to_numpy(), flat.reshape(-1, width), codes)
 
 
+def held(queries: DataFrame) -> DataFrame:
+    """Query tokens as a local table, so that a plan that reads them more than once makes them once; more than MAX_QUERY_TOKENS stay as they are."""
+    table = queries.limit(MAX_QUERY_TOKENS + 1).toArrow()
+    return queries.sparkSession.createDataFrame(table, queries.schema) if 0 < table.num_rows <= MAX_QUERY_TOKENS else queries
+
+
 def _products(patches: DataFrame, queries: DataFrame, emit: Emit, schema: str, codes: bool = False) -> DataFrame:
     """``emit``'s rows for all patches and query tokens."""
     kind = "array<bigint>" if codes else "array<double>"
@@ -237,6 +243,7 @@ def search(patches: DataFrame, queries: DataFrame, k: int = 10, pages: DataFrame
 
 def two_stage(patches: DataFrame, rows: DataFrame, columns: DataFrame, queries: DataFrame, k: int = 10, prefetch: int = 200, combine: str = "sum") -> DataFrame:
     """Union of the best pages by row- and by column-pooled vectors, then exact scores of those alone."""
+    queries = held(queries)
     picks = [top(maxsim(pooled, queries, combine), prefetch).select("query_id", "page") for pooled in (rows, columns)]
     candidates = picks[0].union(picks[1]).distinct()
     wanted = patches.join(candidates.select("page").distinct(), "page", "left_semi")
@@ -254,7 +261,7 @@ def quantised(patches: DataFrame, queries: DataFrame, dim: int, k: int = 10, ove
 
     ``levels``: codes of 4 bits a part, and their cosine with the query as it is; they find more. ``coded``: stored codes.
     """
-    coded = codes(patches, dim, levels) if coded is None else coded
+    coded, queries = codes(patches, dim, levels) if coded is None else coded, held(queries)
     asked = queries if levels else queries.select("query_id", "token", V.sign_code(F.col("vec"), dim).alias("vec"))
     near = best(coded.select("page", F.col("code").cast("array<double>" if levels else "array<bigint>").alias("vec")), asked, codes=not levels).groupBy("query_id", "page").agg(F.sum("sim").alias("score"))
     if not rescore:

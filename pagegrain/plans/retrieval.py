@@ -54,6 +54,7 @@ def search(patches: DataFrame, queries: DataFrame, options: Options = Options(),
 
 def search_regions(patches: DataFrame, regions: DataFrame, queries: DataFrame, nx: int, ny: int, width: int, height: int, options: Options = Options(), rows: DataFrame | None = None, columns: DataFrame | None = None, coded: DataFrame | None = None) -> DataFrame:
     """(query_id, page, page_rank, page_score, region_id, score, rank): the selected regions of each query's pages, as one plan."""
+    queries = S.held(queries)
     found = search(patches, queries, options, rows, columns, coded=coded).withColumnsRenamed({"score": "page_score", "rank": "page_rank"})
     pairs = found.select("query_id", "page")
     wanted = pairs.select("page").distinct()
