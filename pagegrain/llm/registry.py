@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, lm, materialise, ngramjoin, packing, quality, rules, sharding, urls
+from . import align, conversations, decontaminate, html, lm, materialise, ngramjoin, packing, pii, quality, rules, sharding, urls
 from .session import shared_path, table
 from .sql import DECONTAMINATION_SQL, NGRAM_JOIN_SQL, RULES_SQL, SHARDING_SQL
 
@@ -56,5 +56,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_token_binary": op7_token_binary, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repairs(conversations.damage(conversations.plain(table(spark, sf_dir, "conversations"))))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {"op1_lm_scoring": op1_lm_scoring, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op7_token_binary": op7_token_binary, "op8_sharding": op8_sharding, "op9_packing": op9_packing, "op10_html_extraction": op10_html_extraction, "op11_tokenizer_alignment": op11_tokenizer_alignment, "op12_conversation_repair": op12_conversation_repair, "op13_pii": op13_pii}
 ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": NGRAM_JOIN_SQL, "op4_quality_rules": RULES_SQL, "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op8_sharding": SHARDING_SQL}
