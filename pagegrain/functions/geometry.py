@@ -56,7 +56,7 @@ def estimate_grid(n: Column, width: Column, height: Column) -> tuple[Column, Col
     """(nx, ny) whose product holds n patches, from the aspect ratio; the longer side grows."""
     aspect = width / height
     ny = F.greatest(F.lit(1), F.sqrt(n / aspect).cast("int"))
-    nx = F.floor(n / ny).cast("int")
+    nx = F.greatest(F.lit(1), F.floor(n / ny).cast("int"))  # a page far taller than wide
     return F.when(aspect > 1, F.ceil(n / ny).cast("int")).otherwise(nx), F.when(aspect > 1, ny).otherwise(F.ceil(n / nx).cast("int"))
 
 

@@ -44,8 +44,10 @@ def contents(rows: DataFrame, text: str) -> DataFrame:
 
 
 def regions(rows: DataFrame, text: str, width, height, key: str) -> DataFrame:
-    """Boxes as regions: ordinal and id by page, image index, and the k-th content of the label for its k-th box."""
-    found = boxes(rows.select(key, text), text, width, height)
+    """Boxes as regions: ordinal and id by page, image index, and the k-th content of the label for its k-th box. A size is a number, or
+    the name of a column with the page's own."""
+    own = [c for c in (width, height) if isinstance(c, str)]
+    found = boxes(rows.select(key, text, *own), text, *(F.col(c) if isinstance(c, str) else c for c in (width, height))).drop(*own)
     page = Window.partitionBy(key).orderBy("ref_ord", "box_ord")
     image = F.lower("label").isin("image", "figure")
     found = found.withColumns({"ord": F.row_number().over(page), "place": F.row_number().over(Window.partitionBy(key, "label").orderBy("ref_ord", "box_ord"))})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,8 +32,34 @@ def place_maps(maps: DataFrame, layout: str = "xy") -> DataFrame:
     return maps.select(*rest, F.posexplode("similarity_map").alias(a, "_line")).select(*rest, a, F.posexplode("_line").alias(b, "sim"))
 
 
-def cells(regions: DataFrame, nx: int, ny: int, width: int, height: int) -> DataFrame:
-    """Regions by the grid cells their boxes touch, each with its IoU with the cell; no cell, no row."""
+#: A page's geometry: patches in x and y, and its size in pixels.
+GRID = ("nx", "ny", "width", "height")
+
+
+def page_grids(pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(page, nx, ny, width, height, error): the grid of each page of (page, width, height) and, where known, (nx, ny).
+
+    A page without a known grid has one estimated from its aspect ratio and its number of patches, which ``counts`` (page, n) tells.
+    A page whose size or number of patches is missing or not positive, or whose patches are more than its grid holds, has an error, and
+    its regions meet no patch; other pages don't notice.
+    """
+    known = [c if c in pages.columns else F.lit(None).cast("int").alias(c) for c in ("nx", "ny")]
+    rows = pages.select(F.col("page").cast("long").alias("page"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), *known)
+    rows = rows.join(counts.select(F.col("page").cast("long").alias("page"), F.col("n").alias("_n")), "page", "left") if counts is not None else rows.withColumn("_n", F.lit(None).cast("long"))
+    sized = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    given = F.coalesce((F.col("nx") > 0) & (F.col("ny") > 0), F.lit(False))
+    x, y = G.estimate_grid(F.when(F.col("_n") > 0, F.col("_n")), F.when(sized, F.col("width")), F.when(sized, F.col("height")))
+    able = sized & F.coalesce(F.col("_n") > 0, F.lit(False))
+    rows = rows.withColumns({"_x": F.when(given, F.col("nx")).when(able, x.cast("int")), "_y": F.when(given, F.col("ny")).when(able, y.cast("int"))})
+    error = F.when(~sized, "size is missing or not positive").when(F.col("_x").isNull() | F.col("_y").isNull(), "no patches to estimate a grid from")
+    error = error.when(F.col("_n") > F.col("_x") * F.col("_y"), F.format_string("%d patches do not fit a grid of %d x %d", "_n", "_x", "_y"))
+    return rows.select("page", F.col("_x").alias("nx"), F.col("_y").alias("ny"), "width", "height", error.alias("error"))
+
+
+def cells(regions: DataFrame, nx: Column | int | None = None, ny: Column | int | None = None, width: Column | float | None = None, height: Column | float | None = None) -> DataFrame:
+    """Regions by the grid cells their boxes touch, each with its IoU with the cell; no cell, no row. The geometry is the regions' own
+    columns (GRID), unless it is given; a null or zero in it gives no cell."""
+    nx, ny, width, height = (F.col(c) if v is None else v for c, v in zip(GRID, (nx, ny, width, height), strict=True))
     pw, ph = width / nx, height / ny
     x1, y1, x2, y2 = G.patch_range(G.box(), pw, ph, nx, ny)
     at = regions.withColumns({"_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2}).where("_x1 < _x2 and _y1 < _y2")
@@ -41,14 +67,15 @@ def cells(regions: DataFrame, nx: int, ny: int, width: int, height: int) -> Data
     return at.drop("_x1", "_y1", "_x2", "_y2").withColumn("iou", G.iou(G.box(), G.patch_box(F.col("px"), F.col("py"), pw, ph)))
 
 
-def relevance(regions: DataFrame, scores: DataFrame, nx: int, ny: int, width: int, height: int, aggregate: str = "iou_weighted", eps: float = 0.0, min_overlap: float | None = None, keep_invalid: bool = True) -> DataFrame:
-    """(query_id, page, region_id, score).
+def relevance(regions: DataFrame, scores: DataFrame, nx: Column | int | None = None, ny: Column | int | None = None, width: Column | float | None = None, height: Column | float | None = None, aggregate: str = "iou_weighted", eps: float = 0.0, min_overlap: float | None = None, keep_invalid: bool = True) -> DataFrame:
+    """(query_id, page, region_id, score). Without a geometry for all pages, each region carries its page's (GRID).
 
     ``iou_weighted``: sum(iou * s) / (sum(iou) + eps), 0 without weight. ``max`` and ``mean``: over the cells the box touches, 0
     without any. ``max_floor``: the greatest over cells of more than ``min_overlap``, not below 0. ``min_overlap`` keeps cells of
     more IoU for the others as well. An unknown aggregation is ``iou_weighted``, with a warning. ``keep_invalid``: regions that meet no cell score 0, else they are left out.
     """
-    met = cells(regions.select("page", "region_id", "x1", "y1", "x2", "y2"), nx, ny, width, height)
+    own = [c for c, v in zip(GRID, (nx, ny, width, height), strict=True) if v is None]
+    met = cells(regions.select("page", "region_id", "x1", "y1", "x2", "y2", *own), nx, ny, width, height).drop(*own)
     met = met.join(scores, ["page", "px", "py"])
     if min_overlap is not None or aggregate == "max_floor":
         met = met.where(F.col("iou") > (min_overlap or 0.0))

@@ -68,7 +68,10 @@ def _matrix(column: pa.Array, dim: int, codes: bool) -> tuple[np.ndarray, np.nda
     """The rows that count, and their vectors as unit rows (or their codes)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    ok = np.flatnonzero(pa.compute.equal(pa.compute.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False))
+    size = pa.compute.list_value_length(column)
+    if codes and pa.compute.any(pa.compute.not_equal(size, dim)).as_py():
+        raise ValueError(f"stored codes and the queries' differ in width: {pa.compute.max(size).as_py()} and {dim} words")
+    ok = np.flatnonzero(pa.compute.equal(size, dim).fill_null(False).to_numpy(zero_copy_only=False))
     flat = column.take(pa.array(ok)).flatten()
     if codes:
         return ok, flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, dim)
@@ -194,6 +197,77 @@ def best(patches: DataFrame, queries: DataFrame, codes: bool = False) -> DataFra
     return _products(places, queries, emit, "query_id long, page long, token long, sim double", codes).groupBy("query_id", "page", "token").agg(F.max("sim").alias("sim"))
 
 
+def _asked(patches: DataFrame, queries: DataFrame, pairs: DataFrame, columns: tuple[str, ...], reduce_page, schema: str) -> DataFrame | None:
+    """``reduce_page``'s rows for each page and the tokens of the queries that ask for it (``pairs``), and for no others; None where tokens are too many to hold."""
+    asked = queries.select(F.col("query_id").cast("long"), F.col("token").cast("long"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    few = asked.limit(MAX_QUERY_TOKENS + 1).toArrow().combine_chunks()
+    if few.num_rows > MAX_QUERY_TOKENS:
+        return None
+    if not few.num_rows:
+        return patches.sparkSession.createDataFrame([], schema)
+    tokens = _tokens(few.to_batches()[0], False)
+    by_page = pairs.groupBy(F.col("page").cast("long").alias("page")).agg(F.collect_set(F.col("query_id").cast("long")).alias("_by"))  # of the held queries
+    met = patches.select(F.col("page").cast("long").alias("page"), *columns, "vec").join(by_page, "page")
+
+    def run(batches):
+        dim = tokens.matrix.shape[1]
+        for batch in batches:
+            rows, m = _matrix(batch.column("vec"), dim, False)
+            if not len(rows):
+                continue
+            page = batch.column("page").to_numpy()[rows]
+            order = np.argsort(page, kind="stable")
+            rows, m, page = rows[order], m[order], page[order]
+            for a, b in zip(*_bounds(page), strict=True):
+                want = np.isin(tokens.query, batch.column("_by")[int(rows[a])].values.to_numpy())
+                step = max(1, PRODUCT_BYTES // (8 * max(1, int(want.sum()))))
+                for at in range(a, b, step):
+                    to = min(at + step, b)
+                    sims = m[at:to] @ tokens.matrix[want].T
+                    yield reduce_page(int(page[a]), batch.take(pa.array(rows[at:to])), sims, tokens.query[want], tokens.token[want])
+
+    return met.mapInArrow(run, schema)
+
+
+def _bounds(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the runs of equal values, and the places after their last."""
+    first = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    return first, np.append(first[1:], len(sorted_values))
+
+
+def maxsim_of(patches: DataFrame, queries: DataFrame, pairs: DataFrame, combine: str = "sum") -> DataFrame:
+    """(query_id, page, score) of the pairs (query_id, page) alone: a page meets the tokens of the queries that ask for it."""
+    if combine not in ("sum", "mean"):
+        raise ValueError(f"unknown combination: {combine}")
+
+    def one(page: int, rest: pa.RecordBatch, sims: np.ndarray, query: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), page)), pa.array(token), pa.array(sims.max(axis=0))], ["query_id", "page", "token", "sim"])
+
+    best_of = _asked(patches, queries, pairs, (), one, "query_id long, page long, token long, sim double")
+    if best_of is None:
+        wanted = patches.join(pairs.select("page").distinct(), "page", "left_semi")
+        return maxsim(wanted, queries, combine).join(pairs, ["query_id", "page"], "left_semi")
+    tops = best_of.groupBy("query_id", "page", "token").agg(F.max("sim").alias("sim"))
+    return tops.groupBy("query_id", "page").agg((F.sum if combine == "sum" else F.avg)("sim").alias("score"))
+
+
+def patch_scores_of(patches: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, page, px, py, score) of the pairs (query_id, page) alone: a patch's best similarity to a query's tokens."""
+
+    def one(page: int, rest: pa.RecordBatch, sims: np.ndarray, query: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        first, _ = _bounds(query)
+        n, score = len(sims), np.maximum.reduceat(sims, first, axis=1)
+        wide = rest.select(["px", "py"]).take(pa.array(np.repeat(np.arange(n), len(first))))
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(query[first], n)), pa.array(np.full(score.size, page)), *wide.columns, pa.array(score.ravel())], ["query_id", "page", "px", "py", "score"])
+
+    kinds = dict(patches.dtypes)
+    found = _asked(patches, queries, pairs, ("px", "py"), one, f"query_id long, page long, px {kinds['px']}, py {kinds['py']}, score double")
+    if found is not None:
+        return found
+    wanted = patches.join(pairs.select("page").distinct(), "page", "left_semi")
+    return patch_scores(wanted, queries).join(pairs, ["query_id", "page"], "left_semi")
+
+
 def maxsim(patches: DataFrame, queries: DataFrame, combine: str = "sum") -> DataFrame:
     """(query_id, page, score): for each query token the best cosine over a page's patches, summed or averaged over tokens."""
     if combine not in ("sum", "mean"):
@@ -245,10 +319,7 @@ def two_stage(patches: DataFrame, rows: DataFrame, columns: DataFrame, queries:
     """Union of the best pages by row- and by column-pooled vectors, then exact scores of those alone."""
     queries = held(queries)
     picks = [top(maxsim(pooled, queries, combine), prefetch).select("query_id", "page") for pooled in (rows, columns)]
-    candidates = picks[0].union(picks[1]).distinct()
-    wanted = patches.join(candidates.select("page").distinct(), "page", "left_semi")
-    exact = maxsim(wanted, queries, combine).join(candidates, ["query_id", "page"], "left_semi")
-    return top(exact, k)
+    return top(maxsim_of(patches, queries, picks[0].union(picks[1]).distinct(), combine), k)
 
 
 def codes(patches: DataFrame, dim: int, levels: bool = False) -> DataFrame:
@@ -256,19 +327,22 @@ def codes(patches: DataFrame, dim: int, levels: bool = False) -> DataFrame:
     return patches.select("page", (V.level_code if levels else V.sign_code)(F.col("vec"), dim).alias("code"))
 
 
-def quantised(patches: DataFrame, queries: DataFrame, dim: int, k: int = 10, oversampling: float = 2.0, rescore: bool = True, combine: str = "sum", coded: DataFrame | None = None, levels: bool = False) -> DataFrame:
+def quantised(patches: DataFrame, queries: DataFrame, dim: int | None = None, k: int = 10, oversampling: float = 2.0, rescore: bool = True, combine: str = "sum", coded: DataFrame | None = None, levels: bool = False) -> DataFrame:
     """Pages by sign codes: for each token the least Hamming distance, the best ceil(k * oversampling) then scored exactly.
 
-    ``levels``: codes of 4 bits a part, and their cosine with the query as it is; they find more. ``coded``: stored codes.
+    ``levels``: codes of 4 bits a part, and their cosine with the query as it is; they find more. ``coded``: stored codes. ``dim``: parts
+    of a vector, the queries' own where it isn't given; stored codes of another width are an error.
     """
+    if dim is None:
+        first = queries.where("vec is not null").select(F.size("vec")).first()
+        dim = first[0] if first else 1
     coded, queries = codes(patches, dim, levels) if coded is None else coded, held(queries)
     asked = queries if levels else queries.select("query_id", "token", V.sign_code(F.col("vec"), dim).alias("vec"))
     near = best(coded.select("page", F.col("code").cast("array<double>" if levels else "array<bigint>").alias("vec")), asked, codes=not levels).groupBy("query_id", "page").agg(F.sum("sim").alias("score"))
     if not rescore:
         return top(near, k)
     candidates = top(near, int(np.ceil(k * max(1.0, oversampling)))).select("query_id", "page")
-    wanted = patches.join(candidates.select("page").distinct(), "page", "left_semi")
-    return top(maxsim(wanted, queries, combine).join(candidates, ["query_id", "page"], "left_semi"), k)
+    return top(maxsim_of(patches, queries, candidates, combine), k)
 
 
 def without_special(tokens: DataFrame, special: tuple[int, ...], column: str = "token_id") -> DataFrame:

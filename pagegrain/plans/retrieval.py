@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import regions as R
 from ..operators import search as S
 
@@ -40,28 +39,34 @@ class Options:
         return cls(**found)
 
 
-def search(patches: DataFrame, queries: DataFrame, options: Options = Options(), rows: DataFrame | None = None, columns: DataFrame | None = None, pages: DataFrame | None = None, conditions: Mapping[str, object] | None = None, dim: int = 64, coded: DataFrame | None = None) -> DataFrame:
-    """(query_id, page, score, rank). ``rows``, ``columns`` and ``coded`` are the pooled vectors and sign codes stored at index time."""
+def search(patches: DataFrame, queries: DataFrame, options: Options = Options(), rows: DataFrame | None = None, columns: DataFrame | None = None, pages: DataFrame | None = None, conditions: Mapping[str, object] | None = None, dim: int | None = None, coded: DataFrame | None = None) -> DataFrame:
+    """(query_id, page, score, rank). ``rows``, ``columns`` and ``coded`` are the pooled vectors and sign codes stored at index time.
+    ``conditions`` on ``pages`` (or on the patches' own columns) come before any scoring, whatever the kind of search."""
+    if conditions:
+        kept = (pages if pages is not None else patches).where(S.payload_filter(conditions)).select("page").distinct()
+        patches, rows, columns, coded = (d if d is None else d.join(kept, "page", "left_semi") for d in (patches, rows, columns, coded))
     if options.pooling:
-        if conditions:
-            kept = (pages if pages is not None else patches).where(S.payload_filter(conditions)).select("page").distinct()
-            patches, rows, columns = (d.join(kept, "page", "left_semi") for d in (patches, rows, columns))
         return S.two_stage(patches, rows, columns, queries, options.k, options.prefetch, options.combine)
     if options.quantised:
         return S.quantised(patches, queries, dim, options.k, options.oversampling, combine=options.combine, coded=coded)
-    return S.search(patches, queries, options.k, pages, conditions, options.combine)
+    return S.search(patches, queries, options.k, combine=options.combine)
 
 
-def search_regions(patches: DataFrame, regions: DataFrame, queries: DataFrame, nx: int, ny: int, width: int, height: int, options: Options = Options(), rows: DataFrame | None = None, columns: DataFrame | None = None, coded: DataFrame | None = None) -> DataFrame:
-    """(query_id, page, page_rank, page_score, region_id, score, rank): the selected regions of each query's pages, as one plan."""
+def search_regions(patches: DataFrame, regions: DataFrame, queries: DataFrame, nx: int | None = None, ny: int | None = None, width: float | None = None, height: float | None = None, options: Options = Options(), rows: DataFrame | None = None, columns: DataFrame | None = None, coded: DataFrame | None = None, pages: DataFrame | None = None, conditions: Mapping[str, object] | None = None, grids: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, page, page_rank, page_score, region_id, score, rank): the selected regions of each query's pages, as one plan.
+
+    The geometry is that of all pages, or ``grids`` (page, nx, ny, width, height), each page's own. ``found``: pages that a search has found.
+    """
     queries = S.held(queries)
-    found = search(patches, queries, options, rows, columns, coded=coded).withColumnsRenamed({"score": "page_score", "rank": "page_rank"})
+    found = search(patches, queries, options, rows, columns, pages, conditions, coded=coded) if found is None else found
+    found = found.select("query_id", "page", F.col("rank").alias("page_rank"), F.col("score").alias("page_score"))
     pairs = found.select("query_id", "page")
-    wanted = pairs.select("page").distinct()
     # a page's patches meet the tokens of the queries that found it, and no others
-    tokens = queries.select(F.col("query_id").cast("long").alias("query_id"), "token", F.col("vec").alias("_q"))
-    met = patches.select(F.col("page").cast("long").alias("page"), "px", "py", "vec").join(pairs, "page").join(tokens, "query_id")
-    scores = met.groupBy("query_id", "page", "px", "py").agg(F.max(V.cosine(F.col("vec"), F.col("_q"))).alias("score"))
-    scored = R.relevance(regions.join(wanted, "page", "left_semi"), scores, nx, ny, width, height, options.aggregate)
+    scores = S.patch_scores_of(patches, queries, pairs)
+    wanted = regions.join(pairs.select("page").distinct(), "page", "left_semi")
+    if grids is not None:
+        wanted = wanted.join(grids.select("page", *R.GRID), "page", "left")
+        nx = ny = width = height = None
+    scored = R.relevance(wanted, scores, nx, ny, width, height, options.aggregate)
     kept = R.select(scored, "none", top_k=options.region_top_k, threshold=options.threshold if options.regions else None)
     return found.join(kept, ["query_id", "page"]).select("query_id", "page", "page_rank", F.col("page_score"), "region_id", "score", "rank")

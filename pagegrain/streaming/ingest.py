@@ -46,32 +46,36 @@ def completions(events: DataFrame, keys: tuple[str, ...], stages: int, watermark
     return counts.where(F.col("n_stages") >= stages)
 
 
-def indexing(stream: DataFrame, engine, checkpoint: str, ocr=None, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[dict], None] = lambda state: None, grace: float = 10.0) -> dict:
+class Cancelled(RuntimeError):
+    """Raised inside a micro-batch that mustn't run, so that its offsets aren't committed and a resumed job gets it again."""
+
+
+def indexing(stream: DataFrame, engine, checkpoint: str, ocr=None, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[dict], None] = lambda state: None, compact_every: int = 0) -> dict:
     """Indexes a stream of pages, a micro-batch at a time, and reports after each; returns the last report.
 
-    ``cancelled`` is asked before every batch: from then on batches are passed over and the query stops, after ``grace`` seconds at most.
-    A batch that runs again upserts the same pages. A failing batch ends the job as failed.
+    ``cancelled`` is asked before every batch: from then on no batch starts, and the job ends as cancelled. Its checkpoint holds what was indexed and no more, so
+    the job goes on where it was when it is started again. A batch that runs again upserts the same pages. A failing batch ends the job as failed.
+    The index is merged after every ``compact_every`` batches, if that isn't 0.
     """
     state = {"status": "running", "pages": 0, "failed": 0, "batches": 0, "error": None}
 
     def write(batch: DataFrame, number: int) -> None:
         if cancelled():
             state["status"] = "cancelled"
-            return
+            raise Cancelled(f"cancelled before batch {number}")
         bad = engine.index(batch, ocr).count()
         state.update(pages=state["pages"] + batch.count(), failed=state["failed"] + bad, batches=state["batches"] + 1)
+        if compact_every and state["batches"] % compact_every == 0:
+            engine.compact()
         progress(dict(state))
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        while not query.awaitTermination(0.5):
-            if state["status"] == "cancelled":
-                query.awaitTermination(grace) or query.stop()
-                break
-        if state["status"] == "running":
-            state["status"] = "completed"
+        query.awaitTermination()
+        state["status"] = "completed"
     except StreamingQueryException as e:
-        state.update(status="failed", error=str(e)[:500])
+        if state["status"] != "cancelled":
+            state.update(status="failed", error=str(e)[:500])
     progress(dict(state))
     return state
 

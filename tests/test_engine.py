@@ -31,7 +31,7 @@ def test_engine(spark, tmp_path):
     failed = e.index(spark.createDataFrame(rows, POINT + ", image binary"), lambda: read_text).collect()
     assert sorted((r.page_id, r.stage) for r in failed) == [(3, "embedding"), (3, "ocr")]
     tables = {n: e.table(n).count() for n in TABLES}
-    assert tables == {"points": 4, "patches": 60, "rows": 12, "columns": 15, "codes": 60, "regions": 6}
+    assert tables == {"points": 4, "patches": 60, "rows": 12, "columns": 15, "codes": 60, "regions": 6, "grids": 4}
     e.index(spark.createDataFrame(rows[:2], POINT + ", image binary"), lambda: read_text)
     assert {n: e.table(n).count() for n in TABLES} == tables  # the same pages again
     short = [(2, "d", "f.pdf", 2, 3, "http://h/2.png", bytearray(image(2)[: 64 * 5]))]
@@ -68,6 +68,11 @@ def test_streaming_index_with_progress_and_cancellation(spark, tmp_path):
     assert e.table("points").count() == 6 and e.table("patches").count() == 20
     again = I.indexing(I.landing(spark, str(tmp_path / "in"), schema, 1), e, str(tmp_path / "ck2"), cancelled=lambda: True)
     assert again["status"] == "cancelled" and again["pages"] == 0
+    f, calls = Engine(spark, str(tmp_path / "u")), []
+    part = I.indexing(I.landing(spark, str(tmp_path / "in"), schema, 1), f, str(tmp_path / "ck3"), cancelled=lambda: calls.append(1) or len(calls) > 1)
+    assert part["status"] == "cancelled" and part["pages"] == 2 and f.table("points").count() == 2
+    rest = I.indexing(I.landing(spark, str(tmp_path / "in"), schema, 1), f, str(tmp_path / "ck3"), compact_every=2)
+    assert rest["status"] == "completed" and rest["pages"] == 4 and f.table("points").count() == 6  # no page is lost
 
 
 def test_progress_listener_and_incremental_report(spark, tmp_path):
