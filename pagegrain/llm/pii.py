@@ -157,10 +157,10 @@ def _small(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size * (48 + LONGEST) <= MAX_BROADCAST else df
 
 
-def contexts(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(context, total): how often each wanted pair of words stands before any word."""
+def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(context, total): how often each wanted pair of words stands before any word. Pairs are counted before they meet the wanted ones."""
     pairs = let(shingles(words(F.col("text")), 2), lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
-    return texts.select(F.explode(pairs).alias("context")).join(_small(wanted, n), "context").groupBy("context").agg(F.count("*").alias("total"))
+    return texts.select(F.explode(pairs).alias("context")).groupBy("context").agg(F.count("*").alias("total")).join(wanted, "context", "left_semi")
 
 
 def patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -193,9 +193,7 @@ def find(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     seen = held.select("row", F.inline("units"))
     counted = cut(seen.where("context is not null").groupBy("context", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
     wanted = cut(counted.groupBy("context").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT).select("context"))
-    n = wanted.count()
-    totals = contexts(texts, wanted, n) if n else wanted.withColumn("total", F.lit(0).cast("long"))
-    edges = cut(counted.join(totals, "context"))
+    edges = cut(counted.join(contexts(texts, wanted), "context"))
     seeds = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     new = discover(edges.drop("kind"), seeds)
     added = seen.where("kind is null").join(_small(new.withColumnRenamed("kind", "k"), new.count()), "instance")
