@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,22 +135,73 @@ def extremes(groups: DataFrame, by: str, key: str, n: int = 5) -> DataFrame:
     return low.unionByName(groups.orderBy(F.desc(by), key).limit(n).withColumn("end", F.lit("most")))
 
 
+#: Ranks that an approximate quantile may be off by, as a share of a group, and how far a bracket reaches from its share.
+ACCURACY, REACH = 10_000, 4e-4
+
+
+def group_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(keys, q0, q1, ..): exact quantiles of each group, linear between ranks, for groups of any size; nulls don't count, a null key is a key.
+
+    One pass makes a sketch of each group, of bounded size and merged before the shuffle, whose quantiles bracket each rank. A second counts what lies below each
+    bracket and what values lie inside, some thousandth of the group; ranks are then found by a running sum over a sort that spills. A group whose
+    bracket missed (which the counts tell) is bracketed by its least and greatest value instead.
+    """
+    spread = [min(1.0, max(0.0, s + d)) for s in shares for d in (-REACH, REACH)]
+    values = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    sketch = F.percentile_approx("_v", F.array(*map(F.lit, spread)), F.lit(ACCURACY)).alias("_a")
+    stats = values.groupBy(*keys).agg(F.count("*").alias("_n"), sketch, F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    named = stats.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", "_a", "_min", "_max")
+
+    def inside(wide: bool, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(values by bracket with their numbers, how many lie below each bracket)."""
+        low = [F.col("_min") if wide else F.get("_a", F.lit(2 * i)) for i in range(len(shares))]
+        high = [F.col("_max") if wide else F.get("_a", F.lit(2 * i + 1)) for i in range(len(shares))]
+        met = values.join(groups, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        marks = F.array(*(F.when(F.col("_v") < a, F.lit(-1)).when(F.col("_v") <= b, F.lit(0)).otherwise(F.lit(1)) for a, b in zip(low, high, strict=True)))
+        counted = met.withColumn("_m", marks).groupBy(*keys).agg(F.max("_n").alias("_n"), *(F.count_if(F.get("_m", F.lit(i)) == -1).alias(f"_b{i}") for i in range(len(shares))), *(F.count_if(F.get("_m", F.lit(i)) == 0).alias(f"_i{i}") for i in range(len(shares))))
+        held = met.withColumn("_m", marks).select(*keys, "_v", F.explode(F.filter(F.transform("_m", lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())).alias("_q"))
+        return held.groupBy(*keys, "_q", "_v").agg(F.count("*").alias("_c")), counted
+
+    at = lambda i: F.col("_n").cast("double") * F.lit(float(shares[i])) - F.lit(float(shares[i]))  # noqa: E731  (n - 1) * share
+    low_rank, high_rank = (lambda i: F.floor(at(i) + 1e-9)), (lambda i: F.ceil(at(i) - 1e-9))
+
+    def ranked(held: DataFrame, counted: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = held.withColumn("_to", F.sum("_c").over(w))
+        pick = lambda *columns: F.element_at(F.array(*columns), F.col("_q") + 1)
+        many = range(len(shares))
+        info = counted.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", F.array(*(F.col(f"_b{i}") for i in many)).alias("_b"))
+        sums = sums.join(info, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        to = F.col("_to") + F.get("_b", F.col("_q"))
+        first = to - F.col("_c")
+        has = lambda rank: (rank >= first) & (rank < to)
+        got = sums.select(*keys, "_q", "_n", F.when(has(pick(*map(low_rank, many))), F.col("_v")).alias("_x"), F.when(has(pick(*map(high_rank, many))), F.col("_v")).alias("_y"))
+        got = got.where("_x is not null or _y is not null").groupBy(*keys, "_q").agg(F.max("_x").alias("_x"), F.max("_y").alias("_y"), F.max("_n").alias("_n"))
+        share = F.greatest(F.lit(0.0), pick(*map(at, many)) - pick(*map(low_rank, many)))
+        got = got.withColumn("_r", F.col("_x") + (F.col("_y") - F.col("_x")) * share)
+        return got.groupBy(*keys).agg(*(F.max(F.when(F.col("_q") == i, F.col("_r"))).alias(f"q{i}") for i in many))
+
+    held, counted = inside(False, named)
+    sound = reduce(lambda a, b: a & b, ((F.col(f"_b{i}") <= low_rank(i)) & (F.col(f"_b{i}") + F.col(f"_i{i}") > high_rank(i)) for i in range(len(shares))))
+    missed = counted.where(~sound).select(*(F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)))
+    again = named.join(missed, [F.col(f"_k{i}").eqNullSafe(F.col(f"_w{i}")) for i in range(len(keys))], "left_semi")
+    good = held.join(missed, [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)], "left_anti")
+    return ranked(good, counted).unionByName(ranked(*inside(True, again)))
+
+
 def heat_bounds(rows: DataFrame, group: str, value: str, strategy: str = "percentile") -> DataFrame:
-    """(group, low, high) for a colour scale; an unknown strategy counts as percentile (2 and 98)."""
+    """(group, low, high) for a colour scale; an unknown strategy counts as percentile (2 and 98). Groups may be of any size."""
+    if strategy == "mad":
+        mid = group_quantiles(rows, (group,), value, (0.5,)).select(F.col(group).alias("_g"), F.col("q0").alias("_m"))
+        off = rows.join(mid, F.col(group).eqNullSafe(F.col("_g"))).select(group, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+        out = group_quantiles(off, (group,), "_d", (0.5,)).join(mid, F.col(group).eqNullSafe(F.col("_g")))
+        return out.select(group, (F.col("_m") - 3 * 1.4826 * F.col("q0")).alias("low"), (F.col("_m") + 3 * 1.4826 * F.col("q0")).alias("high"))
     if strategy == "minmax":
-        pair = F.min(value), F.max(value)
-    elif strategy == "robust":
-        pair = F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))
-    elif strategy == "zscore":
-        pair = F.avg(value) - 3 * F.stddev_pop(value), F.avg(value) + 3 * F.stddev_pop(value)
-    elif strategy == "mad":
-        mid = rows.groupBy(group).agg(F.median(value).alias("_m"))
-        off = rows.join(mid, group).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-        out = off.groupBy(group).agg(F.first("_m").alias("_m"), F.median("_d").alias("_mad"))
-        return out.select(group, (F.col("_m") - 3 * 1.4826 * F.col("_mad")).alias("low"), (F.col("_m") + 3 * 1.4826 * F.col("_mad")).alias("high"))
-    else:
-        pair = F.percentile(value, F.lit(0.02)), F.percentile(value, F.lit(0.98))
-    return rows.groupBy(group).agg(pair[0].alias("low"), pair[1].alias("high"))
+        return rows.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    if strategy == "zscore":
+        return rows.groupBy(group).agg((F.avg(value) - 3 * F.stddev_pop(value)).alias("low"), (F.avg(value) + 3 * F.stddev_pop(value)).alias("high"))
+    shares = (0.25, 0.75) if strategy == "robust" else (0.02, 0.98)
+    return group_quantiles(rows, (group,), value, shares).select(group, F.col("q0").alias("low"), F.col("q1").alias("high"))
 
 
 def normalise(rows: DataFrame, value: str, *group: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bpe
+from ..operators import ivf
 from ..operators import regions as R
 from ..operators import search as S
 from ..sources import tables as D
@@ -112,3 +116,55 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pa
 def engine_search(spark, d):
     found = indexed(spark, d).search_tokens(D.queries(spark, d), Q.Options(k=6), {"filename": "f1"})
     return found.select("query_id", "page", F.round("score", 6).alias("score"), "rank", "label", "image_url")
+
+
+#: A fixed model: so many vectors are centres; cells that a token probes.
+CENTRES, PROBES = 16, 3
+
+
+def centres(spark, d) -> np.ndarray:
+    rows = D.read(spark, d, "embeddings").where(F.col("vec_id") < CENTRES).orderBy("vec_id").select("embedding").collect()
+    return ivf._unit(np.array([r["embedding"] for r in rows], np.float64))
+
+
+@query("ivf_search", f"""WITH {PATCHES}, {QUERY}, centre AS (SELECT vec_id AS cell, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < {CENTRES}),
+cells AS (SELECT vec_id // 20 AS page, cell FROM embeddings, centre QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 12) DESC, cell) = 1),
+probed AS (SELECT query_id, cell FROM query, centre QUALIFY row_number() OVER (PARTITION BY query_id, token ORDER BY round(list_cosine_similarity(q, c), 12) DESC, cell) <= {PROBES}),
+near AS (SELECT DISTINCT query_id, page FROM probed JOIN cells USING (cell)), {SIMS}, {BEST}, {SCORED} {_RANKED}""")
+def ivf_search(spark, d):
+    model, patches = centres(spark, d), D.patches(spark, d)
+    path = f"{D.shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    ivf.write(patches.select("page", "vec"), model, path)
+    return ivf.search(ivf.open_cells(spark, path), patches, D.queries(spark, d), model, PROBES, 5).withColumns(_r("score"))
+
+
+#: A fixed vocabulary: all bytes, and these merges in order. No merge begins with a letter that an apostrophe can take with it.
+MERGES = ("i n", "o n", "in g", "e n", "on e", "a n", "an d", "o u", "en t", "a t", "at i", "ati on", "in e", "c h", "ou r", "a u", "u n", "un d", "n d", "e e")
+
+
+def _vocabulary(spark) -> str:
+    """The fixed vocabulary as a file in the shared folder, a line a token."""
+    table = [bytes([b]) for b in range(256)] + [m.replace(" ", "").encode() for m in MERGES]
+    rows = spark.createDataFrame([(base64.b64encode(t).decode() + f" {k}",) for k, t in enumerate(table)], "value string").coalesce(1)
+    path = f"{D.shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+def _token(t: str) -> str:
+    return f"chr(1) || '{t}' || chr(2)"
+
+
+def _merged(wrapped: str) -> str:
+    for a, b in (m.split() for m in MERGES):
+        wrapped = f"replace({wrapped}, {_token(a)} || {_token(b)}, {_token(a + b)})"
+    return wrapped
+
+
+_BROKEN = r"regexp_replace(coalesce(text, ''), '''(s|t|re|ve|m|ll|d)', chr(3) || '''\1' || chr(3), 'g')"
+
+
+@query("bpe_token_counts", rf"""WITH w AS (SELECT doc_id, text, regexp_replace({_BROKEN}, '(?s)(.)', chr(1) || '\1' || chr(2), 'g') AS s FROM documents), m AS (SELECT doc_id, text, s, {_merged('s')} AS t FROM w)
+SELECT doc_id, (length(t) - length(replace(t, chr(1), '')) - (length(s) - length(replace(s, chr(3), ''))) + coalesce(strlen(text) - length(text), 0))::BIGINT AS n_tokens FROM m""")
+def bpe_token_counts(spark, d):
+    return bpe.tokens(D.read(spark, d, "documents").select("doc_id", "text"), "text", _vocabulary(spark)).select("doc_id", "n_tokens")
