@@ -40,6 +40,9 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes templa
 _HIDDEN = frozenset("head select option datalist map legend".split())
 #: Hidden elements that stand within a line: their text goes, and the block around them stays whole.
 _MUTE = frozenset("label button svg canvas object audio video".split())
+#: End tags of those elements, in any case of letters; ASCII alone, so that no other letter passes for one of a name.
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
+_MUTE_END = re.compile(f"</({'|'.join(sorted(_MUTE))})(?![^\\s/>])", re.I | re.A)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FAMILIES = (
     ("p",),
@@ -105,7 +108,7 @@ def parse(source: str, kinds=_kinds) -> Node:
     """The tree of block nodes; text that stands beside child blocks becomes a child ``#text`` of its own."""
     root = Node("html", 0)
     stack, at, end, text, links, linked, hidden = [root], 0, len(source), [], 0, 0, 0
-    low, last = None, source.rfind(">")
+    last, ends = source.rfind(">"), None
     muted: list[tuple[str, int]] = []  # open _MUTE elements with the number of blocks around them
 
     def close_run() -> None:
@@ -160,10 +163,8 @@ def parse(source: str, kinds=_kinds) -> Node:
                     pop()
             continue
         if tag in _RAW:
-            low = source.lower() if low is None and len(source.lower()) == len(source) else low
-            body = low if low is not None else source
-            k = body.find("</" + tag, at)
-            at = end if k < 0 else k
+            close = _RAW_END[tag].search(source, at, end)
+            at = close.start() if close else end
             text.append(" ")
             continue
         if tag == "br":
@@ -173,7 +174,9 @@ def parse(source: str, kinds=_kinds) -> Node:
         elif tag == "html":
             pass
         elif tag in _MUTE:
-            if not m[3].endswith("/") and source.find("</" + m[2], at) >= 0:  # one that nothing ends hides nothing
+            if ends is None:  # the last end tag of each name, sought once
+                ends = {e[1].lower(): e.start() for e in _MUTE_END.finditer(source)}
+            if not m[3].endswith("/") and ends.get(tag, -1) >= at:  # one that nothing ends hides nothing
                 muted.append((tag, len(stack)))
         elif tag in _BLOCK or tag == "hr":
             close_run()

@@ -67,3 +67,28 @@ def test_article_elements_of_the_table(spark, sf):
         nodes, _ = html.flatten(html.parse(m[1] if m else ""))
         same += t == "\n".join(n.runs[0] for n in nodes if n.runs)
     assert same >= 0.98 * len(pages)
+
+
+def test_end_tags_in_any_case():
+    body = "The first paragraph of an article has some words, and more of them follow here."
+    page = f"<html><body><article><h1>A headline of some words</h1><p>{body}</p><SCRIPT>if (a</b) x()</SCRIPT><p>{body}</p><Style>p {{}}</sTYLE><p>{body}</p></article></body></html>"
+    assert text_of(page) == "\n".join(["A headline of some words", body, body, body])
+    wide = page.replace("headline", "İheadline")  # a letter whose lower case is longer
+    assert text_of(wide) == text_of(page).replace("headline", "İheadline")
+    mixed = f"<article><p>{body} <BUTTON>Click me now</button> {body}</p><p>{body} <Svg>x</sVG>{body}</p></article>"
+    assert text_of(mixed) == f"{body} {body}\n{body} {body}"
+    assert text_of(f"<article><p>{body}</p><p>{body} <scrıpt>y</p></article>").startswith(body)  # not a script
+
+
+def test_many_open_elements_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<article><p>" + "<svg>a " * n + "</p></article>"
+        start = time.perf_counter()
+        html.parse(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(5_000), 0.005)
+    assert len(html.parse("<p>" + "<svg>a " * 20_000 + "</svg></p>").children) == 1
