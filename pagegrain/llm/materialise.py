@@ -25,12 +25,12 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.objects import filesystem
 from .session import bounded, cut, tidy
 from .textkernel import mix
 from .tokens import coder, default_path, with_end
@@ -126,7 +126,7 @@ def _write(path: str, id_type: pa.DataType):
     names = ["id", "start", "length", "sequence", "slot", "shard", "at", "record_crc32"]
 
     def run(batches):
-        files, root = fs.FileSystem.from_uri(path)
+        files, root = filesystem(path)
         name, out = f"{root}/.{uuid.uuid4().hex}", None
         try:
             for batch in batches:
@@ -174,7 +174,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
         total += -(-r["ids"] // length)
     per_shard = max(1, shard_bytes // (2 * length))
     shards = -(-total // per_shard)
-    files, root = fs.FileSystem.from_uri(path)
+    files, root = filesystem(path)
     files.create_dir(root, recursive=True)
     with files.open_output_stream(f"{root.rstrip('/')}/manifest.json") as f:
         f.write(json.dumps({"total": total, "length": length, "stride": 2 * length, "per_shard": per_shard, "shards": shards, "key": key, "dtype": "<u2"}).encode())
@@ -189,7 +189,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
 
 def read(path: str, first: int = 0, count: int | None = None):
     """The sequences from slot ``first`` on, in training order, as arrays; each shard is read forward once."""
-    files, root = fs.FileSystem.from_uri(path)
+    files, root = filesystem(path)
     with files.open_input_stream(f"{root.rstrip('/')}/manifest.json") as f:
         m = json.loads(f.read())
     last = m["total"] if count is None else min(m["total"], first + count)
