@@ -188,7 +188,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
     salts = min(MAX_SALTS, max(16, partitions(spark)))
     rows = bounded(docs).select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(salts)))
+    # copies of a row are parted by the input's partition; the salt is written with the ids, so it's drawn once
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(salts)))
     held = cut(rows.mapInArrow(tidy(_tokenised(path, end)), f"id {kind}, ids binary, n long, salt long"))
     held = held.withColumns({"rest": F.col("n") % window, "full": F.floor(F.col("n") / window)})
     counts = held.groupBy("rest", "salt").agg(F.count("*").alias("docs"), F.sum("full").alias("full")).collect()  # window * salts rows at most
