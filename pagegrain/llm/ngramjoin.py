@@ -315,8 +315,11 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.binary()), pa.array(blobs, pa.binary())], ["key", "shard", "block", "n", "point", "shingles"])
 
 
-def _by(small: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(small) if n <= MAX_BROADCAST else small
+def _by(small: DataFrame) -> DataFrame:
+    """``small``, marked for broadcast where its bytes, ids of any type among them, are few."""
+    long = [F.sum(F.octet_length(F.col(c).cast("string"))) for c, t in small.dtypes if t not in ("int", "bigint", "boolean", "double")]
+    n, *sizes = small.agg(F.count("*"), *long).first()
+    return F.broadcast(small) if n * 8 * len(small.columns) + sum(x or 0 for x in sizes) <= MAX_BROADCAST * 16 else small
 
 
 def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -351,14 +354,15 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
         lead = lead.join(lead.toDF("shard", "next"), "shard").select("key", F.col("next").alias("shard"))
     shard = lead
     live = enough.join(shard, "key")
-    weight = live.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("key").alias("pivot"))
+    # a block is bounded by shingles and by texts, so a large group of short texts is many blocks as well
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS))
+    weight = live.groupBy("shard").agg(blocks.alias("blocks"), F.min("key").alias("pivot"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x.cast("long"))
     block = F.when(F.col("key") == F.col("pivot"), every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
     live = cut(live.join(weight, "shard").select("key", "n", "shard", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), (F.col("rep.copies") > 1).alias("copied"), F.explode(block).alias("block")))
-    n_live = live.count()
-    if not n_live:
+    if live.isEmpty():
         return rows, spark.createDataFrame([], "a long, b long")
-    found = texts.join(_by(live, n_live), texts["id"].eqNullSafe(live["id"]) & (texts["th"] == live["th"])).select("text", "key", "shard", "block", "n", "copied")
+    found = texts.join(_by(live), texts["id"].eqNullSafe(live["id"]) & (texts["th"] == live["th"])).select("text", "key", "shard", "block", "n", "copied")
     if not live.where("copied").isEmpty():  # rows equal in id and text can't be told apart before they meet
         found = found.where("NOT copied").union(found.where("copied").dropDuplicates(["key", "shard", "block"]))
     found = found.drop("copied")
@@ -376,7 +380,7 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     for _ in range(2):  # shingles across components and blocks, then classes with enough of them
         across = at.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("unit").alias("u0"), F.max("unit").alias("u1")).where("r0 <> r1 and u0 <> u1")
         across = cut(across.select("h"))  # read on its own, so that a join on a frequent shingle can be split
-        at = at.join(_by(across, across.count()), "h")
+        at = at.join(_by(across), "h")
         full = at.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.greatest(F.lit(1), least)).select("key")
         at = cut(at.join(full, "key"))
     # a shingle's largest component needs no pairs of its own: its texts are sides 0 .. big - 1, which meet the other sides alone
@@ -384,9 +388,9 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
     split = mine.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     parts = lambda c: F.ceil(c / BLOCK_TEXTS).cast("long")
     split = cut(split.select("h", "main", parts(F.col("most")).alias("big"), parts(F.col("all") - F.col("most")).alias("rest")))
-    if not (n_split := split.count()):
+    if split.isEmpty():
         return rows, links
-    wide = at.join(_by(split, n_split), "h").withColumn("of_main", F.col("root") == F.col("main"))
+    wide = at.join(_by(split), "h").withColumn("of_main", F.col("root") == F.col("main"))
     wide = wide.withColumn("side", F.when(F.col("of_main"), F.pmod(F.xxhash64("key"), F.col("big"))).otherwise(F.col("big") + F.pmod(F.xxhash64("key"), F.col("rest"))))
     others = F.sequence(F.when(F.col("of_main"), F.col("big")).otherwise(F.lit(0).cast("long")), F.col("big") + F.col("rest") - 1)
     wide = wide.withColumn("other", F.explode(others)).join(unit.select("key", "point"), "key")
@@ -403,7 +407,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: id, th (its text's hash), n and root, the key of its component; root is null without shingles."""
     rows, links = classes_and_links(docs, id_col)
     roots = components(links).withColumnRenamed("node", "key")
-    named = rows.where("n > 0").join(_by(roots, roots.count()), "key", "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
+    named = rows.where("n > 0").join(_by(roots), "key", "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
     return named.union(rows.where("n = 0").select("id", "th", "n", F.lit(None).cast("long")))
 
 
@@ -414,8 +418,8 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = cut(classes)
     least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = cut(classes.join(_by(least, least.count()), "root").select("key", "component_id"))
-    full = rows.where("n > 0").join(_by(classes, classes.count()), "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    classes = cut(classes.join(_by(least), "root").select("key", "component_id"))
+    full = rows.where("n > 0").join(_by(classes), "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("id", "n", "id"))
 
 
@@ -432,9 +436,9 @@ def thin(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     twice = cut(rows.where("root is not null").groupBy("id", "th").count().where("count > 1").select("id", "th").toDF("_id", "_th"))
     th = F.xxhash64("text")
     match = docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th"))
-    kept = docs.join(_by(goes, goes.count()), match, "left_anti")
+    kept = docs.join(_by(goes), match, "left_anti")
     if twice.isEmpty():
         return kept
-    small = _by(twice, twice.count())
+    small = _by(twice)
     again = kept.join(small, match, "left_semi").withColumn("_h", th).dropDuplicates([id_col, "_h"]).drop("_h")
     return kept.join(small, match, "left_anti").unionByName(again)
