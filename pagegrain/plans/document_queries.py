@@ -95,11 +95,10 @@ def attached_ocr(spark, d):
 # grids
 
 
-@query("grid_with_global_tokens", "SELECT vec_id // 20 AS page, (vec_id % 20)::INT AS idx, CASE WHEN vec_id % 20 < 16 THEN (vec_id % 20 % 4)::INT END AS px, CASE WHEN vec_id % 20 < 16 THEN (vec_id % 20 // 4)::INT END AS py FROM embeddings WHERE vec_id // 20 < (SELECT count(*) // 20 FROM embeddings)")
+@query("grid_with_global_tokens", "SELECT page, idx::INT AS idx, CASE WHEN idx < least(16, n - 4) THEN (idx % 4)::INT END AS px, CASE WHEN idx < least(16, n - 4) THEN (idx // 4)::INT END AS py FROM (SELECT vec_id // 20 AS page, vec_id % 20 AS idx, count(*) OVER (PARTITION BY vec_id // 20) AS n FROM embeddings)")
 def grid_with_global_tokens(spark, d):
-    full = D.read(spark, d, "embeddings").agg(F.expr("count(*) div 20").alias("_full"))  # a last page may be short
-    rows = D.patches(spark, d).select("page", "idx", "vec").crossJoin(F.broadcast(full)).where("page < _full").drop("_full")
-    return P.grid_places(rows, 4, 4, global_tokens=4).select("page", "idx", "px", "py")
+    rows = D.patches(spark, d).select("page", "idx", "vec")
+    return P.grid_places(rows, 4, 4, global_tokens=4, check=False).select("page", "idx", "px", "py")  # a last page may be short
 
 
 @query("reshaped_scores", "SELECT doc_id, (i % 3)::INT AS px, (i // 3)::INT AS py, CASE WHEN i < doc_id % 8 THEN (i + 1) * 0.5 ELSE 0 END::DOUBLE AS score FROM documents, (SELECT unnest(range(0, 6)) AS i)")
@@ -392,7 +391,7 @@ def prompts(spark, d):
 
 
 def _with_regions(spark, d) -> DataFrame:
-    """Groups of ten documents as results of a query, the first three with regions."""
+    """Groups of ten documents as results of a query, with regions."""
     region = lambda label, content, url: F.struct(label.alias("label"), content.alias("content"), url.alias("image_url"))
     none = F.lit(None).cast("string")
     regions = F.array(
@@ -401,21 +400,20 @@ def _with_regions(spark, d) -> DataFrame:
         region(F.lit("image"), F.concat(F.lit("https://c/"), "source"), F.lit("")),
         region(_pick(_id(), "chart", "title"), F.lit("ftp://x"), none),
     )
-    rows = _docs(spark, d).select(F.expr("doc_id div 10").alias("query_id"), (_id() % 10 + 1).cast("int").alias("rank"), F.when(_id() % 3 > 0, F.col("source")).alias("label"), F.when(_id() % 4 > 0, F.format_string("http://h/%d", "doc_id")).alias("image_url"), F.when(_id() % 5 > 0, regions).alias("regions"), "doc_id")
-    return rows.where("rank <= 3")
+    return _docs(spark, d).select(F.expr("doc_id div 10").alias("query_id"), (_id() % 10 + 1).cast("int").alias("rank"), F.when(_id() % 3 > 0, F.col("source")).alias("label"), F.when(_id() % 4 > 0, F.format_string("http://h/%d", "doc_id")).alias("image_url"), F.when(_id() % 5 > 0, regions).alias("regions"), "doc_id")
 
 
-@query("region_images", "SELECT doc_id // 10 AS query_id, (doc_id % 10 + 1)::INT AS rank, ord, CASE ord WHEN 0 THEN concat('http://h/', doc_id) ELSE concat('https://c/', source) END AS url FROM documents, (SELECT unnest([0, 2])::INT AS ord) WHERE doc_id % 10 < 3 AND doc_id % 5 > 0")
+@query("region_images", "SELECT doc_id // 10 AS query_id, (doc_id % 10 + 1)::INT AS rank, ord, CASE ord WHEN 0 THEN concat('http://h/', doc_id) ELSE concat('https://c/', source) END AS url FROM documents, (SELECT unnest([0, 2])::INT AS ord) WHERE doc_id % 5 > 0")
 def region_images(spark, d):
     return X.region_images(_with_regions(spark, d))
 
 
-@query("context_modes", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'page_images' WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN 'ocr_text_and_images' ELSE 'ocr_text' END AS mode FROM documents WHERE doc_id % 10 < 3")
+@query("context_modes", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'page_images' WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN 'ocr_text_and_images' ELSE 'ocr_text' END AS mode FROM documents")
 def context_modes(spark, d):
     return _with_regions(spark, d).select("doc_id", X.mode(_id() % 2 == 0, _id() % 3 > 0, F.col("regions")).alias("mode"))
 
 
-@query("answer_stream", """WITH r AS (SELECT doc_id // 10 AS query_id, doc_id % 10 + 1 AS rank, CASE WHEN doc_id % 3 > 0 THEN source END AS label, CASE WHEN doc_id % 4 > 0 THEN concat('http://h/', doc_id) END AS url FROM documents WHERE doc_id % 10 < 3),
+@query("answer_stream", """WITH r AS (SELECT doc_id // 10 AS query_id, doc_id % 10 + 1 AS rank, CASE WHEN doc_id % 3 > 0 THEN source END AS label, CASE WHEN doc_id % 4 > 0 THEN concat('http://h/', doc_id) END AS url FROM documents),
 f AS (SELECT query_id, string_agg(concat('{', concat_ws(',', '"label":"' || label || '"', '"image_url":"' || url || '"'), '}'), ',' ORDER BY rank) AS items, string_agg(concat(rank, '. [', coalesce(label, 'Unknown'), '](', coalesce(url, '#'), ')'), '\\n' ORDER BY rank) AS cited FROM r GROUP BY 1),
 s AS (SELECT conv_id AS query_id, string_agg(concat('data: {"event":"response.output_text.delta","data":{"delta":"', role, turn, '"}}', chr(10), chr(10)), '' ORDER BY turn) AS said FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY 1)
 SELECT query_id, concat(': stream-start', chr(10), chr(10), CASE WHEN items IS NOT NULL THEN concat('data: {"event":"kb.images","data":{"items":[', items, ']}}', chr(10), chr(10)) ELSE '' END, coalesce(said, ''), CASE WHEN cited IS NOT NULL THEN concat('data: {"event":"response.output_text.delta","data":{"delta":"\\n\\n---\\n\\n**Sources:**\\n\\n', cited, '"}}', chr(10), chr(10)) ELSE '' END) AS stream FROM f FULL JOIN s USING (query_id)""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import uuid
 
 import numpy as np
@@ -14,6 +13,7 @@ from ..functions import bpe
 from ..operators import ivf
 from ..operators import regions as R
 from ..operators import search as S
+from ..sources import models
 from ..sources import tables as D
 from . import retrieval as Q
 from .engine import Engine
@@ -84,13 +84,6 @@ def filtered_regions(spark, d):
     return got.drop("rank").withColumns(_r("page_score", "score"))
 
 
-class Written:
-    """An embedder of texts that are the vectors themselves, as JSON."""
-
-    def __call__(self, items: list) -> list:
-        return [json.loads(x) for x in items]
-
-
 def _pages(spark, d, turned: bool) -> DataFrame:
     """Pages as an engine indexes them, their image the vectors as JSON; ``turned``: the vectors' opposites, to be replaced."""
     vec = F.col("vec").cast("array<double>")
@@ -103,7 +96,7 @@ def _pages(spark, d, turned: bool) -> DataFrame:
 
 def indexed(spark, d) -> Engine:
     """An engine in the shared folder whose index got all pages turned, was merged, got half of them right, and then the rest."""
-    engine = Engine(spark, f"{D.shared_folder(spark)}/index-{uuid.uuid4().hex}", Written, D.NX, D.NY, D.WIDTH, D.HEIGHT)
+    engine = Engine(spark, f"{D.shared_folder(spark)}/index-{uuid.uuid4().hex}", models.Written, D.NX, D.NY, D.WIDTH, D.HEIGHT)
     engine.index(_pages(spark, d, True))
     engine.compact()
     for half in (0, 1):

@@ -6,6 +6,7 @@ made once a task by a factory, so a real model loads once. Failures become a row
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,20 @@ class HashEmbedder:
         return [[self._one(p) for p in ([w.encode() for w in x.split()] if isinstance(x, str) else [x[i : i + 64] for i in range(0, len(x), 64)])] for x in items]
 
 
+class Written:
+    """An embedder of texts that are the vectors themselves, as JSON."""
+
+    def __call__(self, items: list) -> list:
+        return [json.loads(x) for x in items]
+
+
+class WrittenText:
+    """An OCR engine of such texts: a title with the number of vectors, a text, and a figure."""
+
+    def __call__(self, image: str, task: str) -> str:
+        return f"<|ref|>title<|/ref|><|det|>[[0, 0, 999, 99]]<|/det|>\nPage of {len(json.loads(image))}\n<|ref|>text<|/ref|><|det|>[[0, 100, 999, 999]]<|/det|>\n{task} text\n<|ref|>image<|/ref|><|det|>[[0, 0, 99, 99]]<|/det|>"
+
+
 def _each(model: Callable, items: list) -> list[tuple]:
     """(result, error) of each item: the model gets them all at once, and one by one only where that fails."""
     try:
