@@ -38,6 +38,15 @@ def parse_files_url(url: Column) -> Column:
     return F.struct(F.when(ok, bucket).alias("bucket"), F.when(ok, path).alias("path"))
 
 
+def files_url_problem(url: Column) -> Column:
+    """Why ``parse_files_url`` has no bucket or path for a url, null where it has both. A null url is one without the mark."""
+    plain = F.coalesce(F.trim(url), F.lit(""))
+    rest = F.regexp_replace(F.regexp_extract(plain, r"(?s)^.*?/files/(.*)$", 1), r"(?s)/files/.*$", "")
+    inner = F.regexp_replace(rest, "^/+", "")
+    out = F.when(~F.contains(plain, F.lit("/files/")), "no /files/ in it").when(rest == "", "nothing after /files/").when(~F.contains(inner, F.lit("/")), "no path")
+    return out.when(F.trim(F.substring_index(inner, "/", 1)) == "", "no bucket").when(F.regexp_replace(F.regexp_extract(inner, r"(?s)^[^/]*/(.*)$", 1), "^/+", "") == "", "no path")
+
+
 def object_name(url: Column, bucket: str) -> Column:
     """What follows the bucket in a URL's path, a leading ``files`` left out; null where it isn't there."""
     parts = F.split(F.regexp_replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"^/+|/+$", ""), "/")

@@ -77,6 +77,12 @@ def region_images(results: DataFrame, key: str = "query_id") -> DataFrame:
     return rows.where(F.lower("r.label").isin(*CONTEXT_IMAGE_LABELS)).select(key, "rank", "ord", url.alias("url")).where(F.col("url").rlike("^https?://"))
 
 
+def image_counts(results: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, n): how many image urls a query's regions have, 0 where none."""
+    n = region_images(results, key).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"))
+    return results.select(key).distinct().join(n, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def mode(ocr: Column, images: Column, regions: Column) -> Column:
     """What a chat turn shows: ocr_text, ocr_text_and_images, or page_images."""
     return F.when(~ocr, "page_images").when(images & F.exists(F.coalesce(regions, F.array()), lambda r: F.lower(r["label"]).isin(*CONTEXT_IMAGE_LABELS)), "ocr_text_and_images").otherwise("ocr_text")

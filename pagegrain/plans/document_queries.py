@@ -173,7 +173,7 @@ def _sample_lines(spark, d) -> str:
     images = F.when(i % 5 == 0, F.lit('"images":[]')).when(i % 5 == 1, F.concat(F.lit('"image_paths":["'), i, F.lit('.png","x"]'))).otherwise(F.concat(F.lit('"images":["'), i, F.lit('.png"]')))
     line = F.concat(F.lit("{"), question, F.lit(","), images, F.lit(',"bbox":'), box, F.lit(',"category":"c'), (i % 4).cast("string"), F.lit('"}'))
     path = _file(spark, "samples")
-    D.read(spark, d, "benchmark").coalesce(1).sortWithinPartitions("item_id").select(line.alias("value")).write.text(path)
+    D.read(spark, d, "benchmark").orderBy("item_id").select(line.alias("value")).write.text(path)  # parts in order of their names
     return path
 
 
@@ -200,7 +200,8 @@ def run_results(spark, d):
     i = F.col("item_id")
     one = F.struct(i.cast("int").alias("sample_id"), (i % 10 / 10).alias("mean_iou"), (i % 7 == 0).alias("failed"))
     path = _file(spark, "run")
-    D.read(spark, d, "benchmark").agg(F.to_json(F.struct(F.count_if(i % 7 == 0).alias("failed_count"), F.collect_list(one).alias("sample_results"))).alias("value")).write.text(path)  # a run's file
+    parts = D.read(spark, d, "benchmark").groupBy(F.floor(i / 1000).alias("part"))  # a run's files, a thousand samples each at most
+    parts.agg(F.to_json(F.struct(F.count_if(i % 7 == 0).alias("failed_count"), F.collect_list(one).alias("sample_results"))).alias("value")).select("part", "value").write.partitionBy("part").text(path)
     return files.runs(spark, {"a": path, "gone": path + "-none", "b": path}).select("model", "sample_id", "mean_iou", "failed")
 
 
@@ -408,6 +409,11 @@ def region_images(spark, d):
     return X.region_images(_with_regions(spark, d))
 
 
+@query("region_image_counts", "SELECT doc_id // 10 AS query_id, 2 * count_if(doc_id % 5 > 0) AS n FROM documents GROUP BY 1")
+def region_image_counts(spark, d):
+    return X.image_counts(_with_regions(spark, d))
+
+
 @query("context_modes", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'page_images' WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN 'ocr_text_and_images' ELSE 'ocr_text' END AS mode FROM documents")
 def context_modes(spark, d):
     return _with_regions(spark, d).select("doc_id", X.mode(_id() % 2 == 0, _id() % 3 > 0, F.col("regions")).alias("mode"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import catalog as C
 from ..sources import files, models, objects
 from ..sources import tables as D
@@ -97,6 +98,16 @@ def deleted_objects(spark, d):
     return kept.crossJoin(F.broadcast(bad)).where("_bad = 0").drop("_bad")  # one row: none, if a deletion failed
 
 
+@query("url_problems", """WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('http://h/files/', page_id, '/', url) WHEN 2 THEN 'http://h/files/' WHEN 3 THEN concat('http://h/files/', page_id) WHEN 4 THEN concat('http://h/files/ /', page_id) ELSE concat('http://h/files/', page_id, '//') END AS u FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'no /files/ in it' WHEN 2 THEN 'nothing after /files/' WHEN 3 THEN 'no path' WHEN 4 THEN 'no bucket' WHEN 5 THEN 'no path' END AS problem FROM u""")
+def url_problems(spark, d):
+    i = F.col("page_id").cast("string")
+    base = F.lit("http://h/files/")
+    forms = [F.col("url"), F.concat(base, i, F.lit("/"), "url"), base, F.concat(base, i), F.concat(base, F.lit(" /"), i), F.concat(base, i, F.lit("//"))]
+    u = F.element_at(F.array(*forms), (F.col("page_id") % 6).cast("int") + 1)
+    return D.read(spark, d, "pages").select("page_id", T.files_url_problem(u).alias("problem"))
+
+
 # texts of events, crops, samples
 
 

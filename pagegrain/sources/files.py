@@ -18,8 +18,8 @@ SAMPLE = "question string, query string, answer string, images array<string>, im
 RUN = "token_summary map<string,string>, failed_count int, sample_results array<struct<sample_id:int,question:string,doc_name:string,category:string,gt_bboxes:array<array<double>>,pred_bboxes:array<array<double>>,mean_iou:double,iou_at_0_5:double,tokens_selected:int,tokens_all_ocr:int,tokens_full_image:int,failed:boolean,error_message:string>>"
 
 
-#: Bytes of a file that is read as one partition at most, and rows of a report.
-MAX_FILE, MAX_REPORT = 1 << 30, 1 << 20
+#: Rows of a report that is one file; a longer one is several, in order of their names.
+MAX_REPORT = 1 << 20
 
 
 def _path(spark: SparkSession, path: str):
@@ -27,17 +27,25 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a text file, or of a folder's files by name, with their numbers from 0, in as many tasks as it has splits.
+
+    Lines are counted by split first; a split begins where those before it end. There are as many counts as splits."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("_f"), m["file_block_start"].alias("_s"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_f", "_s").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select(F.col("_f").alias("_sf"), F.col("_s").alias("_ss"), (before - F.col("_first")).alias("_move"))
+    return lines.join(F.broadcast(starts), (F.col("_f") == F.col("_sf")) & (F.col("_s") == F.col("_ss"))).select((F.col("_at") + F.col("_move")).alias("line"), "value")
+
+
 def samples(spark: SparkSession, path: str, limit: int | None = None, docs: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
     """Evaluation samples of a JSON-lines file: its line number as id, fallbacks for question and images, boxes flattened.
 
     Rows without an image or question are kept with ``skip`` saying why, so callers count them; an id filter comes before a
-    document filter. Line numbers follow the file's byte order: an evaluation file, checked to be of MAX_FILE bytes at most, is read as one partition.
+    document filter. Line numbers follow the file's byte order, whatever its size.
     """
-    store, p = _path(spark, path)
-    if (size := store.getContentSummary(p).getLength()) > MAX_FILE:
-        raise ValueError(f"{path} has {size} bytes, and line numbers are for files of {MAX_FILE} at most")
-    lines = spark.read.text(path, wholetext=False).coalesce(1).withColumn("_at", F.monotonically_increasing_id())
-    rows = lines.select(F.col("_at").cast("int").alias("sample_id"), F.from_json("value", SAMPLE, {"mode": "PERMISSIVE"}).alias("s")).where(F.col("s").isNotNull())
+    rows = numbered_lines(spark, path).select(F.col("line").cast("int").alias("sample_id"), F.from_json("value", SAMPLE, {"mode": "PERMISSIVE"}).alias("s")).where(F.col("s").isNotNull())
     image = F.get(F.coalesce("s.images", "s.image_paths"), F.lit(0))
     question = F.coalesce("s.question", "s.query", F.lit(""))
     out = rows.select(
@@ -125,13 +133,12 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, columns: list[str], order: str) -> None:
-    """A markdown table; a report is small, which is checked, so it is one file."""
-    if rows.limit(MAX_REPORT + 1).count() > MAX_REPORT:
-        raise ValueError(f"a report has {MAX_REPORT} rows at most")
-    head = rows.sparkSession.createDataFrame([(0, f"| {' | '.join(columns)} |"), (1, f"|{'---|' * len(columns)}")], "n long, value string")
+    """A markdown table: one file up to MAX_REPORT rows, beyond that as many as the sort has parts, in order of their names."""
+    head = rows.sparkSession.createDataFrame([(0, f"| {' | '.join(columns)} |"), (1, f"|{'---|' * len(columns)}")], "n int, value string").withColumn("o", F.lit(None).cast(rows.schema[order].dataType))
     cell = lambda c: F.when(F.col(c).cast("double").isNotNull() & F.lit(dict(rows.dtypes)[c] in ("double", "float")), F.format_string("%.3f", F.col(c).cast("double"))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    body = rows.select((F.row_number().over(Window.orderBy(order)) + 1).cast("long").alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("value"))
-    head.unionByName(body).orderBy("n").coalesce(1).select("value").write.mode("overwrite").text(path)
+    body = rows.select(F.lit(2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("value"), F.col(order).alias("o"))
+    lines = head.unionByName(body).orderBy("n", "o", "value").select("value")
+    (lines if rows.limit(MAX_REPORT + 1).count() > MAX_REPORT else lines.coalesce(1)).write.mode("overwrite").text(path)
 
 
 def put(objects: DataFrame, root: str) -> DataFrame:

@@ -82,8 +82,11 @@ def embed(rows: DataFrame, column: str, factory: Callable[[], Embedder], key: st
 MODES = {"Gundam": (1024, 640, True), "Tiny": (512, 512, False), "Small": (640, 640, False), "Base": (1024, 1024, False), "Large": (1280, 1280, False)}
 
 
-def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable], key: str, task: str = "markdown", mode: str | None = None) -> DataFrame:
-    """(key, raw, error): the grounded text of each image. With a mode, the engine gets its three sizes as well; no text is an error."""
+def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable], key: str, task: str = "markdown", mode: str | None = None, at_once: int = 8) -> DataFrame:
+    """(key, raw, error): the grounded text of each image. With a mode, the engine gets its three sizes as well; no text is an error.
+
+    An engine with a method ``batch`` gets ``at_once`` images in one call of it, and after a failure one at a time; another gets each image by itself.
+    """
     if mode is not None and mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     sizes = () if mode is None else MODES[mode]
@@ -91,16 +94,19 @@ def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable], key: str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = factory()
 
+        many = getattr(engine, "batch", None)
+
         def read(items: list) -> list:
-            out = []
-            for x in items:
-                if not (text := engine(x, task, *sizes)):
-                    raise ValueError("no text extracted from image")
-                out.append(text)
+            out = list(many(items, task, *sizes)) if many else [engine(x, task, *sizes) for x in items]
+            if not all(out):
+                raise ValueError("no text extracted from image")
             return out
 
+        step = at_once if many else 1
         for batch in batches:
-            found = [(k, *_each(read, [x])[0]) for k, x in zip(batch[key], batch[column], strict=True)]
+            images = list(batch[column])
+            read_ = [r for a in range(0, len(images), step) for r in _each(read, images[a : a + step])]
+            found = [(k, *r) for k, r in zip(batch[key], read_, strict=True)]
             yield pd.DataFrame(found, columns=[key, "raw", "error"])
 
     kind = rows.schema[key].dataType.simpleString()

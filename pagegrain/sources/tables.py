@@ -18,9 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; where it names none, one of our own below the warehouse."""
+    """The folder that driver and executors share, as the session names it. A local session that names none has one below its warehouse; a cluster must name one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    named, current = sc.getConf().get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if named is None and current.isEmpty() and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = named or (current.get() if current.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -162,3 +162,47 @@ def test_brackets_that_miss_are_widened(spark, monkeypatch):
     values = np.random.default_rng(2).standard_normal(20_001)
     got = A.group_quantiles(spark.createDataFrame([(1, float(v)) for v in values], "g int, v double"), ("g",), "v", (0.3, 0.9)).first()
     assert np.allclose([got.q0, got.q1], np.quantile(values, (0.3, 0.9)), atol=1e-12)
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    from pagegrain.sources import files
+
+    lines = [f"{k} {'x' * (k % 37)}" for k in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines[:3000]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(lines[3000:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = files.numbered_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 4 and [(r.line, r.value) for r in got.orderBy("line").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_reports_of_any_length(spark, tmp_path, monkeypatch):
+    from pagegrain.sources import files
+
+    rows = spark.createDataFrame([(k, k / 7) for k in range(50)], "k int, v double").repartition(4)
+    got = []
+    for most in (100, 10):
+        monkeypatch.setattr(files, "MAX_REPORT", most)
+        files.write_report(rows, str(tmp_path / str(most)), ["k", "v"], "k")
+        parts = sorted((tmp_path / str(most)).glob("part-*"))
+        got.append("".join(p.read_text() for p in parts))
+        assert len(parts) == 1 or most == 10
+    assert got[0] == got[1] and got[0].startswith("| k | v |\n|---|---|\n| 0 | 0.000 |\n| 1 | 0.143 |")
+
+
+def test_ocr_engines_that_take_batches(spark):
+    from pagegrain.sources import models
+
+    def factory():
+        class Engine:
+            def batch(self, items, task):
+                return [f"{x}{len(items)}" if x != "none" else "" for x in items]
+
+        return Engine()
+
+    rows = spark.createDataFrame([(k, "none" if k == 6 else "t") for k in range(9)], "k long, image string").coalesce(1)
+    got = {r.k: (r.raw, r.error) for r in models.ocr(rows, "image", factory, "k", at_once=4).collect()}
+    assert got[0] == ("t4", None) and got[5] == ("t1", None) and got[6][0] is None and "no text" in got[6][1] and got[8] == ("t1", None)
