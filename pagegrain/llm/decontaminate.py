@@ -7,10 +7,11 @@ similarity. Fingerprints are cut into RADIUS + 1 blocks, so two of them within R
 within the radius are then verified by exact weighted Jaccard similarity of the shingles: a document is contaminated by an
 item from 0.75 on. At a similarity of 0.75 the expected distance is 11 bits with a deviation of 3; the radius is 23.
 
-Which windows get a fingerprint: similarity s means that s / (1 + s) of all shingles of both are in common, so
-a window needs that many places whose shingle is in the item. Places of the item's shingles are found by one join, and
-``starts`` keeps the windows with enough of them, each once; no other window can reach the threshold. A window
-goes into the index under its item, so it meets that item's blocks alone and candidates never outnumber windows.
+Which windows get a fingerprint: a document is read at all windows of an item's length around the item's anchors and nowhere else.
+Anchors are those of an item's shingles that fewest items have, so many that the others alone can't make a similarity of 0.75: a window without any
+anchor can't reach the threshold. They are found by one join, which a shingle that thousands of items share takes no part in. One anchor in
+a window is all that is asked there; whether a window goes on is for the fingerprints: it goes into the index under its item, meets
+that item's blocks, and of the windows around anchors those within the radius are verified.
 
 Edge cases: items of fewer than five words have their whole sequence as one shingle; null, empty or blank items
 and texts match nothing; repeated rows report once; ties in similarity give the first window; items of any length, and any
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .session import cut
 
@@ -91,30 +93,42 @@ def _small(df: DataFrame, size: int) -> DataFrame:
 
 
 def _begins(ps: Column) -> Column:
-    """The windows of k that hold ``need`` of the places: for each run of so many, the windows that no run before it had."""
-    n, k, need = F.col("n"), F.col("k"), F.col("need")
+    """The windows of k that hold one of the places: for each, those that none before it had."""
+    n, k = F.col("n"), F.col("k")
 
-    def run(i: Column) -> Column:
-        low = F.greatest(F.lit(0), F.get(ps, i + need - 1) - k + 1, F.when(i > 0, F.get(ps, i - 1) + 1).otherwise(F.lit(0)))
-        high = F.least(F.get(ps, i), n - F.least("n", "m"))
+    def run(p: Column, i: Column) -> Column:
+        low = F.greatest(F.lit(0), p - k + 1, F.when(i > 0, F.get(ps, i - 1) + 1).otherwise(F.lit(0)))
+        high = F.least(p, n - F.least("n", "m"))
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ps) - need), run))
+    return F.flatten(F.transform(ps, run))
+
+
+def anchors(items: DataFrame) -> DataFrame:
+    """(ik, m, width, h): of each item's distinct shingles those that fewest items have, and so many that the others are fewer, repeats
+    counted, than a similar window has in common with the item. That is least for the shortest window that can be similar, of 0.75
+    of the item's shingles, all of them in the item."""
+    each = items.select("ik", "m", "width", F.explode("hs").alias("h")).groupBy("ik", "m", "width", "h").agg(F.count("*").alias("c"))
+    shared = each.groupBy("h", "width").agg(F.count("*").alias("items"))
+    w = Window.partitionBy("ik").orderBy(F.desc("items"), "h")  # one item's shingles
+    ranked = each.join(shared, ["h", "width"]).withColumn("others", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    least = F.ceil(F.lit(NUM) * (F.col("m") - F.col("width") + 1) / DEN)
+    return ranked.where(F.col("others") >= least).select("ik", "m", "width", "h")
 
 
 def starts(docs: DataFrame, items: DataFrame, id_col: str, n_shingles: int, widths: list[int]) -> DataFrame:
-    """(id, row, ik, width, k, start): the windows of k shingles with places enough whose shingle is in the item, each once.
+    """(id, row, ik, width, k, start): the windows of k shingles with an anchor of the item, each once.
 
-    A window with that many places begins at or before one of them and ends at or after the one ``need - 1`` further on.
+    Only k that a similar window can have count: ``need`` of its shingles would be in the item.
     """
-    found = None
+    found, marks = None, cut(anchors(items))
     for w in widths:
-        spots = items.where(F.col("width") == w).select("ik", "m", F.explode(F.array_distinct("hs")).alias("h"))
+        spots = marks.where(F.col("width") == w).select("ik", "m", "h")
         texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, "text").alias("row"), shingles(words(F.col("text")), w).alias("hs"))
         places = texts.select("id", "row", (F.size("hs") + (w - 1)).alias("n"), F.posexplode_outer("hs").alias("p", "h"))  # outer: no filter on the array, which would make it twice
         hits = places.join(_small(spots, 40 * n_shingles), "h").withColumn("k", F.least("n", "m") - (w - 1))
         hits = hits.withColumn("need", F.expr(f"CAST(({NUM} * (k + m - {w - 1}) + {NUM + DEN - 1}) DIV {NUM + DEN} AS INT)")).where("need <= k")
-        rows = hits.groupBy("id", "row", "n", "ik", "m", "k", "need").agg(F.collect_set("p").alias("ps")).where("size(ps) >= need")
+        rows = hits.groupBy("id", "row", "n", "ik", "m", "k").agg(F.collect_set("p").alias("ps"))
         rows = rows.select("id", "row", "ik", F.lit(w).alias("width"), "k", F.explode_outer(let(F.sort_array("ps"), _begins)).alias("start")).where("start is not null")
         found = rows if found is None else found.union(rows)
     return found

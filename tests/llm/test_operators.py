@@ -426,31 +426,52 @@ def test_clean_drops_rows_and_not_ids(spark):
     assert sorted(r.row for r in decontaminate.clean(table, bench).collect()) == [1, 2, 4, 5, 8]
 
 
-def test_decontamination_index_meets_few_items(spark, monkeypatch):
-    """What is met before any distance is taken, against all windows and items; and the same result when nothing is broadcast."""
+def test_decontamination_by_anchors_and_fingerprints(spark, monkeypatch):
+    """Of all windows and items few meet at an anchor, of those the fingerprints leave few, and none that is similar is lost; the same when nothing is broadcast."""
     rnd = np.random.default_rng(10)
     word = lambda n: [f"w{rnd.integers(60)}" for _ in range(n)]
-    items = [(i, " ".join(word(24))) for i in range(60)]
-    docs = [(d, " ".join([*word(30), *items[d % 60][1].split(" ")[: 24 - d % 3], *word(30)])) for d in range(200)]
+    template = " ".join(word(12))
+    items = [(i, " ".join([template, *word(24)])) for i in range(60)]
+    docs = [(d, " ".join([*word(30), *items[d % 60][1].split(" ")[: 36 - d % 3], *word(30)])) for d in range(120)]
+    docs += [(1000 + d, " ".join([*word(20), *items[d % 60][1].split(" ")[d % 20 + 6 : d % 20 + 20], *word(40)])) for d in range(120)]  # parts of items
+    docs += [(2000 + d, " ".join([*word(20), template, *word(40)])) for d in range(40)]
     tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     seen = {}
     real = decontaminate.candidates
 
     def count(near, marks, n_items):
         out = real(near, marks, n_items)
-        seen["windows"], seen["pairs"] = near.count(), out.count()
+        seen["windows"], seen["pairs"], seen["docs"] = near.count(), out.count(), near.select("id").distinct().count()
         return out
 
     monkeypatch.setattr(decontaminate, "candidates", count)
     got = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.find(*tables).collect()}
-    assert got == brute_hits(docs, items) and len(got) >= 200
-    every = sum(max(1, len(t.split()) - 23) for _, t in docs)  # windows of an item's length in all documents
-    assert seen["pairs"] <= seen["windows"] < 0.05 * every * len(items)
+    assert got == brute_hits(docs, items) and len(got) >= 120
+    every = sum(max(1, len(t.split()) - 35) for _, t in docs) * len(items)  # windows of an item's length, and items
+    assert seen["windows"] < 0.05 * every and seen["pairs"] < 0.7 * seen["windows"] and sum(n for _, _, n in got.values()) <= seen["pairs"]
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     again = {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_windows) for r in decontaminate.find(*tables).collect()}
     assert again == got
 
 
+def test_anchors_lose_no_similar_window(spark):
+    """Shingles that aren't anchors are fewer, repeats counted, than a similar window shares, and the most shared ones."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"w{rnd.integers(3 if i % 3 else 40)}" for _ in range(rnd.integers(1, 40))) for i in range(40)]
+    shing = lambda t: [tuple(t.split()[i : i + min(5, len(t.split()))]) for i in range(max(1, len(t.split()) - 4))]
+    rows = []
+    for k, t in enumerate(texts):
+        n = len(t.split())
+        rows.append((k, n, min(n, 5), [hash(s) for s in shing(t)]))
+    items = spark.createDataFrame(rows, "ik long, m int, width int, hs array<long>")
+    marks = {}
+    for r in decontaminate.anchors(items).collect():
+        marks.setdefault(r.ik, set()).add(r.h)
+    for k, m, width, hs in rows:
+        left = sum(h not in marks[k] for h in hs)
+        assert left < math.ceil(0.75 * (m - width + 1)) and marks[k] <= set(hs)
+
+
 def test_decontamination_of_repeated_and_null_ids_and_a_very_long_text(spark):
     rnd = np.random.default_rng(12)
     word = lambda n: [f"w{rnd.integers(5000)}" for _ in range(n)]
