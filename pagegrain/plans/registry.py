@@ -497,4 +497,4 @@ def event_windows(spark, d):
     return got.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import document_queries, index_queries, service_queries  # noqa: E402, F401  (they register their queries)
+from . import document_queries, index_queries, service_queries, text_queries  # noqa: E402, F401  (they register their queries)
