@@ -354,9 +354,9 @@ def classes_and_links(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFram
         lead = lead.join(lead.toDF("shard", "next"), "shard").select("key", F.col("next").alias("shard"))
     shard = lead
     live = enough.join(shard, "key")
-    # a block is bounded by shingles and by texts, so a large group of short texts is many blocks as well
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS))
-    weight = live.groupBy("shard").agg(blocks.alias("blocks"), F.min("key").alias("pivot"))
+    # by shingles alone: a group of many short texts is one block, whose tree leaves few pairs; cut into several, its unlinked texts
+    # would meet in _cross instead, as many pairs as the square of the group
+    weight = live.groupBy("shard").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.min("key").alias("pivot"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x.cast("long"))
     block = F.when(F.col("key") == F.col("pivot"), every).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks"))))
     live = cut(live.join(weight, "shard").select("key", "n", "shard", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), (F.col("rep.copies") > 1).alias("copied"), F.explode(block).alias("block")))
