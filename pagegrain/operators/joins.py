@@ -51,3 +51,12 @@ def numbered_pages(documents: DataFrame, key: str, order: str, first: int = 1) -
     from pyspark.sql.window import Window
 
     return documents.withColumn("page_number", F.row_number().over(Window.partitionBy(key).orderBy(order)) + first - 1)
+
+
+def page_batches(pages: DataFrame, key: str, size: int, number: str = "page_number") -> DataFrame:
+    """Pages with ``batch`` (from 0, of ``size`` pages by their number), ``batch_pages`` of it and ``is_last`` of their document's batches."""
+    from pyspark.sql.window import Window
+
+    out = pages.withColumn("batch", F.floor((F.col(number) - 1) / size).cast("int"))
+    whole = Window.partitionBy(key)
+    return out.withColumns({"batch_pages": F.count("*").over(Window.partitionBy(key, "batch")), "is_last": F.col("batch") == F.max("batch").over(whole)})

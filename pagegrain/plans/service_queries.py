@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import joins as J
 from ..sources import files, models, objects
 from ..sources import tables as D
 from .document_queries import _docs, _file, _id, _pick, _sample_lines
 from .engine import Engine
 from .index_queries import _pages
-from .registry import query
+from .registry import BEST, PATCHES, QUERY, SCORED, SIMS, query
 
 
 def _engine(spark, d, ocr: bool = False) -> Engine:
@@ -58,6 +59,21 @@ def engine_texts(spark, d):
     return _engine(spark, d, ocr=True).table("regions").select("page", "ord", "label", "content", "image_index", "x2")
 
 
+_SHOWN = f"WITH {PATCHES}, {QUERY}, {SIMS}, {BEST}, {SCORED}, ranked AS (SELECT page, row_number() OVER (ORDER BY score DESC, page) AS rank FROM scored WHERE query_id = 0 QUALIFY rank <= 10), n AS (SELECT vec_id // 20 AS page, count(*) AS n FROM embeddings GROUP BY 1), shown AS (SELECT rank, concat('f', page % 3, ' - Page ', page + 1, ' of 9') AS label, concat('Page of ', n, chr(10), chr(10), 'markdown text') AS text FROM ranked JOIN n USING (page) WHERE page % 5 > 0)"
+
+
+@query("engine_contexts", f"""{_SHOWN} SELECT 0::BIGINT AS query_id, concat('Based on the search results for "q", here are the relevant document contents:', chr(10), chr(10), '**Available Documents:**', chr(10), string_agg(concat(rank, '. ', label), chr(10) ORDER BY rank), chr(10), chr(10), '**Important:** When citing information, use the EXACT document labels shown above.', chr(10), chr(10), '---', chr(10), chr(10), string_agg(concat('## ', label, chr(10), chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS context FROM shown""")
+def engine_contexts(spark, d):
+    asked = _asked(spark, d)
+    return _engine(spark, d, ocr=True).context(asked).select("query_id", F.replace("context", F.lit(asked[0]), F.lit("q")).alias("context"))
+
+
+@query("page_batches", "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), b AS (SELECT source, doc_id, ((k - 1) // 4)::INT AS batch FROM p) SELECT source, doc_id, batch, count(*) OVER (PARTITION BY source, batch) AS batch_pages, batch = max(batch) OVER (PARTITION BY source) AS is_last FROM b")
+def page_batches(spark, d):
+    pages = J.numbered_pages(_docs(spark, d).select("source", "doc_id"), "source", "doc_id")
+    return J.page_batches(pages, "source", 4).select("source", "doc_id", "batch", "batch_pages", "is_last")
+
+
 # objects
 
 
