@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import cut
+
 
 def correlations(rows: DataFrame, target: str, features: dict[str, Column]) -> DataFrame:
     """(feature, n, r) by Pearson for each feature, in one pass."""
@@ -192,7 +194,7 @@ def group_quantiles(rows: DataFrame, keys: tuple[str, ...], value: str, shares:
 def heat_bounds(rows: DataFrame, group: str, value: str, strategy: str = "percentile") -> DataFrame:
     """(group, low, high) for a colour scale; an unknown strategy counts as percentile (2 and 98). Groups may be of any size."""
     if strategy == "mad":
-        mid = group_quantiles(rows, (group,), value, (0.5,)).select(F.col(group).alias("_g"), F.col("q0").alias("_m"))
+        mid = cut(group_quantiles(rows, (group,), value, (0.5,)).select(F.col(group).alias("_g"), F.col("q0").alias("_m")))  # a row a group, read twice
         off = rows.join(mid, F.col(group).eqNullSafe(F.col("_g"))).select(group, F.abs(F.col(value) - F.col("_m")).alias("_d"))
         out = group_quantiles(off, (group,), "_d", (0.5,)).join(mid, F.col(group).eqNullSafe(F.col("_g")))
         return out.select(group, (F.col("_m") - 3 * 1.4826 * F.col("q0")).alias("low"), (F.col("_m") + 3 * 1.4826 * F.col("q0")).alias("high"))
