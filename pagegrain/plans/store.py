@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-#: Pages of a range before it is halved when it is merged.
-RANGE_PAGES = 1 << 16
+#: Pages of a range before it is halved when it is merged: some 100 GB where a page has 12,288 vectors of 128 parts.
+RANGE_PAGES = 1 << 14
 PART = "touched"
 
 
