@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.arrow import bounded
 
-#: Query tokens of a block, patches of a packed block, and bytes of a product held at once.
-MAX_QUERY_TOKENS, PACKED, PRODUCT_BYTES = 4096, 4096, 32 << 20
+#: Query tokens that travel in one broadcast, patches or tokens of a packed block, and bytes of a product held at once.
+MAX_QUERY_TOKENS, PACKED, PRODUCT_BYTES = 1 << 15, 4096, 8 << 20
 
 
 def payload_filter(conditions: Mapping[str, object] | None) -> Column:
@@ -119,28 +120,122 @@ def held(queries: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame(table, queries.schema) if 0 < table.num_rows <= MAX_QUERY_TOKENS else queries
 
 
-def _products(patches: DataFrame, queries: DataFrame, emit: Emit, schema: str, codes: bool = False) -> DataFrame:
-    """``emit``'s rows for all patches and query tokens."""
+def few(queries: DataFrame, codes: bool = False) -> Tokens | None:
+    """Query tokens to be sent to every task; None where there are more than MAX_QUERY_TOKENS."""
     kind = "array<bigint>" if codes else "array<double>"
     asked = queries.select(F.col("query_id").cast("long"), F.col("token").cast("long"), F.col("vec").cast(kind).alias("vec")).where("vec is not null")
     held = asked.limit(MAX_QUERY_TOKENS + 1).toArrow().combine_chunks()
+    if held.num_rows > MAX_QUERY_TOKENS:
+        return None
     if not held.num_rows:
-        return patches.sparkSession.createDataFrame([], schema)
-    if held.num_rows <= MAX_QUERY_TOKENS:
-        tokens = _tokens(held.to_batches()[0], codes)
+        return Tokens(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1)))
+    return _tokens(held.to_batches()[0], codes)
+
+
+def by_page(rows: DataFrame, column: str) -> DataFrame:
+    """(page, column): a page's values of a column as one list, pages dealt to as many partitions as there is work for, however small they are: what the kernel makes of
+    them is as large as pages times queries."""
+    spark = rows.sparkSession
+    n = 2 * spark.sparkContext.defaultParallelism
+    return rows.select(F.col("page").cast("long").alias("page"), column).repartition(n, "page").groupBy("page").agg(F.collect_list(column).alias(column))
+
+
+def page_rows(patches: DataFrame) -> DataFrame:
+    """(page, patches): whole pages; a patch is (px, py, vec), its place null where the table has none."""
+    place = [(F.col(c) if c in patches.columns else F.lit(None)).cast("int").alias(c) for c in ("px", "py")]
+    return by_page(patches.select("page", F.struct(*place, "vec").alias("patches")), "patches")
+
 
-        def few(batches):
+def _vectors(batch: pa.RecordBatch, dim: int, codes: bool = False):
+    """The patches of a batch of ``page_rows`` that have a similarity: the row of their page, their vectors, and places (-1: none)."""
+    px, py, vec = batch.column("patches").flatten().flatten()
+    rows, m = _matrix(vec, dim, codes)
+    n = pa.compute.list_value_length(batch.column("patches")).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), n)[rows], m, *(c.fill_null(-1).to_numpy(zero_copy_only=False)[rows] for c in (px, py))
+
+
+def pages_of(batch: pa.RecordBatch, dim: int):
+    """(row, vectors, px, py) of each page in a batch of ``page_rows`` that has a vector."""
+    row, m, px, py = _vectors(batch, dim)
+    if len(row):
+        for a, b in zip(*_bounds(row), strict=True):
+            yield int(row[a]), m[a:b], px[a:b], py[a:b]
+
+
+def ranked(patches: DataFrame, queries: DataFrame, k: int, combine: str = "sum", codes: bool = False) -> DataFrame:
+    """(query_id, page, score, rank): the k best pages of each query by ``maxsim``. A task scores whole pages and keeps the k best of each query, so
+    that no more than those are shuffled."""
+    if combine not in ("sum", "mean"):
+        raise ValueError(f"unknown combination: {combine}")
+    k, tokens = clamp_k(k), few(queries, codes)
+    if tokens is None:
+        return top(best(patches, queries, codes).groupBy("query_id", "page").agg((F.sum if combine == "sum" else F.avg)("sim").alias("score")), k)
+
+    def run(batches):
+        q, dim = len(tokens.first), tokens.matrix.shape[1]
+        query, n = tokens.query[tokens.first], np.diff(np.append(tokens.first, len(tokens.query)))
+        held_scores, held_pages = np.zeros((q, 0)), np.zeros((q, 0), np.int64)
+        for batch in batches if q else ():
+            row, m, _, _ = _vectors(batch, dim, codes)
+            if not len(row):
+                continue
+            pages, (first, last) = batch.column("page").to_numpy(), _bounds(row)
+            for a, b in _blocks(first, last, max(1, PRODUCT_BYTES // (8 * q))):
+                score = np.empty((b - a, q))
+                for c, d in _blocks(first[a:b], last[a:b], max(1, PRODUCT_BYTES // (8 * len(tokens.query))), by_rows=True):
+                    low, high = first[a + c], last[a + d - 1]
+                    score[c:d] = np.add.reduceat(_tops(m[low:high], tokens, first[a + c : a + d] - low), tokens.first, axis=1)
+                scores = np.hstack([held_scores, score.T / n[:, None] if combine == "mean" else score.T])
+                names = np.hstack([held_pages, np.tile(pages[row[first[a:b]]], (q, 1))])
+                order = np.lexsort((names, -scores), axis=-1)[:, :k]
+                held_scores, held_pages = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+        width = held_scores.shape[1]
+        for a in range(0, q if width else 0, step := max(1, (1 << 18) // max(1, width))):
+            part = slice(a, a + step)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query[part], width)), pa.array(held_pages[part].ravel()), pa.array(held_scores[part].ravel())], ["query_id", "page", "score"])
+
+    places = patches.select(F.col("page").cast("long").alias("page"), "vec").where("page is not null")
+    return top(bounded(page_rows(places)).mapInArrow(run, "query_id long, page long, score double"), k)
+
+
+def _tops(m: np.ndarray, tokens: Tokens, first: np.ndarray) -> np.ndarray:
+    """Pages by tokens: the best similarity of the rows that begin at each of ``first``. The products of a page of many rows are held in pieces."""
+    step = max(1, PRODUCT_BYTES // (8 * len(tokens.query)))
+    if len(m) <= step or len(first) > 1:
+        return np.maximum.reduceat(tokens.product(m), first, axis=0)
+    return np.max([tokens.product(m[a : a + step]).max(axis=0) for a in range(0, len(m), step)], axis=0)[None, :]
+
+
+def _blocks(first: np.ndarray, last: np.ndarray, most: int, by_rows: bool = False):
+    """(from, to) of runs of pages: at most so many, or at most so many rows; one at least."""
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(last, first[a] + most, "right"))) if by_rows else min(a + most, len(first))
+        yield a, b
+        a = b
+
+
+def _products(patches: DataFrame, queries: DataFrame, emit: Emit, schema: str, codes: bool = False) -> DataFrame:
+    """``emit``'s rows for all patches and query tokens."""
+    tokens = few(queries, codes)
+    if tokens is not None:
+        if not len(tokens.query):
+            return patches.sparkSession.createDataFrame([], schema)
+
+        def each(batches):
             for batch in batches:
                 yield from _over(batch, tokens, emit, codes)
 
-        return patches.mapInArrow(few, schema)
+        return bounded(patches).mapInArrow(each, schema)
+    kind = "array<bigint>" if codes else "array<double>"
+    asked = queries.select(F.col("query_id").cast("long"), F.col("token").cast("long"), F.col("vec").cast(kind).alias("vec")).where("vec is not null")
 
     def many(batches):
         for batch in batches:
             for x, y in zip(batch.column("p"), batch.column("q"), strict=True):
                 yield from _over(_unpack(x), _tokens(_unpack(y), codes), emit, codes)
 
-    pairs = patches.mapInArrow(_pack, "blob binary").toDF("p").crossJoin(asked.mapInArrow(_pack, "blob binary").toDF("q"))
+    pairs = bounded(patches).mapInArrow(_pack, "blob binary").toDF("p").crossJoin(asked.mapInArrow(_pack, "blob binary").toDF("q"))
     return pairs.mapInArrow(many, schema)
 
 
@@ -174,7 +269,7 @@ def patch_scores(patches: DataFrame, queries: DataFrame, aggregate: str = "max")
         return pa.RecordBatch.from_arrays([pa.array(np.tile(tokens.query[tokens.first], n)), *wide.columns, pa.array(score.ravel())], ["query_id", *rest.schema.names, "score"])
 
     places = patches.select("page", "px", "py", "vec")
-    if len(queries.select("query_id").limit(MAX_QUERY_TOKENS + 1).collect()) > MAX_QUERY_TOKENS:  # blocks may part a query's tokens
+    if queries.limit(MAX_QUERY_TOKENS + 1).count() > MAX_QUERY_TOKENS:  # blocks may part a query's tokens
         fold = {"mean": F.avg, "sum": F.sum}.get(aggregate, F.max)
         return similarities(places, queries).groupBy("query_id", "page", "px", "py").agg(fold("sim").alias("score"))
     return _products(places, queries, emit, f"query_id long, {_ddl(places)}, score double")
@@ -199,13 +294,11 @@ def best(patches: DataFrame, queries: DataFrame, codes: bool = False) -> DataFra
 
 def _asked(patches: DataFrame, queries: DataFrame, pairs: DataFrame, columns: tuple[str, ...], reduce_page, schema: str) -> DataFrame | None:
     """``reduce_page``'s rows for each page and the tokens of the queries that ask for it (``pairs``), and for no others; None where tokens are too many to hold."""
-    asked = queries.select(F.col("query_id").cast("long"), F.col("token").cast("long"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
-    few = asked.limit(MAX_QUERY_TOKENS + 1).toArrow().combine_chunks()
-    if few.num_rows > MAX_QUERY_TOKENS:
+    tokens = few(queries)
+    if tokens is None:
         return None
-    if not few.num_rows:
+    if not len(tokens.query):
         return patches.sparkSession.createDataFrame([], schema)
-    tokens = _tokens(few.to_batches()[0], False)
     by_page = pairs.groupBy(F.col("page").cast("long").alias("page")).agg(F.collect_set(F.col("query_id").cast("long")).alias("_by"))  # of the held queries
     met = patches.select(F.col("page").cast("long").alias("page"), *columns, "vec").join(by_page, "page")
 
@@ -226,7 +319,7 @@ def _asked(patches: DataFrame, queries: DataFrame, pairs: DataFrame, columns: tu
                     sims = m[at:to] @ tokens.matrix[want].T
                     yield reduce_page(int(page[a]), batch.take(pa.array(rows[at:to])), sims, tokens.query[want], tokens.token[want])
 
-    return met.mapInArrow(run, schema)
+    return bounded(met).mapInArrow(run, schema)
 
 
 def _bounds(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,13 +405,13 @@ def search(patches: DataFrame, queries: DataFrame, k: int = 10, pages: DataFrame
         source = pages if pages is not None else patches
         kept = source.where(payload_filter(conditions)).select("page").distinct()
         patches = patches.join(kept, "page", "left_semi")
-    return top(maxsim(patches, queries, combine), k)
+    return ranked(patches, queries, k, combine)
 
 
 def two_stage(patches: DataFrame, rows: DataFrame, columns: DataFrame, queries: DataFrame, k: int = 10, prefetch: int = 200, combine: str = "sum") -> DataFrame:
     """Union of the best pages by row- and by column-pooled vectors, then exact scores of those alone."""
     queries = held(queries)
-    picks = [top(maxsim(pooled, queries, combine), prefetch).select("query_id", "page") for pooled in (rows, columns)]
+    picks = [ranked(pooled, queries, prefetch, combine).select("query_id", "page") for pooled in (rows, columns)]
     return top(maxsim_of(patches, queries, picks[0].union(picks[1]).distinct(), combine), k)
 
 
@@ -338,10 +431,10 @@ def quantised(patches: DataFrame, queries: DataFrame, dim: int | None = None, k:
         dim = first[0] if first else 1
     coded, queries = codes(patches, dim, levels) if coded is None else coded, held(queries)
     asked = queries if levels else queries.select("query_id", "token", V.sign_code(F.col("vec"), dim).alias("vec"))
-    near = best(coded.select("page", F.col("code").cast("array<double>" if levels else "array<bigint>").alias("vec")), asked, codes=not levels).groupBy("query_id", "page").agg(F.sum("sim").alias("score"))
+    stored = coded.select("page", F.col("code").cast("array<double>" if levels else "array<bigint>").alias("vec"))
     if not rescore:
-        return top(near, k)
-    candidates = top(near, int(np.ceil(k * max(1.0, oversampling)))).select("query_id", "page")
+        return ranked(stored, asked, k, codes=not levels)
+    candidates = ranked(stored, asked, int(np.ceil(k * max(1.0, oversampling))), codes=not levels).select("query_id", "page")
     return top(maxsim_of(patches, queries, candidates, combine), k)
 
 

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import context as X
 from ..operators import pooling as P
+from ..operators import maps as M
 from ..operators import regions as R
 from ..operators import search as S
 from ..sources import models
@@ -145,5 +146,5 @@ class Engine:
 
     def relevance(self, texts: Mapping[int, str], aggregate: str = "iou_weighted") -> DataFrame:
         """Scores of all regions of all pages."""
-        scores = S.patch_scores(self.table("patches").where("px is not null"), self.queries(texts))
-        return R.relevance(self.table("regions").join(self.table("grids").select("page", *R.GRID), "page", "left"), scores, aggregate=aggregate)
+        regions = self.table("regions").join(self.table("grids").select("page", *R.GRID), "page", "left")
+        return M.region_scores(self.table("patches").where("px is not null"), regions, self.queries(texts), aggregate=aggregate)

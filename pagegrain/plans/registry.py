@@ -15,6 +15,7 @@ from ..operators import analysis as A
 from ..operators import catalog as C
 from ..operators import context as X
 from ..operators import evaluate as E
+from ..operators import maps as M
 from ..operators import pooling as P
 from ..operators import regions as R
 from ..operators import search as S
@@ -169,6 +170,10 @@ def _scores(spark, d, aggregate="max"):
     return S.patch_scores(D.patches(spark, d), D.queries(spark, d), aggregate)
 
 
+def _region_scores(spark, d, aggregate="iou_weighted", **options):
+    return M.region_scores(D.patches(spark, d), D.regions(spark, d), D.queries(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT, aggregate, **options)
+
+
 for _name, _fold in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
 
     @query(f"patch_scores_{_name}", f"WITH {PATCHES}, {QUERY}, {SIMS} SELECT query_id, page, px, py, round({_fold}(sim), 6) AS score FROM sims GROUP BY query_id, page, px, py")
@@ -190,8 +195,7 @@ for _name, (_aggregate, _options, _expression, _where) in _FORMS.items():
 
     @query(f"region_relevance_{_name}", f"{_HEAD}, r AS (SELECT query_id, doc_id, {_expression} AS score FROM ious JOIN patch USING (page, px, py) WHERE {_where} GROUP BY query_id, doc_id) {_TAIL}")
     def _relevance(spark, d, aggregate=_aggregate, options=_options):
-        got = R.relevance(D.regions(spark, d), _scores(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT, aggregate, **options)
-        return got.select("query_id", "page", "region_id", F.round("score", 6).alias("score"))
+        return _region_scores(spark, d, aggregate, digits=6, **options)
 
 
 # round to 9 digits before any comparison with a cutoff, so that both engines compare the same numbers
@@ -207,8 +211,7 @@ for _name, (_options, _cut, _top) in _CUTS.items():
 
     @query(f"region_threshold_{_name}", f"{_SCORE}, t AS (SELECT *, {_cut} AS cutoff FROM sc WINDOW p AS (PARTITION BY query_id, page)) SELECT query_id, page, region_id, score, rank FROM (SELECT query_id, page, doc_id AS region_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, page ORDER BY t.score DESC, doc_id) AS rank FROM t WHERE t.score >= cutoff - 1e-12) WHERE rank <= {_top}")
     def _threshold(spark, d, options=_options):
-        got = R.relevance(D.regions(spark, d), _scores(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT).withColumns(_r("score", digits=9))
-        return R.select(got, **options).select("query_id", "page", "region_id", F.round("score", 6).alias("score"), "rank")
+        return _region_scores(spark, d, digits=9, select=options, shown=6)
 
 
 @query("search_regions", f"{_SCORE}, {BEST}, {SCORED}, pages AS (SELECT query_id, page, score AS page_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS page_rank FROM scored QUALIFY page_rank <= 5) SELECT query_id, page, page_rank, round(page_score, 6) AS page_score, doc_id AS region_id, round(score, 6) AS score FROM sc JOIN pages USING (query_id, page) WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, page ORDER BY sc.score DESC, doc_id) <= 4")
