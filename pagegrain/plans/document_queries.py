@@ -21,7 +21,7 @@ from ..operators import search as S
 from ..sources import files
 from ..sources import tables as D
 from ..streaming import ingest as I
-from .registry import BEST, IOU, PATCHES, QUERY, REGIONS, SCORED, SIMS, TRUTH, _detected, _grounded, _r, _scores, query
+from .registry import BEST, IOU, PATCHES, QUERY, REGIONS, SCORED, SIMS, TRUTH, _detected, _grounded, _r, _region_scores, _scores, query
 
 def _id():
     return F.col("doc_id")
@@ -161,8 +161,7 @@ def _by_iou() -> str:
 
 @query("region_relevance_unknown", _by_iou())
 def region_relevance_unknown(spark, d):
-    got = R.relevance(D.regions(spark, d), _scores(spark, d), D.NX, D.NY, D.WIDTH, D.HEIGHT, "median")  # no such aggregation
-    return got.select("query_id", "page", "region_id", F.round("score", 6).alias("score"))
+    return _region_scores(spark, d, "median", digits=6)  # no such aggregation
 
 
 def _sample_lines(spark, d) -> str:
