@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe
 from ..operators import ivf
+from ..operators import maps as M
 from ..operators import regions as R
 from ..operators import search as S
 from ..sources import models
@@ -47,7 +48,7 @@ def region_relevance_grids(spark, d):
     at = D.patches(spark, d).select("page", "idx", "vec").join(known, "page")
     placed = at.select("page", (F.col("idx") % F.col("nx")).alias("px"), F.floor(F.col("idx") / F.col("nx")).cast("int").alias("py"), "vec")
     regions = D.regions(spark, d).join(known.select("page", *R.GRID), "page", "left")
-    return R.relevance(regions, S.patch_scores(placed, D.queries(spark, d))).select("query_id", "page", "region_id", F.round("score", 6).alias("score"))
+    return M.region_scores(placed, regions, D.queries(spark, d), digits=6)
 
 
 @query("page_grids", """WITH s AS (SELECT doc_id AS page, (n_chars % 7 * 100)::DOUBLE AS w, (doc_id % 5 * 80)::DOUBLE AS h, n_chars % 300 AS n FROM documents),
