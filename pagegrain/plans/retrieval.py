@@ -12,6 +12,10 @@ from ..operators import regions as R
 from ..operators import search as S
 
 
+#: Digits of a region's score that count, in a cutoff and in the order.
+DIGITS = 9
+
+
 @dataclass(frozen=True)
 class Options:
     """Fixed values by default: limits, thresholds and switches of a search."""
@@ -67,6 +71,7 @@ def search_regions(patches: DataFrame, regions: DataFrame, queries: DataFrame, n
     if grids is not None:
         wanted = wanted.join(grids.select("page", *R.GRID), "page", "left")
         nx = ny = width = height = None
-    scored = R.relevance(wanted, scores, nx, ny, width, height, options.aggregate)
+    # sums in another order differ beyond these digits, and equal scores go by region
+    scored = R.relevance(wanted, scores, nx, ny, width, height, options.aggregate).withColumn("score", F.round("score", DIGITS))
     kept = R.select(scored, "none", top_k=options.region_top_k, threshold=options.threshold if options.regions else None)
     return found.join(kept, ["query_id", "page"]).select("query_id", "page", "page_rank", F.col("page_score"), "region_id", "score", "rank")
