@@ -32,6 +32,11 @@ def normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """Parts to so many digits; a negative part that rounds to zero keeps its sign, as IEEE numbers do."""
+    return F.transform(_double(v), lambda x: F.when((x < 0) & (F.round(x, digits) == 0), F.lit(-0.0)).otherwise(F.round(x, digits)))
+
+
 def sign_code(v: Column, dim: int) -> Column:
     """Sign bits of the first ``dim`` parts, 64 in a long; bit i of a word is part i > 0."""
     words = []

@@ -101,7 +101,7 @@ for _name, _axis in (("pool_rows", "py"), ("pool_cols", "px")):
 
     @query(_name, f"WITH {PATCHES}, {_pool_sql(_axis)} SELECT page, idx, list_transform(v, lambda x: round(x, 6)) AS vec FROM pool_{_axis}")
     def _pooled(spark, d, axis=_axis):
-        return P.pool(D.patches(spark, d), axis, keep_others=False).withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+        return P.pool(D.patches(spark, d), axis, keep_others=False).withColumn("vec", V.rounded(F.col("vec"), 6))
 
 
 def _stage(axis: str, n: int) -> str:
@@ -223,8 +223,7 @@ def search_regions(spark, d):
 
 @query("heat_normalised", f"WITH {PATCHES}, {QUERY}, {SIMS}, {PATCH} SELECT query_id, page, px, py, round(CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0 END, 6) AS normal, round(greatest(s, 0) / (max(greatest(s, 0)) OVER w + 1e-8), 6) AS heat FROM patch WINDOW w AS (PARTITION BY query_id, page)")
 def heat_normalised(spark, d):
-    s = _scores(spark, d)
-    return A.heat(A.normalise(s, "score", "query_id", "page"), "score", "query_id", "page").select("query_id", "page", "px", "py", F.round("normal", 6).alias("normal"), F.round("heat", 6).alias("heat"))
+    return M.heat(D.patches(spark, d), D.queries(spark, d), digits=6)
 
 
 # grounded text: made from documents, three references each
