@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..functions.arrow import bounded
+from ..functions.arrow import bounded, half_up
 
 #: Query tokens that travel in one broadcast, patches or tokens of a packed block, and bytes of a product held at once.
 MAX_QUERY_TOKENS, PACKED, PRODUCT_BYTES = 1 << 15, 4096, 8 << 20
@@ -254,6 +254,50 @@ def similarities(patches: DataFrame, queries: DataFrame) -> DataFrame:
     return _products(patches, queries, emit, f"query_id long, token long, {_ddl(patches)}, sim double")
 
 
+def guarded(patches: DataFrame, queries: DataFrame, eps: float = 1e-8, digits: int | None = None) -> DataFrame:
+    """query_id, all patch columns but vec, and sim: every vector of the queries against every patch, ``eps`` added to both norms, so that a zero vector
+    has 0. A vector that is null, has a null part or another dimension has null."""
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+    held = asked.limit(MAX_QUERY_TOKENS + 1).toArrow().combine_chunks()
+    if held.num_rows > MAX_QUERY_TOKENS:
+        sim = V.cosine(F.col("vec"), F.col("_q"), eps)
+        return patches.crossJoin(asked.select("query_id", F.col("vec").alias("_q"))).select("query_id", *(c for c in patches.columns if c != "vec"), (sim if digits is None else F.round(sim, digits)).alias("sim"))
+    query = held.column("query_id").combine_chunks() if held.num_rows else pa.array([], pa.int64())
+    sizes = pa.compute.list_value_length(held.column("vec")).to_pylist() if held.num_rows else []
+    by_size = {}
+    for k, size in enumerate(sizes):
+        if size is not None:
+            by_size.setdefault(size, []).append(k)
+    known = {size: (at, _guarded(held.column("vec").take(pa.array(at)), size, eps)) for size, at in by_size.items()}
+
+    def run(batches):
+        t = len(query)
+        step = max(1, PRODUCT_BYTES // (8 * max(1, t)))
+        for batch in batches:
+            vec, rest = batch.column("vec"), batch.drop_columns(["vec"])
+            of = pa.compute.list_value_length(vec).fill_null(-1).to_numpy(zero_copy_only=False)
+            for a in range(0, batch.num_rows if t else 0, step):
+                n = min(step, batch.num_rows - a)
+                sims = np.full((t, n), np.nan)
+                for size, (at, q) in known.items():
+                    rows = np.flatnonzero(of[a : a + n] == size)
+                    if len(rows):
+                        sims[np.ix_(at, rows)] = q @ _guarded(vec.take(pa.array(a + rows)), size, eps).T
+                sims = sims if digits is None else half_up(sims, digits)
+                wide = rest.take(pa.array(np.tile(np.arange(a, a + n), t)))
+                yield pa.RecordBatch.from_arrays([query.take(pa.array(np.repeat(np.arange(t), n))), *wide.columns, pa.array(sims.ravel(), from_pandas=True)], ["query_id", *rest.schema.names, "sim"])
+
+    # a few rows make many: so small a table is dealt to all cores
+    return bounded(patches).repartition(2 * patches.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"query_id long, {_ddl(patches)}, sim double")
+
+
+def _guarded(vec: pa.Array, size: int, eps: float) -> np.ndarray:
+    """Vectors of one size over their norms and ``eps``; those with a null part are not numbers."""
+    flat = (vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec).flatten()
+    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return m / (np.linalg.norm(m, axis=1) + eps)[:, None]
+
+
 def patch_scores(patches: DataFrame, queries: DataFrame, aggregate: str = "max") -> DataFrame:
     """(query_id, page, px, py, score): each patch's similarities to a query's tokens as one, without a shuffle; an unknown name counts as max."""
 

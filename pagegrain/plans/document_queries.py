@@ -77,8 +77,7 @@ def results_with_metadata(spark, d):
 
 @query("guarded_cosine", f"WITH {PATCHES}, {QUERY} SELECT query_id, page, px, py, round(list_dot_product(v, q) / ((sqrt(list_dot_product(v, v)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)), 6) AS sim FROM patches, query WHERE token = 0")
 def guarded_cosine(spark, d):
-    one = D.queries(spark, d).where("token = 0").select("query_id", F.col("vec").alias("q"))
-    return D.patches(spark, d).crossJoin(one).select("query_id", "page", "px", "py", F.round(V.cosine(F.col("vec"), F.col("q"), 1e-8), 6).alias("sim"))
+    return S.guarded(D.patches(spark, d).select("page", "px", "py", "vec"), D.queries(spark, d).where("token = 0"), 1e-8, digits=6)
 
 
 @query("valid_vectors", "SELECT vec_id, label <> 4 AND vec_id % 6 <> 5 AS ok FROM embeddings")

@@ -2,8 +2,14 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from pagegrain.functions import vectors as V
+from pagegrain.operators import analysis as A
 from pagegrain.operators import maps as M
 from pagegrain.operators import regions as R
 from pagegrain.operators import search as S
@@ -54,3 +60,56 @@ def test_what_pages_and_queries_make_is_never_shuffled(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     after = plan[: plan.index("MapInArrow")]
     assert not any(x in after for x in ("Join", "Aggregate", "Window", "Sort", "Repartition")), after
+
+
+def test_heat_equals_the_windows(tables, monkeypatch):
+    patches, _, queries = tables
+    want = near(A.heat(A.normalise(S.patch_scores(patches, queries), "score", "query_id", "page"), "score", "query_id", "page").select("query_id", "page", "px", "py", "normal", "heat"))
+    monkeypatch.setattr(M, "PIECE", 40)
+    got = M.heat(patches, queries)
+    assert near(got) == want and want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.startswith("MapInArrow")
+
+
+def test_guarded_cosine_equals_the_expression(tables, monkeypatch):
+    patches, _, queries = tables
+    queries = queries.union(queries.sparkSession.createDataFrame([(11, 0, [None, *[1.0] * 7]), (12, 0, [1.0])], queries.schema))
+    patches = patches.union(patches.sparkSession.createDataFrame([(7, 0, 0, [1.0, None, *[1.0] * 6])], patches.schema))
+    pairs = patches.crossJoin(queries.select("query_id", F.col("vec").alias("w"))).select("query_id", "page", "px", "py", V.cosine(F.col("vec"), F.col("w"), 1e-8))
+    got = S.guarded(patches, queries)
+    assert near(got) == near(pairs)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(S, "MAX_QUERY_TOKENS", 3)
+    assert near(S.guarded(patches, queries)) == near(pairs)
+
+
+def _same_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    for table in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, cursor = registry.QUERIES[name](spark, str(folder)), con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(map(repr, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["pool_rows", "pool_cols"])
+def test_a_small_negative_mean_keeps_its_sign(spark, tmp_path, name):
+    rows = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    small = pa.array([[-1e-9] * 64] * len(rows), rows.schema.field("embedding").type)
+    pq.write_table(rows.set_column(rows.schema.get_field_index("embedding"), rows.schema.field("embedding"), small), tmp_path / "embeddings.parquet")
+    pq.write_table(pq.read_table("/root/testdata/sf0.001/documents.parquet"), tmp_path / "documents.parquet")
+    _same_as_sql(spark, tmp_path, name)
+
+
+def test_regions_of_equal_score_go_by_id(spark, tmp_path):
+    """All patches alike: scores are one but for noise of the sums, and of a page's regions those of least id are shown."""
+    rows = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    same = pa.array([[0.1, 0.7] * 32] * len(rows), rows.schema.field("embedding").type)
+    pq.write_table(rows.set_column(rows.schema.get_field_index("embedding"), rows.schema.field("embedding"), same), tmp_path / "embeddings.parquet")
+    pq.write_table(pq.read_table("/root/testdata/sf0.001/documents.parquet"), tmp_path / "documents.parquet")
+    got = registry.QUERIES["search_regions"](spark, str(tmp_path)).collect()
+    shown = {}
+    for r in got:
+        shown.setdefault((r.query_id, r.page), []).append(r.region_id)
+    assert shown and all(sorted(v) == list(range(40 * page, 40 * page + 4)) for (_, page), v in shown.items())
