@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.arrow import bounded
+
 Embedder = Callable[[list], list[list[list[float]]]]
 
 
@@ -75,7 +77,7 @@ def embed(rows: DataFrame, column: str, factory: Callable[[], Embedder], key: st
                 yield pd.DataFrame(out, columns=[key, "idx", "vec", "error"]).astype({"idx": "Int32"})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, column).mapInPandas(run, f"`{key}` {kind}, idx int, vec array<double>, error string")
+    return bounded(rows).select(key, column).mapInPandas(run, f"`{key}` {kind}, idx int, vec array<double>, error string")
 
 
 #: Sizes by mode: the whole image's, a tile's, and whether it is cut into tiles.
@@ -110,4 +112,4 @@ def ocr(rows: DataFrame, column: str, factory: Callable[[], Callable], key: str,
             yield pd.DataFrame(found, columns=[key, "raw", "error"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, column).mapInPandas(run, f"`{key}` {kind}, raw string, error string")
+    return bounded(rows).select(key, column).mapInPandas(run, f"`{key}` {kind}, raw string, error string")
