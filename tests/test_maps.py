@@ -113,3 +113,29 @@ def test_regions_of_equal_score_go_by_id(spark, tmp_path):
     for r in got:
         shown.setdefault((r.query_id, r.page), []).append(r.region_id)
     assert shown and all(sorted(v) == list(range(40 * page, 40 * page + 4)) for (_, page), v in shown.items())
+
+
+@pytest.mark.parametrize("combine", ["sum", "mean"])
+def test_a_task_keeps_the_best_pages_of_each_query(tables, combine, monkeypatch):
+    """The same pages as by all scores, ties by page, in one product and in many; pages times queries leave no task."""
+    patches, _, queries = tables
+    twins = patches.where("page = 2").select(F.lit(12).cast("long").alias("page"), "px", "py", "vec")
+    patches = patches.union(twins)
+    for k in (1, 3, 99):
+        want = near(S.top(S.maxsim(patches, queries, combine).withColumn("score", F.round("score", 9)), k))
+        for product in (8 << 20, 8 * 5, 8 * 60):
+            monkeypatch.setattr(S, "PRODUCT_BYTES", product)
+            got = S.ranked(patches, queries, k, combine)
+            assert near(got) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+    assert S.ranked(patches, queries.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quantized_filtered", "two_stage_search", "citations", "context_blocks", "engine_search"])
+def test_searches_shuffle_no_score_of_every_page(spark, sf, name, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("a row for each page, token and query")
+
+    monkeypatch.setattr(S, "best", never)
+    assert registry.QUERIES[name](spark, sf).count() > 0
