@@ -19,12 +19,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import BATCH_BYTES, bounded
 from ..plans.config import backoff
 from .files import inside
 
 #: Other names of schemes, and what they begin with for pyarrow.
 SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "/dbfs/", "file:///": "/"}
 ATTEMPTS = 4
+#: Objects that are asked for at once.
+READ = 256
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -36,8 +39,8 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
-def tried(step: Callable[[], None], attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep) -> None:
-    """Runs a step, again after each failure of the store, with growing pauses."""
+def tried(step: Callable, attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep):
+    """The result of a step, which runs again after each failure of the store, with growing pauses."""
     for n in range(1, attempts + 1):
         try:
             return step()
@@ -110,7 +113,7 @@ def write(objects: DataFrame, root: str, job: str | None = None) -> int:
         return _finish(spark, root, job)
     rows = objects.where("path is not null").groupBy("path").agg(F.max_by(F.col("content").cast("binary"), F.xxhash64("content")).alias("content"))
     try:
-        rows.mapInArrow(_stage(root, job), "path string, staged string, size long").write.mode("overwrite").parquet(f"{root}/_staging/{job}/manifest")
+        bounded(rows).mapInArrow(_stage(root, job), "path string, staged string, size long").write.mode("overwrite").parquet(f"{root}/_staging/{job}/manifest")
     except Exception:
         if files.get_file_info(f"{base}/_staging/{job}").type == fs.FileType.Directory:
             files.delete_dir(f"{base}/_staging/{job}")
@@ -121,6 +124,43 @@ def write(objects: DataFrame, root: str, job: str | None = None) -> int:
     return _finish(spark, root, job)
 
 
+def read(names: DataFrame, root: str, content: bool = True) -> DataFrame:
+    """(path, length, content) of the objects below a folder that rows (path) name, each read by the task that has its name, its content null where that isn't
+    wanted; a name without an object has no row. Nothing is listed, so the driver knows no file."""
+    root = root.rstrip("/")
+
+    def run(batches):
+        files, base = filesystem(root)
+        for batch in batches:
+            paths, rows, held = [p for p in batch.column("path").to_pylist() if p is not None], [], 0
+            for a in range(0, len(paths), READ):
+                some = paths[a : a + READ]
+                at = [f"{base}/{inside(p)}" for p in some]
+                for path, place, info in zip(some, at, tried(lambda at=at: files.get_file_info(at)), strict=True):
+                    if info.type != fs.FileType.File:
+                        continue
+                    body = tried(lambda place=place: _content(files, place)) if content else None
+                    rows.append((path, info.size, body))
+                    held += len(body or b"")
+                    if held >= BATCH_BYTES:
+                        yield _rows(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _rows(rows)
+
+    return names.select("path").mapInArrow(run, "path string, length long, content binary")
+
+
+def _content(files: fs.FileSystem, place: str) -> bytes:
+    with files.open_input_stream(place) as source:
+        return source.read()
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    path, length, content = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(length, pa.int64()), pa.array(content, pa.binary())], ["path", "length", "content"])
+
+
 def recover(spark: SparkSession, root: str) -> dict[str, int]:
     """Ends the jobs of a writer that was lost, while none is writing: {finished, deleted}."""
     root = root.rstrip("/")
