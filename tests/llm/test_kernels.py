@@ -1,5 +1,6 @@
 """The shared kernels against plain Python."""
 
+import random
 import re
 
 import numpy as np
@@ -59,6 +60,31 @@ def test_ids_of_long_and_odd_texts():
         assert ids[off[i] : off[i + 1]].tolist() == [*c.tokenizer.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_new_pieces_reach_the_engine_as_one_text(monkeypatch):
+    """The ids of each row as by itself: white space at ends and beyond ASCII, rows without any, pieces that lose their place in a small table; and their numbers alone."""
+    rnd, calls = random.Random(3), []
+    parts = [" ", "  ", "\n", " \t", "\u00a0", "\u2003", "\u3000", "\u0085", "\u2019", "'s", "'", "ab", "xyzzy", "\u00e9t\u00e9", "12", "...", "\U0001f600", "<|endoftext|>", "\u4e2d"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(3000)] + [None, "", "   ", " ".join(f"w{k}q" for k in range(20_000))]
+    plain = tokens.coder(tokens.default_path()).tokenizer
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for bits, joined in ((4, 50), (21, 1 << 16)):
+        monkeypatch.setattr(tokens, "TABLE_BITS", bits)
+        monkeypatch.setattr(tokens, "JOINED", joined)
+        c = tokens.Coder(tokens.default_path())
+        if engine := c._piece:
+            c._piece = lambda text: calls.append(text) or engine(text)
+        for _ in range(2):
+            got = [ids[a:b].tolist() for _, _, ids, off in c.encode(pa.array(texts)) for a, b in zip(off, off[1:], strict=False)]
+            assert got == expected
+            assert [n for sizes in c.sizes(pa.array(texts)) for n in sizes] == list(map(len, expected))
+    c = tokens.Coder(tokens.default_path())
+    if engine := c._piece:
+        calls.clear()
+        c._piece = lambda text: calls.append(text) or engine(text)
+        list(c.encode(pa.array(texts[-1:])))
+        assert len(calls) < 10  # of 20,000 words
+
+
 def test_forest_learns_a_rule():
     x = np.random.default_rng(0).random((2000, 5))
     y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
