@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagegrain.llm import textkernel as K
-from pagegrain.llm import tokens, trees
+from pagegrain.llm import lm, tokens, trees
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab \t\nAÉ|.\u00a0\u3000中'", max_size=40)), max_size=12)
@@ -85,6 +85,17 @@ def test_new_pieces_reach_the_engine_as_one_text(monkeypatch):
         assert len(calls) < 10  # of 20,000 words
 
 
+def test_gradients_of_a_key_are_summed():
+    rng = np.random.default_rng(4)
+    for width in (24, 5):
+        g, keys = rng.standard_normal((500, width)).astype(np.float32), np.minimum(rng.zipf(1.4, 500), 90).astype(np.uint16)
+        row, size, total = lm._row_sums(g, keys)
+        expected = np.zeros((91, width))
+        np.add.at(expected, keys, g)
+        assert row.tolist() == np.unique(keys).tolist() and size.tolist() == np.bincount(keys)[row].tolist()
+        assert np.allclose(total, expected[row], atol=1e-4)
+
+
 def test_forest_learns_a_rule():
     x = np.random.default_rng(0).random((2000, 5))
     y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
